@@ -159,13 +159,15 @@ def rot13(c: Column) -> Column:
     return F.translate(c, _ASCII, _ROT13)
 
 
-def deobfuscate_token(tok: Column, use_rot13: bool = True) -> Column:
+def deobfuscate_token(tok: Column, use_rot13: bool = True, use_confusables: bool = True) -> Column:
+    """ROT13 reading when the lexicon prefers it, then lower-case and map
+    confusables; tokens without an ASCII letter/digit or @$§!+ pass as-is."""
     chosen = tok
     if use_rot13:
         rot = rot13(tok)
         take_rot = F.lower(rot).isin(fv.LEXICON) & ~F.lower(tok).isin(fv.LEXICON)
         chosen = F.when(take_rot, rot).otherwise(tok)
-    mapped = F.translate(F.lower(chosen), CONF_FROM, CONF_TO)
+    mapped = F.translate(F.lower(chosen), CONF_FROM, CONF_TO) if use_confusables else chosen
     return F.when(tok.rlike(fv.DEOBFUSCATION_GATE), mapped).otherwise(tok)
 
 
@@ -173,8 +175,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RX_TOKENS), 0)
 
 
-def deobfuscate_tokens(text: Column, use_rot13: bool = True) -> Column:
-    toks = F.transform(tokens(text), lambda t: deobfuscate_token(t, use_rot13))
+TOKEN_MODES = {"full": (True, True), "join": (False, False), "rot13": (True, False), "confusables": (False, True)}
+
+
+def deobfuscate_tokens(text: Column, use_rot13: bool = True, mode: str = "full") -> Column:
+    """Tokenise, rewrite each token, and re-join with a space after every
+    alphanumeric token.  ``mode`` isolates one rewrite for stage queries."""
+    rot, conf = TOKEN_MODES[mode]
+    rot = rot and use_rot13
+    toks = tokens(text)
+    if rot or conf:
+        toks = F.transform(toks, lambda t: deobfuscate_token(t, rot, conf))
     spaced = F.transform(toks, lambda t: F.when(t.rlike(r"^[\p{L}\p{N}]+$"), F.concat(t, F.lit(" "))).otherwise(t))
     return F.rtrim(F.array_join(spaced, ""))
 

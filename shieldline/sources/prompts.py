@@ -54,6 +54,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Text screening is CPU-bound per row.  When the scan yields fewer
+    splits than there are cores (a few small files), spread the rows
+    round-robin; a large input already has thousands of splits and is left
+    untouched, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * factor)
+
+
 def read_prompts(spark: SparkSession, sf_dir: str, source: str = "conversations",
                  seeded: bool = True) -> DataFrame:
     """Prompt frame ``(prompt_id STRING, text STRING)``.
