@@ -21,6 +21,7 @@ def keyword_frequency(normalized: DataFrame, spark: SparkSession,
     kw = (keywords if keywords is not None else keywords_source(spark)).select(F.col("word").alias("keyword"))
     if kw.count() <= BROADCAST_KEYWORDS_MAX:
         kw = F.broadcast(kw)
-    exploded = normalized.select(F.explode(words(F.col("normalized_text"))).alias("keyword"))
+    exploded = (normalized.select(F.explode_outer(words(F.col("normalized_text"))).alias("keyword"))
+                .filter(F.col("keyword").isNotNull()))
     return (exploded.join(kw, "keyword", "left_semi")
             .groupBy("keyword").agg(F.count("*").alias("occurrences")))

@@ -16,7 +16,11 @@ def rule_hits(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     if n > MAX_RULES:
         raise ValueError(f"rule table has {n} rows (> {MAX_RULES})")
     dim = F.broadcast(rules.select("rule_id", "layer", "grp", "category"))
-    hits = ruled.select("prompt_id", F.posexplode("matched_rule_ids").alias("hit_pos", "rule_id"))
+    # posexplode_outer + explicit filter: a plain explode lets the optimizer
+    # infer size(array) > 0 and push it below the screening projection,
+    # which would evaluate the whole pipeline twice.
+    hits = (ruled.select("prompt_id", F.posexplode_outer("matched_rule_ids").alias("hit_pos", "rule_id"))
+            .filter(F.col("rule_id").isNotNull()))
     return hits.join(dim, "rule_id")
 
 

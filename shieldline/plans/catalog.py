@@ -190,7 +190,8 @@ def q_transform_flags(spark, sf):
     "SELECT t AS transformation, count(*) AS n FROM (SELECT unnest(transformations) AS t FROM screened) GROUP BY t"))
 def q_transform_usage(spark, sf):
     df = S.normalize_prompts(prompts(spark, sf))
-    return (df.select(F.explode("transformations").alias("transformation"))
+    return (df.select(F.explode_outer("transformations").alias("transformation"))
+            .filter(F.col("transformation").isNotNull())
             .groupBy("transformation").agg(F.count("*").alias("n")))
 
 
@@ -312,3 +313,491 @@ def q_rule_hits(spark, sf):
 def q_rule_group_stats(spark, sf):
     from ..operators.rule_jobs import rule_group_stats
     return rule_group_stats(_ruled(spark, sf), rules_source(spark))
+
+
+# ---------------------------------------------------------------------------
+# 2.5 model layer and fusion (predictions table derived from labels)
+# ---------------------------------------------------------------------------
+def screened_model(spark, sf, **kw):
+    return screened(spark, sf, model=predictions(spark, sf), **kw)
+
+
+def model_sql(select: str, **kw) -> str:
+    return pipe_sql(select, model=PREDICTIONS_SQL, **kw)
+
+
+@register("model_gate", model_sql(
+    "SELECT prompt_id, score_after_regex, decision_after_regex, ai_activated FROM screened"))
+def q_model_gate(spark, sf):
+    return screened_model(spark, sf, enrich=False).select(
+        "prompt_id", "score_after_regex", "decision_after_regex", "ai_activated")
+
+
+@register("model_score")
+def q_model_score(spark, sf):
+    out = screened(spark, sf, model=S.keyword_density_scorer, enrich=False)
+    return out.select("prompt_id", "ai_activated", "ai_prediction", "ai_confidence", "decision_after_ai")
+
+
+@register("model_fuse", model_sql(
+    "SELECT prompt_id, ai_prediction, ai_confidence, score_after_ai, decision_after_ai, ai_label FROM screened"))
+def q_model_fuse(spark, sf):
+    return screened_model(spark, sf, enrich=False).select(
+        "prompt_id", "ai_prediction", "ai_confidence", "score_after_ai", "decision_after_ai", "ai_label")
+
+
+@register("block_on_flag", model_sql("SELECT prompt_id, decision, score FROM screened", strict=True))
+def q_block_on_flag(spark, sf):
+    return screened_model(spark, sf, strict=True, enrich=False).select("prompt_id", "decision", "score")
+
+
+@register("final_verdict", model_sql("SELECT prompt_id, decision, score, is_blocked, is_flagged FROM screened"))
+def q_final_verdict(spark, sf):
+    return screened_model(spark, sf, enrich=False).select("prompt_id", "decision", "score", "is_blocked", "is_flagged")
+
+
+@register("reason_text", model_sql("SELECT prompt_id, reason FROM screened"))
+def q_reason(spark, sf):
+    return screened_model(spark, sf, enrich=False).select("prompt_id", "reason")
+
+
+SCREEN_COLS = ["prompt_id", "normalized_text", "decision", "score", "is_blocked", "is_flagged",
+               "matched_pattern", "reason", "status", "risk", "vector", "decision_source", "id"]
+
+
+@register("screen_prompts", model_sql(f"SELECT {', '.join(SCREEN_COLS)} FROM screened"))
+def q_screen(spark, sf):
+    return screened_model(spark, sf).select(*SCREEN_COLS)
+
+
+@register("check_prompts", model_sql("SELECT prompt_id, NOT is_flagged AS is_safe FROM screened"))
+def q_check(spark, sf):
+    return S.check_prompts(screened_model(spark, sf, enrich=False))
+
+
+@register("policy_switches", pipe_sql("SELECT prompt_id, normalized_text, decision, score FROM screened", rot13=False))
+def q_policy(spark, sf):
+    return screened(spark, sf, policies=S.Policies(rot13=False), enrich=False).select(
+        "prompt_id", "normalized_text", "decision", "score")
+
+
+# ---------------------------------------------------------------------------
+# 2.6 enrichment
+# ---------------------------------------------------------------------------
+LANG_SQL_COLS = ", ".join(f"lang_dist.{a} AS {a}" for a in fv.LANG_AXES)
+
+
+@register("classify_language", pipe_sql(f"SELECT prompt_id, {LANG_SQL_COLS} FROM screened"))
+def q_language(spark, sf):
+    lang = en.classify_language(F.col("text"))
+    return prompts(spark, sf).select("prompt_id", *[lang[a].alias(a) for a in fv.LANG_AXES])
+
+
+@register("classify_vector", model_sql("SELECT prompt_id, matched_pattern, vector FROM screened"))
+def q_vector(spark, sf):
+    return screened_model(spark, sf).select("prompt_id", "matched_pattern", "vector")
+
+
+@register("risk_band", model_sql("SELECT prompt_id, score, risk FROM screened"))
+def q_risk(spark, sf):
+    return screened_model(spark, sf).select("prompt_id", "score", "risk")
+
+
+@register("decision_source", model_sql("SELECT prompt_id, decision_source FROM screened"))
+def q_source(spark, sf):
+    return screened_model(spark, sf).select("prompt_id", "decision_source")
+
+
+@register("status_label", model_sql("SELECT prompt_id, status FROM screened"))
+def q_status(spark, sf):
+    return screened_model(spark, sf).select("prompt_id", "status")
+
+
+@register("enrich_verdicts", model_sql(
+    "SELECT prompt_id, id, timestamp, status, risk, vector, decision_source FROM screened"))
+def q_enrich(spark, sf):
+    return screened_model(spark, sf).select("prompt_id", "id", "timestamp", "status", "risk", "vector",
+                                            "decision_source")
+
+
+# ---------------------------------------------------------------------------
+# logs: the screened-documents log (model on) and the events log
+# ---------------------------------------------------------------------------
+from ..operators import analytics as A  # noqa: E402
+from ..operators import browse as B  # noqa: E402
+from ..operators import review as R  # noqa: E402
+from ..operators.quality import PII_PATTERNS, detection_quality, mask_pii  # noqa: E402
+from ..sources.threat_log import append_threat_log, materialize, read_threat_log  # noqa: E402
+from ..streaming import jobs as J  # noqa: E402
+
+LOG_SELECT = ["id", "timestamp", "raw", "normalized_text", "status", "decision", "score", "risk",
+              "vector", "ai_confidence", "ai_prediction", "matched_pattern", "lang_dist", "prompt_key"]
+
+
+def docs_log(spark, sf) -> DataFrame:
+    log = screened_model(spark, sf).withColumn("raw", F.col("text")).select(*LOG_SELECT)
+    return materialize(log, "docs_log")
+
+
+def events_log(spark, sf) -> DataFrame:
+    return J.events_log_frame(read_table(spark, sf, "events"))
+
+
+def combined_log(spark, sf) -> DataFrame:
+    return docs_log(spark, sf).unionByName(events_log(spark, sf), allowMissingColumns=True)
+
+
+DOCS_LOG_CTE = ("SELECT id, timestamp, text AS raw, normalized_text, status, decision, score, risk, vector, "
+                "ai_confidence, ai_prediction, matched_pattern, lang_dist, prompt_key FROM screened")
+EVENTS_LOG_SQL = (
+    "SELECT 'e' || event_id::VARCHAR AS id, ts AS timestamp, props AS raw, props AS normalized_text, "
+    "CASE WHEN event_type = 'error' THEN 'BLOCKED' WHEN event_type = 'signup' THEN 'FLAGGED' ELSE 'SAFE' END AS status, "
+    "CASE WHEN event_type = 'error' THEN 'BLOCKED' WHEN event_type = 'signup' THEN 'FLAG' ELSE 'SAFE' END AS decision, "
+    f"least(floor(value)::INTEGER, {fv.SCORE_CAP}) AS score, user_id, event_type, 'None' AS vector, "
+    "NULL::DOUBLE AS ai_confidence, NULL::INTEGER AS ai_prediction FROM events")
+
+
+def log_sql(select: str) -> str:
+    """``select`` runs over views ``docs_log``, ``events_log`` and ``combined_log``."""
+    base = O.pipeline_ctes(DOCS, model=PREDICTIONS_SQL, logged_at=LOGGED_AT)
+    return (f"WITH {base}, docs_log AS ({DOCS_LOG_CTE}), events_log AS ({EVENTS_LOG_SQL}), "
+            f"combined_log AS (SELECT * FROM docs_log UNION ALL BY NAME SELECT * FROM events_log)\n{select}")
+
+
+def events_sql(select: str) -> str:
+    return f"WITH events_log AS ({EVENTS_LOG_SQL})\n{select}"
+
+
+STATUS_COUNTS = ("count(*) AS total, count_if(upper(coalesce(status, '')) = 'BLOCKED') AS blocked, "
+                 "count_if(upper(coalesce(status, '')) = 'FLAGGED') AS flagged, "
+                 "count_if(upper(coalesce(status, '')) = 'SAFE') AS safe")
+
+
+@register("status_counts", log_sql(f"SELECT {STATUS_COUNTS} FROM combined_log"))
+def q_status_counts(spark, sf):
+    return A.status_counts(combined_log(spark, sf))
+
+
+@register("status_counts_prompts", pipe_sql(f"SELECT {STATUS_COUNTS} FROM screened", source=CONV))
+def q_status_counts_prompts(spark, sf):
+    """Flagship: screen the user turns of the conversations, count verdicts."""
+    return A.status_counts(screened(spark, sf, "conversations"))
+
+
+@register("threat_rate", log_sql(
+    f"SELECT total, blocked, flagged, CASE WHEN total > 0 THEN round_even((blocked + flagged) / total * 100, 1) "
+    f"ELSE 0.0 END::DOUBLE AS threat_rate FROM (SELECT {STATUS_COUNTS} FROM combined_log)"))
+def q_threat_rate(spark, sf):
+    return A.threat_rate(combined_log(spark, sf))
+
+
+@register("language_distribution", log_sql(
+    "SELECT ord, subject, CASE WHEN n > 0 THEN round_even(total / n, 1) ELSE 0.0 END::DOUBLE AS value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS ord, '{fv.LANG_LABELS[a]}' AS subject, sum(coalesce(lang_dist.{a}, 0.0)) AS total, "
+        f"count(*) AS n FROM combined_log" for i, a in enumerate(fv.LANG_AXES)) + ")"))
+def q_language_distribution(spark, sf):
+    return A.language_distribution(combined_log(spark, sf))
+
+
+VECTOR_COLOR_SQL = "CASE name " + " ".join(
+    f"WHEN {O.lit(k)} THEN {O.lit(v)}" for k, v in fv.VECTOR_COLORS.items()) + f" ELSE {O.lit(fv.VECTOR_COLOR_DEFAULT)} END"
+BREAKDOWN_SQL = (f"SELECT name, count, {VECTOR_COLOR_SQL} AS color, first_seen FROM (SELECT vector AS name, "
+                 f"count(*) AS count, min(timestamp) AS first_seen FROM combined_log "
+                 f"WHERE coalesce(vector, 'None') <> 'None' GROUP BY vector)")
+
+
+@register("attack_breakdown", log_sql(BREAKDOWN_SQL))
+def q_attack_breakdown(spark, sf):
+    return A.attack_breakdown(combined_log(spark, sf))
+
+
+@register("top_vector", log_sql(
+    f"SELECT coalesce((SELECT name FROM ({BREAKDOWN_SQL}) ORDER BY count DESC, first_seen, name LIMIT 1), 'None') "
+    f"AS top_vector"))
+def q_top_vector(spark, sf):
+    return A.top_vector(combined_log(spark, sf))
+
+
+def timeline_sql(view: str, as_of: str, hours: int) -> str:
+    slot_min = max(hours * 60 // fv.TIMELINE_SLOTS, 1)
+    start = f"(TIMESTAMP '{as_of}' - INTERVAL {hours} HOUR)"
+    slot = f"floor((epoch(timestamp) - epoch({start})) / {slot_min * 60})::INTEGER"
+    st = "upper(coalesce(status, ''))"
+    counted = (f"SELECT slot, count_if({st} = 'BLOCKED') AS blocked, count_if({st} = 'FLAGGED') AS flagged, "
+               f"count_if({st} NOT IN ('BLOCKED', 'FLAGGED')) AS safe FROM (SELECT {slot} AS slot, status "
+               f"FROM {view} WHERE timestamp IS NOT NULL) WHERE slot >= 0 AND slot < {fv.TIMELINE_SLOTS} GROUP BY slot")
+    return (f"SELECT s.slot::INTEGER AS slot, strftime({start} + s.slot * INTERVAL {slot_min} MINUTE, '%H:%M') AS time, "
+            f"coalesce(c.blocked, 0) AS blocked, coalesce(c.flagged, 0) AS flagged, coalesce(c.safe, 0) AS safe "
+            f"FROM (SELECT range AS slot FROM range({fv.TIMELINE_SLOTS})) s LEFT JOIN ({counted}) c USING (slot)")
+
+
+@register("timeline", log_sql(timeline_sql("combined_log", "2024-01-31 00:00:00", 720)))
+def q_timeline(spark, sf):
+    return A.timeline(spark, combined_log(spark, sf), "2024-01-31 00:00:00", 720)
+
+
+@register("timeline_24h", events_sql(timeline_sql("events_log", "2024-01-15 12:00:00", 24)))
+def q_timeline_24h(spark, sf):
+    return A.timeline(spark, events_log(spark, sf), "2024-01-15 12:00:00", 24)
+
+
+@register("dashboard_summary", log_sql(
+    f"SELECT total AS total_requests, blocked AS total_blocked, flagged AS total_flagged, safe AS total_safe, "
+    f"CASE WHEN total > 0 THEN round_even((blocked + flagged) / total * 100, 1) ELSE 0.0 END::DOUBLE AS threat_rate, "
+    f"{fv.MODEL_ACCURACY_CONSTANT} AS ai_accuracy, coalesce((SELECT name FROM ({BREAKDOWN_SQL}) "
+    f"ORDER BY count DESC, first_seen, name LIMIT 1), 'None') AS top_vector FROM (SELECT {STATUS_COUNTS} FROM combined_log)"))
+def q_dashboard(spark, sf):
+    return A.dashboard_summary(combined_log(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# 2.8 browsing (events log), review queue, retraining
+# ---------------------------------------------------------------------------
+@register("log_filter", events_sql("SELECT id, timestamp, status FROM events_log WHERE upper(status) = 'BLOCKED'"))
+def q_log_filter(spark, sf):
+    return B.log_filter(events_log(spark, sf), "blocked").select("id", "timestamp", "status")
+
+
+@register("log_date_range", events_sql(
+    "SELECT id, timestamp, status FROM events_log WHERE timestamp >= TIMESTAMP '2024-01-10 00:00:00' "
+    "AND timestamp <= TIMESTAMP '2024-01-12 23:59:59'"))
+def q_log_date_range(spark, sf):
+    return B.log_date_range(events_log(spark, sf), "2024-01-10 00:00:00", "2024-01-12 23:59:59").select(
+        "id", "timestamp", "status")
+
+
+@register("log_page", events_sql(
+    "SELECT rank, id, timestamp, status, total, greatest(1, ceil(total / 50))::BIGINT AS pages FROM ("
+    "SELECT row_number() OVER (ORDER BY timestamp DESC NULLS LAST, id) AS rank, id, timestamp, status, "
+    "count(*) OVER () AS total FROM events_log WHERE upper(status) = 'FLAGGED') q WHERE rank > 100 AND rank <= 150"))
+def q_log_page(spark, sf):
+    return B.log_page(events_log(spark, sf), page=3, page_size=50, status="FLAGGED").select(
+        "rank", "id", "timestamp", "status", "total", "pages")
+
+
+@register("log_lookup", events_sql(
+    "SELECT id, status, score FROM events_log WHERE id IN (SELECT 'e' || event_id::VARCHAR FROM events "
+    "WHERE event_type = 'purchase')"))
+def q_log_lookup(spark, sf):
+    ids = read_table(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"))
+    return B.log_lookup(events_log(spark, sf), ids).select("id", "status", "score")
+
+
+@register("queue_page", log_sql(
+    "SELECT rank, id, status, risk, score, 'ALL' AS filter_applied FROM (SELECT row_number() OVER "
+    "(ORDER BY timestamp DESC NULLS LAST, id) AS rank, id, coalesce(status, 'SAFE') AS status, "
+    "coalesce(risk, CASE WHEN coalesce(score, 0) >= 200 THEN 'CRITICAL' WHEN coalesce(score, 0) >= 120 THEN 'HIGH' "
+    "WHEN coalesce(score, 0) >= 80 THEN 'MEDIUM' ELSE 'LOW' END) AS risk, coalesce(score, 0) AS score "
+    "FROM combined_log WHERE id IS NOT NULL AND timestamp IS NOT NULL) q WHERE rank > 100 AND rank <= 200"))
+def q_queue_page(spark, sf):
+    return B.queue_page(combined_log(spark, sf), status="bogus", page=2, page_size=100).select(
+        "rank", "id", "status", "risk", "score", "filter_applied")
+
+
+@register("retain_latest", log_sql(
+    f"SELECT id, timestamp, status FROM combined_log ORDER BY timestamp DESC NULLS LAST, id LIMIT {fv.RETAIN_ENTRIES}"))
+def q_retain(spark, sf):
+    return B.retain_latest(combined_log(spark, sf)).select("id", "timestamp", "status")
+
+
+@register("latest_feed", log_sql(
+    f"SELECT id, timestamp, status FROM combined_log ORDER BY timestamp DESC NULLS LAST, id LIMIT {fv.FEED_ENTRIES}"))
+def q_feed(spark, sf):
+    return B.latest_feed(combined_log(spark, sf)).select("id", "timestamp", "status")
+
+
+@register("flagged_count", log_sql(
+    f"SELECT count_if(status = 'FLAGGED') AS flagged_count FROM (SELECT status FROM combined_log "
+    f"ORDER BY timestamp DESC NULLS LAST, id LIMIT {fv.FEED_ENTRIES})"))
+def q_flagged_count(spark, sf):
+    return B.flagged_count(B.latest_feed(combined_log(spark, sf)))
+
+
+def reviews(spark, sf) -> DataFrame:
+    """Reviewer decisions derived from labels: toxic → block, low quality →
+    train, else approve; every tenth document gets a later second review
+    (train), an invalid action, or a review of an unknown item."""
+    lab = read_table(spark, sf, "labels")
+    item = F.substring(F.sha2(F.concat(F.lit("prompt:d"), F.col("doc_id").cast("string")), 256), 1, 32)
+    base_t = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    at = base_t + F.make_interval(secs=F.col("doc_id").cast("int"))
+    first = lab.select(item.alias("item_id"),
+                       F.when(F.col("toxic") == 1, "block").when(F.col("quality") == 0, "train")
+                       .otherwise("approve").alias("action"),
+                       F.concat(F.lit("note-"), F.col("doc_id").cast("string")).alias("notes"),
+                       F.concat(F.lit("reviewer-"), (F.col("doc_id") % 5).cast("string")).alias("reviewer_id"),
+                       at.alias("reviewed_at"))
+    r = F.col("doc_id") % 10
+    second = lab.filter(r.isin(0, 1, 2)).select(
+        F.when(r == 2, F.concat(F.lit("missing-"), F.col("doc_id").cast("string"))).otherwise(item).alias("item_id"),
+        F.when(r == 1, "escalate").otherwise("train").alias("action"),
+        F.lit("second look").alias("notes"), F.lit("reviewer-x").alias("reviewer_id"),
+        (at + F.expr("INTERVAL 1 DAY")).alias("reviewed_at"))
+    return first.unionByName(second)
+
+
+REVIEWS_SQL = (
+    "SELECT substr(sha256('prompt:d' || doc_id::VARCHAR), 1, 32) AS item_id, CASE WHEN toxic = 1 THEN 'block' "
+    "WHEN quality = 0 THEN 'train' ELSE 'approve' END AS action, 'note-' || doc_id::VARCHAR AS notes, "
+    "'reviewer-' || (doc_id % 5)::VARCHAR AS reviewer_id, TIMESTAMP '2024-02-01 00:00:00' + to_seconds(doc_id) "
+    "AS reviewed_at FROM labels UNION ALL "
+    "SELECT CASE WHEN doc_id % 10 = 2 THEN 'missing-' || doc_id::VARCHAR ELSE substr(sha256('prompt:d' || "
+    "doc_id::VARCHAR), 1, 32) END, CASE WHEN doc_id % 10 = 1 THEN 'escalate' ELSE 'train' END, 'second look', "
+    "'reviewer-x', TIMESTAMP '2024-02-01 00:00:00' + to_seconds(doc_id) + INTERVAL 1 DAY FROM labels "
+    "WHERE doc_id % 10 IN (0, 1, 2)")
+LATEST_SQL = (f"SELECT item_id, arg_max(action, (reviewed_at, reviewer_id, action, notes)) AS action, "
+              f"arg_max(notes, (reviewed_at, reviewer_id, action, notes)) AS notes, "
+              f"arg_max(reviewer_id, (reviewed_at, reviewer_id, action, notes)) AS reviewer_id, max(reviewed_at) AS reviewed_at "
+              f"FROM ({REVIEWS_SQL}) WHERE action IN ('approve', 'train', 'block') GROUP BY item_id")
+
+
+def review_sql(select: str) -> str:
+    return log_sql(select).replace("\nSELECT", f", reviews AS ({REVIEWS_SQL}), latest AS ({LATEST_SQL})\nSELECT", 1)
+
+
+MESSAGE_SQL = "CASE action " + " ".join(f"WHEN '{k}' THEN {O.lit(v)}" for k, v in R.MESSAGES.items()) + \
+    " ELSE 'Decision recorded.' END"
+
+
+@register("review_apply", review_sql(
+    f"SELECT l.item_id, action, reviewer_id, reviewed_at, 'recorded' AS status, {MESSAGE_SQL} AS message "
+    f"FROM latest l JOIN docs_log d ON d.id = l.item_id"))
+def q_review_apply(spark, sf):
+    return R.review_apply(docs_log(spark, sf), reviews(spark, sf))
+
+
+@register("review_rejected", review_sql(
+    "SELECT item_id, action, reject_reason FROM (SELECT item_id, action, 'invalid_action' AS reject_reason "
+    "FROM reviews WHERE action NOT IN ('approve', 'train', 'block') UNION ALL SELECT item_id, action, 'not_found' "
+    "FROM reviews WHERE action IN ('approve', 'train', 'block') AND item_id NOT IN (SELECT id FROM docs_log))"))
+def q_review_rejected(spark, sf):
+    return R.rejected_reviews(docs_log(spark, sf), reviews(spark, sf)).select("item_id", "action", "reject_reason")
+
+
+@register("queue_open", review_sql(
+    "SELECT id, status FROM docs_log WHERE id NOT IN (SELECT item_id FROM latest)"))
+def q_queue_open(spark, sf):
+    return R.queue_open(docs_log(spark, sf), reviews(spark, sf)).select("id", "status")
+
+
+@register("allow_block_lists", review_sql(
+    "SELECT CASE WHEN action = 'approve' THEN 'allow' ELSE 'block' END AS list, sha256(normalized_text) AS text_hash, "
+    "l.item_id, normalized_text FROM latest l JOIN docs_log d ON d.id = l.item_id WHERE action IN ('approve', 'block')"))
+def q_lists(spark, sf):
+    return R.allow_block_lists(docs_log(spark, sf), reviews(spark, sf))
+
+
+RETRAIN_SAVED_AT = "2024-02-05T00:00:00+00:00"
+
+
+@register("build_retraining", review_sql(
+    "SELECT d.id, coalesce(raw, '') AS text, coalesce(normalized_text, '') AS normalized_text, 1 AS label, score, "
+    "CASE WHEN ai_prediction = 1 THEN floor(coalesce(ai_confidence, 0.0) * 300)::INTEGER ELSE 0 END AS ai_score, "
+    "ai_confidence, ai_prediction, coalesce(vector, 'None') AS vector, 'unknown' AS dialect, "
+    "'Unknown / Semantic attack' AS intent_goal, coalesce(notes, '') AS notes, "
+    f"'{RETRAIN_SAVED_AT}' AS saved_at FROM latest l JOIN docs_log d ON d.id = l.item_id WHERE action = 'train'"))
+def q_retraining(spark, sf):
+    return R.build_retraining(docs_log(spark, sf), reviews(spark, sf), RETRAIN_SAVED_AT)
+
+
+# ---------------------------------------------------------------------------
+# 2.9 policy, masking, quality
+# ---------------------------------------------------------------------------
+def _mask_sql(t: str) -> tuple[str, list[str]]:
+    counts = []
+    for kind, pat in PII_PATTERNS:
+        counts.append(f"len(regexp_extract_all({t}, {O.lit(pat)}, 0)) AS n_{kind.lower()}")
+        t = f"regexp_replace({t}, {O.lit(pat)}, '[REDACTED:{kind}]', 'g')"
+    return t, counts
+
+
+_MASKED, _COUNTS = _mask_sql("text")
+
+
+@register("mask_pii", f"SELECT prompt_id, {_MASKED} AS masked_text FROM ({DOCS})")
+def q_mask(spark, sf):
+    masked, _ = mask_pii(F.col("text"))
+    return prompts(spark, sf).select("prompt_id", masked.alias("masked_text"))
+
+
+def _pii_counts_sql() -> str:
+    t, cols = "text", []
+    for kind, pat in PII_PATTERNS:
+        cols.append(f"sum(len(regexp_extract_all({t}, {O.lit(pat)}, 0)))::BIGINT AS n_{kind.lower()}")
+        t = f"regexp_replace({t}, {O.lit(pat)}, '[REDACTED:{kind}]', 'g')"
+    return f"SELECT {', '.join(cols)} FROM ({DOCS})"
+
+
+@register("pii_counts", _pii_counts_sql())
+def q_pii_counts(spark, sf):
+    t = F.col("text")
+    exprs = []
+    for kind, pat in PII_PATTERNS:
+        exprs.append(F.sum(F.regexp_count(t, F.lit(pat))).alias(f"n_{kind.lower()}"))
+        t = F.regexp_replace(t, pat, f"[REDACTED:{kind}]")
+    return prompts(spark, sf).agg(*exprs)
+
+
+@register("detection_quality", model_sql(
+    "SELECT tp, fp, tn, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, "
+    "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall, "
+    "round(CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM ("
+    "SELECT count_if(is_flagged AND toxic = 1) AS tp, count_if(is_flagged AND toxic <> 1) AS fp, "
+    "count_if(NOT is_flagged AND toxic <> 1) AS tn, count_if(NOT is_flagged AND toxic = 1) AS fn "
+    "FROM screened s JOIN labels l ON l.doc_id = s.prompt_key)"))
+def q_quality(spark, sf):
+    return detection_quality(screened_model(spark, sf, enrich=False), read_table(spark, sf, "labels"))
+
+
+# ---------------------------------------------------------------------------
+# 2.1 log storage round trip, 2.10 streaming
+# ---------------------------------------------------------------------------
+@register("read_threat_log", pipe_sql(
+    "SELECT id, status, score, vector, decision FROM screened", source=CONV))
+def q_read_log(spark, sf):
+    from ..session import ensure_checkpoint_dir
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/threat_log-{uuid.uuid4().hex}"
+    log = S.to_log(screened(spark, sf, "conversations"))
+    append_threat_log(log, path)
+    return read_threat_log(spark, path).select("id", "status", "score", "vector", "decision")
+
+
+@register("stream_screen", pipe_sql("SELECT prompt_id, decision, score, status, vector FROM screened"))
+def q_stream_screen(spark, sf):
+    s = J.stream_screen(spark, sf, pack(spark), "documents", logged_at=LOGGED_AT)
+    return J.run_once(s.select("prompt_id", "decision", "score", "status", "vector"), "stream_screen")
+
+
+@register("stream_counters", pipe_sql("SELECT vector, count(*) AS n FROM screened GROUP BY vector"))
+def q_stream_counters(spark, sf):
+    s = J.stream_screen(spark, sf, pack(spark), "documents", logged_at=LOGGED_AT)
+    return J.run_once(J.stream_counters(s), "stream_counters", mode="complete")
+
+
+def stream_timeline_sql(as_of: str, hours: int) -> str:
+    slot_min = max(hours * 60 // fv.TIMELINE_SLOTS, 1)
+    start = f"(TIMESTAMP '{as_of}' - INTERVAL {hours} HOUR)"
+    slot = f"floor((epoch(timestamp) - epoch({start})) / {slot_min * 60})::INTEGER"
+    st = "upper(coalesce(status, ''))"
+    return events_sql(
+        f"SELECT {start} + slot * INTERVAL {slot_min} MINUTE AS slot_start, count_if({st} = 'BLOCKED') AS blocked, "
+        f"count_if({st} = 'FLAGGED') AS flagged, count_if({st} NOT IN ('BLOCKED', 'FLAGGED')) AS safe FROM "
+        f"(SELECT {slot} AS slot, status FROM events_log) WHERE slot >= 0 AND slot < {fv.TIMELINE_SLOTS} GROUP BY slot")
+
+
+@register("stream_timeline", stream_timeline_sql("2024-01-31 00:00:00", 720))
+def q_stream_timeline(spark, sf):
+    ev = J.read_stream_table(spark, sf, "events")
+    res = J.run_once(J.stream_timeline(ev, "2024-01-31 00:00:00", 720, lateness="31 days"),
+                     "stream_timeline", mode="complete")
+    return J.timeline_slots(res, "2024-01-31 00:00:00", 720)
+
+
+@register("stream_dedupe", "SELECT DISTINCT user_id, event_type, props FROM events")
+def q_stream_dedupe(spark, sf):
+    ev = J.read_stream_table(spark, sf, "events")
+    keys = ["user_id", "event_type", "props"]
+    return J.run_once(J.stream_dedupe(ev, keys).select(*keys), "stream_dedupe")

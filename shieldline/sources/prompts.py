@@ -65,18 +65,20 @@ def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
     return df.repartition(cores * factor)
 
 
-def read_prompts(spark: SparkSession, sf_dir: str, source: str = "conversations",
-                 seeded: bool = True) -> DataFrame:
-    """Prompt frame ``(prompt_id STRING, text STRING)``.
+SOURCES = ("conversations", "documents")
+
+
+def prompt_frame(df: DataFrame, source: str, seeded: bool = True) -> DataFrame:
+    """Project a batch *or streaming* table onto the prompt schema
+    ``(prompt_id, prompt_key, text)``.
 
     ``conversations``: user turns, id ``c<conv>-<turn>``; ``documents``: every
     document, id ``d<doc_id>``.  Non-string text is cast, as the service did."""
     if source == "conversations":
-        df = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+        df = df.filter(F.col("role") == "user")
         key = F.col("conv_id") * 31 + F.col("turn")
         pid = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     elif source == "documents":
-        df = read_table(spark, sf_dir, "documents")
         key = F.col("doc_id")
         pid = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     else:
@@ -87,6 +89,11 @@ def read_prompts(spark: SparkSession, sf_dir: str, source: str = "conversations"
     return df.select(pid.alias("prompt_id"), key.alias("prompt_key"), text.alias("text"))
 
 
+def read_prompts(spark: SparkSession, sf_dir: str, source: str = "conversations",
+                 seeded: bool = True) -> DataFrame:
+    return prompt_frame(read_table(spark, sf_dir, source), source, seeded)
+
+
 def validate_prompts(prompts: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``valid`` and ``reject_reason``: empty or longer than 8192 chars
     is rejected (the reference's request validation).  Split with
