@@ -157,25 +157,47 @@ def keyword_density_scorer(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scorer_udf(scorer: Scorer):
+    """Scalar Arrow UDF form of a scorer (NULL in → NULL out), for use on
+    short plans; ``apply_model`` uses the ``mapInPandas`` form."""
     @F.pandas_udf(T.StructType([T.StructField("ai_prediction", T.IntegerType()),
                                 T.StructField("ai_confidence", T.DoubleType())]))
     def _score(text: pd.Series) -> pd.DataFrame:
-        mask = text.notna().to_numpy()
-        pred = np.full(len(text), None, dtype=object)
-        conf = np.full(len(text), None, dtype=object)
-        if mask.any():
-            try:
-                p, c = scorer(text[mask])
-            except Exception:                      # model failure → (0, 0.0)
-                p = np.zeros(int(mask.sum()), dtype="int32")
-                c = np.zeros(int(mask.sum()))
-            pred[mask] = p
-            conf[mask] = c
-        return pd.DataFrame({"ai_prediction": pd.array(pred, dtype="Int32"),
-                             "ai_confidence": pd.array(conf, dtype="Float64")})
+        pred, conf = _run_scorer(scorer, text, text.notna().to_numpy())
+        return pd.DataFrame({"ai_prediction": pred, "ai_confidence": conf})
     return _score
 
 
+def _run_scorer(scorer: Scorer, text: pd.Series, mask: np.ndarray):
+    pred = pd.array([None] * len(text), dtype="Int32")
+    conf = pd.array([None] * len(text), dtype="Float64")
+    if mask.any():
+        try:
+            p, c = scorer(text[mask])
+        except Exception:                      # model failure → (0, 0.0)
+            p = np.zeros(int(mask.sum()), dtype="int32")
+            c = np.zeros(int(mask.sum()))
+        pred[mask] = p
+        conf[mask] = c
+    return pred, conf
+
+
+def score_gated(df: DataFrame, scorer: Scorer) -> DataFrame:
+    """Run ``scorer`` over the gated rows of each Arrow batch.  ``mapInPandas``
+    is a plan node over already-computed columns, so the long screening
+    projection below it is evaluated once and never inlined into the model
+    input; ungated rows pass through unscored."""
+    schema = T.StructType(list(df.schema.fields) + [
+        T.StructField("ai_prediction", T.IntegerType()), T.StructField("ai_confidence", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            mask = pdf["ai_activated"].fillna(False).to_numpy(dtype=bool)
+            pred, conf = _run_scorer(scorer, pdf["normalized_text"], mask)
+            yield pdf.assign(ai_prediction=pred, ai_confidence=conf)
+
+    return df.mapInPandas(run, schema)
+
+
 BROADCAST_PREDICTIONS_MAX_ROWS = 2_000_000
 
 
@@ -202,11 +224,7 @@ def apply_model(df: DataFrame, model=None, use_ai: bool = True) -> DataFrame:
             "ai_confidence": F.when(act, F.coalesce("_c", F.lit(0.0))).cast("double"),
         }).drop("_p", "_c")
     else:
-        res = scorer_udf(model)(F.when(F.col("ai_activated"), F.col("normalized_text")))
-        df = df.withColumn("_ai", res).withColumns({
-            "ai_prediction": F.col("_ai.ai_prediction"),
-            "ai_confidence": F.col("_ai.ai_confidence"),
-        }).drop("_ai")
+        df = score_gated(df, model)
     fused = vd.model_fuse(score, decision, F.col("ai_activated"),
                           F.col("ai_prediction"), F.col("ai_confidence"))
     return df.withColumns(fused).withColumns({
