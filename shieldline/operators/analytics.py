@@ -83,7 +83,7 @@ def timeline(spark: SparkSession, log: DataFrame, as_of: str, window_hours: int
         raise ValueError("window_hours must be in 1..720")
     slot_min = max(window_hours * 60 // fv.TIMELINE_SLOTS, 1)
     start = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {window_hours} HOURS")
-    secs = (F.unix_micros(F.col("timestamp")) - F.unix_micros(start)) / 1_000_000
+    secs = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(start)) / 1_000_000
     slot = F.floor(secs / (slot_min * 60)).cast("int")
     counted = (log.filter(F.col("timestamp").isNotNull())
                .withColumn("slot", slot)

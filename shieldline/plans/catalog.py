@@ -801,3 +801,30 @@ def q_stream_dedupe(spark, sf):
     ev = J.read_stream_table(spark, sf, "events")
     keys = ["user_id", "event_type", "props"]
     return J.run_once(J.stream_dedupe(ev, keys).select(*keys), "stream_dedupe")
+
+
+@register("append_threat_log", pipe_sql(
+    "SELECT id, status, score, CAST(timestamp AS DATE) AS dt FROM screened", source=CONV))
+def q_append_log(spark, sf):
+    """Append the screened conversation log as day-partitioned parquet, then
+    read one day back (partition pruning on ``dt``)."""
+    from ..session import ensure_checkpoint_dir
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/threat_log_parquet-{uuid.uuid4().hex}"
+    append_threat_log(S.to_log(screened(spark, sf, "conversations")), path, fmt="parquet")
+    back = spark.read.parquet(path).filter(F.col("dt") == F.lit(LOGGED_AT[:10]).cast("date"))
+    return back.select("id", "status", "score", "dt")
+
+
+@register("retraining_roundtrip", review_sql(
+    "SELECT d.id, 1 AS label, score, coalesce(vector, 'None') AS vector, coalesce(notes, '') AS notes "
+    "FROM latest l JOIN docs_log d ON d.id = l.item_id WHERE action = 'train'"))
+def q_retraining_roundtrip(spark, sf):
+    """build_retraining → append JSON lines → read back with the nullable
+    retraining schema."""
+    from ..session import ensure_checkpoint_dir
+    from ..sources.threat_log import append_retraining, read_retraining
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/retraining-{uuid.uuid4().hex}"
+    append_retraining(R.build_retraining(docs_log(spark, sf), reviews(spark, sf), RETRAIN_SAVED_AT), path)
+    return read_retraining(spark, path).select("id", "label", "score", "vector", "notes")

@@ -50,9 +50,11 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def read_stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """Stream one table of a directory of parquet tables (the file source
+    takes a directory; ``pathGlobFilter`` selects the table's files)."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
 def stream_screen(spark: SparkSession, sf_dir: str, pack: RulePack, source: str = "documents",
@@ -75,7 +77,8 @@ def events_log_frame(events: DataFrame) -> DataFrame:
     score = F.least(F.floor(F.col("value")).cast("int"), F.lit(fv.SCORE_CAP))
     return events.select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
-        F.col("ts").alias("timestamp"), F.col("props").alias("raw"), F.col("props").alias("normalized_text"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("raw"),
+        F.col("props").alias("normalized_text"),
         status.alias("status"),
         F.when(status == "BLOCKED", "BLOCKED").when(status == "FLAGGED", "FLAG").otherwise("SAFE").alias("decision"),
         score.alias("score"), "user_id", "event_type",
