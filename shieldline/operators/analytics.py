@@ -100,15 +100,28 @@ def timeline(spark: SparkSession, log: DataFrame, as_of: str, window_hours: int
 
 
 def dashboard_summary(log: DataFrame) -> DataFrame:
-    """The summary card row: totals, threat rate, the constant model
-    accuracy the service reports, and the top vector."""
-    rate = threat_rate(log)
-    counts = status_counts(log).select("safe")
-    top = top_vector(log)
-    one = F.lit(1)
-    return (rate.withColumn("_k", one)
-            .join(counts.withColumn("_k", one), "_k")
-            .join(top.withColumn("_k", one), "_k")
-            .select(F.col("total").alias("total_requests"), F.col("blocked").alias("total_blocked"),
-                    F.col("flagged").alias("total_flagged"), F.col("safe").alias("total_safe"),
-                    "threat_rate", F.lit(fv.MODEL_ACCURACY_CONSTANT).alias("ai_accuracy"), "top_vector"))
+    """The summary card row: totals, threat rate, the constant model accuracy
+    the service reports, and the top vector — two aggregation levels and no
+    join: per-vector partial counts first (map-side combined), then one
+    global aggregate whose ``min_by`` picks the busiest vector (ties: first
+    seen, then name)."""
+    per_vector = log.groupBy(F.coalesce(F.col("vector"), F.lit(fv.VECTOR_NONE)).alias("name")).agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first_seen"),
+        F.count_if(_st() == "BLOCKED").alias("b"), F.count_if(_st() == "FLAGGED").alias("f"),
+        F.count_if(_st() == "SAFE").alias("s"))
+    rank = F.when(F.col("name") != fv.VECTOR_NONE, F.struct((-F.col("n")).alias("neg_n"), "first_seen", "name"))
+    tot = per_vector.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_requests"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("total_blocked"),
+        F.coalesce(F.sum("f"), F.lit(0)).alias("total_flagged"),
+        F.coalesce(F.sum("s"), F.lit(0)).alias("total_safe"),
+        F.min_by("name", rank).alias("top"))
+    rate = F.when(F.col("total_requests") > 0, F.bround(
+        (F.col("total_blocked") + F.col("total_flagged")) / F.col("total_requests") * 100, 1)).otherwise(F.lit(0.0))
+    return tot.select(
+        F.col("total_requests").cast("long").alias("total_requests"),
+        F.col("total_blocked").cast("long").alias("total_blocked"),
+        F.col("total_flagged").cast("long").alias("total_flagged"),
+        F.col("total_safe").cast("long").alias("total_safe"),
+        rate.cast("double").alias("threat_rate"), F.lit(fv.MODEL_ACCURACY_CONSTANT).alias("ai_accuracy"),
+        F.coalesce(F.col("top"), F.lit(fv.VECTOR_NONE)).alias("top_vector"))

@@ -52,14 +52,17 @@ def page_of(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT
 def log_page(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT,
              status: str | None = None, date_from: str | None = None,
              date_to: str | None = None) -> DataFrame:
-    """One page of the filtered log, newest first, with ``total`` and
-    ``pages`` (at least 1) attached from a one-row aggregate."""
+    """One page of the filtered log, newest first (``rank`` is the position
+    in the filtered order)."""
+    return page_of(log_date_range(log_filter(log, status), date_from, date_to), page, page_size)
+
+
+def log_page_meta(log: DataFrame, page_size: int = fv.PAGE_SIZE_DEFAULT, status: str | None = None,
+                  date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """``total`` and ``pages`` (at least 1) of the same filtered log."""
     filtered = log_date_range(log_filter(log, status), date_from, date_to)
-    meta = filtered.agg(F.count("*").alias("total")).withColumn(
+    return filtered.agg(F.count("*").alias("total")).withColumn(
         "pages", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(page_size))).cast("long"))
-    items = page_of(filtered, page, page_size)
-    one = F.lit(1)
-    return items.withColumn("_k", one).join(F.broadcast(meta.withColumn("_k", one)), "_k").drop("_k")
 
 
 def log_lookup(log: DataFrame, ids: DataFrame) -> DataFrame:
@@ -68,18 +71,24 @@ def log_lookup(log: DataFrame, ids: DataFrame) -> DataFrame:
     return log.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def _field(log: DataFrame, name: str, dtype: str):
+    """A log field, or NULL when this log generation lacks it."""
+    return F.col(name) if name in log.columns else F.lit(None).cast(dtype)
+
+
 def queue_view(log: DataFrame) -> DataFrame:
     """Review-queue projection: rows without id or timestamp are skipped,
     missing status reads SAFE, a missing risk is recomputed from the score."""
-    score = F.coalesce(F.col("score"), F.lit(0))
+    score = F.coalesce(_field(log, "score", "int"), F.lit(0))
     return (log.filter(F.col("id").isNotNull() & F.col("timestamp").isNotNull())
-            .select("id", F.coalesce(F.col("raw"), F.lit("")).alias("text"),
-                    F.coalesce(F.col("normalized_text"), F.lit("")).alias("normalized"),
+            .select("id", F.coalesce(_field(log, "raw", "string"), F.lit("")).alias("text"),
+                    F.coalesce(_field(log, "normalized_text", "string"), F.lit("")).alias("normalized"),
                     score.alias("score"),
-                    F.coalesce(F.col("risk"), risk_band(score)).alias("risk"),
-                    F.coalesce(F.col("status"), F.lit("SAFE")).alias("status"),
-                    F.coalesce(F.col("vector"), F.lit(fv.VECTOR_NONE)).alias("vector"),
-                    "ai_confidence", "ai_prediction", "timestamp"))
+                    F.coalesce(_field(log, "risk", "string"), risk_band(score)).alias("risk"),
+                    F.coalesce(_field(log, "status", "string"), F.lit("SAFE")).alias("status"),
+                    F.coalesce(_field(log, "vector", "string"), F.lit(fv.VECTOR_NONE)).alias("vector"),
+                    _field(log, "ai_confidence", "double").alias("ai_confidence"),
+                    _field(log, "ai_prediction", "int").alias("ai_prediction"), "timestamp"))
 
 
 def queue_page(log: DataFrame, status: str = "ALL", page: int = 1,

@@ -568,12 +568,18 @@ def q_log_date_range(spark, sf):
 
 
 @register("log_page", events_sql(
-    "SELECT rank, id, timestamp, status, total, greatest(1, ceil(total / 50))::BIGINT AS pages FROM ("
-    "SELECT row_number() OVER (ORDER BY timestamp DESC NULLS LAST, id) AS rank, id, timestamp, status, "
-    "count(*) OVER () AS total FROM events_log WHERE upper(status) = 'FLAGGED') q WHERE rank > 100 AND rank <= 150"))
+    "SELECT rank, id, timestamp, status FROM (SELECT row_number() OVER (ORDER BY timestamp DESC NULLS LAST, id) "
+    "AS rank, id, timestamp, status FROM events_log WHERE upper(status) = 'FLAGGED') q WHERE rank > 100 AND rank <= 150"))
 def q_log_page(spark, sf):
     return B.log_page(events_log(spark, sf), page=3, page_size=50, status="FLAGGED").select(
-        "rank", "id", "timestamp", "status", "total", "pages")
+        "rank", "id", "timestamp", "status")
+
+
+@register("log_page_meta", events_sql(
+    "SELECT count(*) AS total, greatest(1, ceil(count(*) / 50))::BIGINT AS pages FROM events_log "
+    "WHERE upper(status) = 'FLAGGED'"))
+def q_log_page_meta(spark, sf):
+    return B.log_page_meta(events_log(spark, sf), page_size=50, status="FLAGGED")
 
 
 @register("log_lookup", events_sql(

@@ -47,6 +47,8 @@ def test_status_counts_and_rate(spark, log_path):
     assert (c.total, c.blocked, c.flagged, c.safe) == (5, 2, 1, 1)   # missing status counts nowhere
     assert A.threat_rate(log).collect()[0].threat_rate == 60.0
     assert A.top_vector(log).collect()[0].top_vector == "Ignore Instructions"
+    d = A.dashboard_summary(log).collect()[0]
+    assert (d.total_requests, d.total_blocked, d.threat_rate, d.top_vector) == (5, 2, 60.0, "Ignore Instructions")
     dist = {r.subject: r.value for r in A.language_distribution(log).collect()}
     assert dist["English"] == 11.0 and dist["MSA"] == 0.0
 
@@ -76,7 +78,8 @@ def test_paging_and_filters(spark):
         "id", F.col("ts").cast("timestamp").alias("timestamp"), "status")
     page = B.log_page(log, page=2, page_size=25, status="flagged").orderBy("rank").collect()
     assert [r.rank for r in page] == list(range(26, 51))
-    assert page[0].total == 80 and page[0].pages == 4
+    meta = B.log_page_meta(log, page_size=25, status="flagged").collect()[0]
+    assert meta.total == 80 and meta.pages == 4
     assert B.log_filter(log, "unknown").count() == 0
     assert B.queue_page(log, "unknown", 1, 10).collect()[0].filter_applied == "ALL"
     assert B.retain_latest(log, 7).count() == 7
