@@ -61,6 +61,9 @@ def stream_screen(spark: SparkSession, sf_dir: str, pack: RulePack, source: str
                   logged_at: str | None = None, **kw) -> DataFrame:
     """Each arriving prompt is screened and appended to the log."""
     prompts = prompt_frame(read_stream_table(spark, sf_dir, source), source)
+    # Screening is CPU-bound per row: spread each micro-batch over the cores
+    # (a round-robin exchange of the batch, cheap next to the regex work).
+    prompts = prompts.repartition(spark.sparkContext.defaultParallelism)
     return S.screen_prompts(prompts, pack, logged_at=logged_at, **kw)
 
 
