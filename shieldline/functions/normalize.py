@@ -141,8 +141,14 @@ def _hex_segment(seg: Column) -> Column:
     return F.when(ok, decoded).otherwise(seg)
 
 
+RX_HEX_CANDIDATE = f"{BOW}[0-9a-fA-F]{{8,}}{EOW}"
+
+
 def decode_hex_runs(text: Column) -> Column:
-    return rewrite_segments(text, RX_WORD_SEGMENTS, _hex_segment)
+    # The segment rewrite (an interpreted higher-order function) only runs on
+    # rows that hold a whole-word hex run; elsewhere it is the identity.
+    return F.when(text.rlike(RX_HEX_CANDIDATE), rewrite_segments(text, RX_WORD_SEGMENTS, _hex_segment)) \
+        .otherwise(text)
 
 
 # ---------------------------------------------------------------------------
@@ -204,8 +210,11 @@ def merge_split_letters(text: Column) -> Column:
     def _merge(m: Column) -> Column:
         return F.concat(F.regexp_extract(m, f"^{SPACE}", 0), F.regexp_replace(m, _SEP, ""))
 
-    t = replace_matches(text, RX_SPLIT_RUN, _merge)
-    return replace_matches(t, RX_SINGLES_RUN, lambda m: F.regexp_replace(m, SPACE, ""))
+    # Each pass is the identity unless its pattern occurs, so the interleave
+    # (higher-order functions, outside whole-stage codegen) is gated by rlike.
+    t = F.when(text.rlike(RX_SPLIT_RUN), replace_matches(text, RX_SPLIT_RUN, _merge)).otherwise(text)
+    return F.when(t.rlike(RX_SINGLES_RUN),
+                  replace_matches(t, RX_SINGLES_RUN, lambda m: F.regexp_replace(m, SPACE, ""))).otherwise(t)
 
 
 RX_REPEAT = r"([^\n])\1{3,}"
