@@ -822,7 +822,7 @@ def q_append_log(spark, sf):
     return back.select("id", "status", "score", "dt")
 
 
-@register("retraining_roundtrip", review_sql(
+@register("read_retraining", review_sql(
     "SELECT d.id, 1 AS label, score, coalesce(vector, 'None') AS vector, coalesce(notes, '') AS notes "
     "FROM latest l JOIN docs_log d ON d.id = l.item_id WHERE action = 'train'"))
 def q_retraining_roundtrip(spark, sf):
