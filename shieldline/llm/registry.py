@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from shieldline.llm import decontaminate, language, pii
+from shieldline.llm import chat, decontaminate, fingerprints, language, pii
 
 QUERIES = {
+    "op1_tool_calls": chat.op1_tool_calls,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_fingerprint": fingerprints.op5_fingerprint,
     "op8_pii": pii.op8_pii,
     "op9_language": language.op9_language,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remainder(column: str, by: int):
     """crc32 of the id as text, modulo ``by``: what the held-out rows go by."""
     return F.crc32(F.col(column).cast("string")) % by
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the number of each row (from 0) within its group, by ``order``.
+
+    Rows are ranged over all tasks by (group, order), so a group that holds a
+    third of all rows is spread; each range is numbered alone and shifted by
+    the rows of its group in the ranges before it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows a group
+    counts = parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before > 0").drop("_n")
+    local = parts.withColumn(name, F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)) - 1)
+    a, b = local.alias("a"), counts.alias("b")
+    same = F.col("a._part") == F.col("b._part")
+    for c in group:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same, "left").select(*[F.col(f"a.{c}") for c in df.columns], (F.col(f"a.{name}") + F.coalesce("b._before", F.lit(0))).alias(name))
