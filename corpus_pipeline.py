@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shieldline.llm.decontaminate import drop_contaminated
 from shieldline.llm.language import keep_known_language
+from shieldline.llm.packing import pack_kept
 from shieldline.llm.pii import mask_personal_data
 from shieldline.llm.tables import documents, written
 
@@ -22,6 +23,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("language ID", keep_known_language),
     ("benchmark decontamination", drop_contaminated),
     ("PII", mask_personal_data),
+    ("best-fit packing", pack_kept),
 ]
 
 #: Language profiles, deobfuscation and packing have no SQL form.

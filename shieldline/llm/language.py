@@ -20,7 +20,6 @@ language's name.  Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Iterator
 
@@ -40,15 +39,21 @@ LEAST = 0.05
 _BITS = 21
 
 
-@functools.lru_cache(1)
-def _letters() -> np.ndarray:
-    """For every code point: its lower-case letter, or a blank."""
-    table = np.full(sys.maxunicode + 1, 32, dtype=np.int32)
-    for c in range(sys.maxunicode + 1):
-        if (x := chr(c)).isalpha():
-            low = x.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+_table = np.zeros(0, dtype=np.int32)
+
+
+def _letters(most: int) -> np.ndarray:
+    """For every code point up to ``most``: its lower-case letter, or a blank."""
+    global _table
+    if len(_table) <= most:
+        size = min(sys.maxunicode + 1, max(1 << 10, 1 << int(most).bit_length()))
+        table = np.full(size, 32, dtype=np.int32)
+        for c in range(size):
+            if (x := chr(c)).isalpha():
+                low = x.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _table = table
+    return _table
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +62,8 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     Numbers ascend as the n-grams written out in full do."""
     joined = "".join(f" {t} " if t else "  " for t in texts)
     size = np.array([len(t) + 2 if t else 2 for t in texts])
-    c = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = _letters(int(c.max(initial=0)))[c]
     own = np.repeat(np.arange(len(texts), dtype=np.int32), size)
     blank = c == 32
     keep = np.ones(len(c), dtype=bool)
