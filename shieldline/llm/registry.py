@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shieldline.llm import chat, decontaminate, fingerprints, language, packing, pii
+from shieldline.llm import chat, decontaminate, fingerprints, language, packing, pii, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_fingerprint": fingerprints.op5_fingerprint,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
     "op9_language": language.op9_language,
