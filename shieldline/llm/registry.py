@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shieldline.llm import chat, decontaminate, fingerprints, language, packing, pii, toxicity
+from shieldline.llm import brown, chat, decontaminate, fingerprints, language, packing, pii, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
+    "op2_brown": brown.op2_brown,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_fingerprint": fingerprints.op5_fingerprint,
     "op6_toxicity": toxicity.op6_toxicity,
