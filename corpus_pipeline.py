@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shieldline.llm.decontaminate import drop_contaminated
+from shieldline.llm.jaccard import keep_one_of_each
 from shieldline.llm.language import keep_known_language
 from shieldline.llm.packing import pack_kept
 from shieldline.llm.pii import mask_personal_data
@@ -21,6 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", keep_known_language),
+    ("n-gram Jaccard join", keep_one_of_each),
     ("benchmark decontamination", drop_contaminated),
     ("PII", mask_personal_data),
     ("best-fit packing", pack_kept),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shieldline.llm import brown, chat, decontaminate, fingerprints, language, packing, pii, toxicity
+from shieldline.llm import brown, chat, decontaminate, fingerprints, jaccard, language, packing, pii, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
     "op2_brown": brown.op2_brown,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_fingerprint": fingerprints.op5_fingerprint,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_jaccard": jaccard.OP4_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
 }
