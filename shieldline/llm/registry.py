@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shieldline.llm import brown, chat, decontaminate, fingerprints, jaccard, language, packing, pii, toxicity
+from shieldline.llm import brown, chat, decontaminate, fingerprints, jaccard, language, packing, pii, repeats, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
     "op9_language": language.op9_language,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 SQL = {
