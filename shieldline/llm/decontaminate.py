@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents
+from shieldline.llm.tables import documents, extended
 
 WINDOW = 10
 PART_BYTES = 32 << 20
@@ -112,12 +112,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                        item_col: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted item ids as strings) and
     spans ("start:end" characters of the original text, end exclusive)."""
-    spark = docs.sparkSession
     parts = _parts(benchmark, item_col, item_text, part_bytes)
     added = ["n_words", "n_hit", "items", "spans"]
     kept = [c for c in docs.columns if c not in added]
     out = docs.select(*kept)
-    schema = spark.createDataFrame([], out.schema).selectExpr(*[f"`{c}`" for c in kept], "0L n_words", "0L n_hit", "array('') items", "array('') spans").schema
+    schema = extended(out, "n_words bigint, n_hit bigint, items array<string>, spans array<string>")
     place = kept.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

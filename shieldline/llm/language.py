@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents, remainder
+from shieldline.llm.tables import documents, extended, remainder
 from shieldline.llm.textarrays import buffers, pieces
 
 TOP = 400
@@ -210,12 +210,11 @@ class _Profiles:
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", top: int = TOP) -> DataFrame:
     """``docs`` with lang_pred and score (1: all n-grams at their profile's ranks)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(profiles)
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*kept)
     place = kept.index(text_col)
-    schema = spark.createDataFrame([], out.schema).selectExpr(*[f"`{c}`" for c in kept], "'' lang_pred", "0D score").schema
+    schema = extended(out, "lang_pred string, score double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Profiles(shared.value, top)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents, numbered, written
+from shieldline.llm.tables import documents, extended, numbered, written
 from shieldline.llm.tokens import Bpe, vocabulary
 
 
@@ -131,14 +131,13 @@ def plan(count: dict[int, int], cap: Capacity) -> list[tuple[int, int, int, int,
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset."""
-    spark = pieces.sparkSession
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most one row per length
     slots = np.array(sorted(plan(counts, cap)), dtype=np.int64).reshape(-1, 5)
-    shared = spark.sparkContext.broadcast(slots)
+    shared = pieces.sparkSession.sparkContext.broadcast(slots)
     placed = numbered(pieces, ["length"], ["doc_id", "piece", "start"], "_rank")
     at = placed.columns.index("length"), placed.columns.index("_rank")
     kept = pieces.columns
-    schema = spark.createDataFrame([], pieces.schema).selectExpr(*[f"`{c}`" for c in kept], "0L sequence_id", "0L offset").schema
+    schema = extended(pieces, "sequence_id bigint, offset bigint")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents
+from shieldline.llm.tables import documents, extended
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -226,13 +226,11 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", mask: bool = Fal
     """``docs`` with the counts of base spans by kind, base_spans and spans
     ("kind:start:end", comma-joined) and, with ``mask``, the text with each
     span replaced by its kind in brackets."""
-    spark = docs.sparkSession
     added = _ADDED if mask else _ADDED[:-1]
     kept = [c for c in docs.columns if c not in added]
     out = docs.select(*kept)
     place = kept.index(text_col)
-    schema = spark.createDataFrame([], out.schema).selectExpr(
-        *[f"`{c}`" for c in kept], *[f"0L {c}" for c in added[:4]], *[f"'' {c}" for c in added[4:]]).schema
+    schema = extended(out, ", ".join([*(f"{c} bigint" for c in added[:4]), *(f"{c} string" for c in added[4:])]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

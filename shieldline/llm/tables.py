@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,11 @@ def remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string")) % by
 
 
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` with more (nullable) columns behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """``df`` with the number of each row (from 0) within its group, by ``order``.
 

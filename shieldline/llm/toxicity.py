@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents, remainder, written
+from shieldline.llm.tables import documents, extended, remainder, written
 
 SAMPLE = 40_000
 #: Terms of the lexicon at most, and the toxic rows and log odds each has at least.
@@ -134,10 +134,9 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 def with_features(df: DataFrame, lexicon: Lexicon, kept: list[str], label_col: str | None = None) -> DataFrame:
     """The ``kept`` columns and ``features``; reads ``text`` and the label if given."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((lexicon.terms, lexicon.toxic, lexicon.clean))
+    shared = df.sparkSession.sparkContext.broadcast((lexicon.terms, lexicon.toxic, lexicon.clean))
     out = df.select("text", *kept)
-    schema = spark.createDataFrame([], out.schema).selectExpr(*[f"`{c}`" for c in kept], "array(0D) features").schema
+    schema = extended(df.select(*kept), "features array<double>")
     label_at = None if label_col is None else out.columns.index(label_col)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
