@@ -1,7 +1,10 @@
 """Normalisation stages as Spark column expressions.
 
-Each stage maps a string column to a string column and runs inside whole-stage
-codegen (regexp / translate / higher-order array functions).  Python-style
+Each stage maps a string column to a string column with built-in functions.
+Whole-text functions (regexp, translate) run inside whole-stage codegen;
+higher-order array functions do not, so each is gated by the pattern that it
+rewrites.  A stage may use its input several times: chain stages as columns of
+their own (``stages``), never as one nested expression.  Python-style
 "replace each match by f(match)" is expressed with the interleave idiom:
 ``split(x, p, -1)`` gives the n+1 gaps, ``regexp_extract_all(x, p, 0)`` the n
 matches; ``transform`` rewrites the matches and ``zip_with`` + ``array_join``
@@ -10,7 +13,7 @@ stitches the text back together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -81,11 +84,22 @@ def intent_score(raw: Column) -> Column:
 
 def intent_rewrite(raw: Column) -> Column:
     s = intent_signals(raw)
-    t = F.when(s["loop"], F.regexp_replace(raw, RX_LOOP_BODY, fv.TOKEN_INFINITE_LOOP)).otherwise(raw)
-    t = F.regexp_replace(t, RX_CONSOLE, fv.TOKEN_DATA_LEAK)
-    t = F.regexp_replace(t, RX_EVIL, fv.TOKEN_EVIL_CALL)
-    t = F.regexp_replace(t, RX_CLASSIC, fv.TOKEN_JAILBREAK)
-    return py_strip(t)
+    return rewritten(raw, s["loop"], s["n_console"], s["n_evil"])
+
+
+def _replace_literals(text: Column, raw: Column, pattern: str, token: str) -> Column:
+    """Every occurrence in ``text`` of what ``pattern`` finds in ``raw``."""
+    found = F.array_distinct(F.regexp_extract_all(raw, F.lit(pattern), 0))
+    return F.aggregate(found, text, lambda acc, m: F.replace(acc, m, F.lit(token)))
+
+
+def rewritten(raw: Column, loop: Column, n_console: Column, n_evil: Column) -> Column:
+    """The rewrite, given the signals.  Leaks and calls are literals found in
+    the raw text, and all their occurrences go."""
+    t = F.when(loop, F.regexp_replace(raw, RX_LOOP_BODY, fv.TOKEN_INFINITE_LOOP)).otherwise(raw)
+    t = F.when(n_console > 0, _replace_literals(t, raw, RX_CONSOLE, fv.TOKEN_DATA_LEAK)).otherwise(t)
+    t = F.when(n_evil > 0, _replace_literals(t, raw, RX_EVIL, fv.TOKEN_EVIL_CALL)).otherwise(t)
+    return py_strip(F.regexp_replace(t, RX_CLASSIC, fv.TOKEN_JAILBREAK))
 
 
 # ---------------------------------------------------------------------------
@@ -93,6 +107,15 @@ def intent_rewrite(raw: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 
+def stages(df: DataFrame, start: Column, steps: list, out: str) -> DataFrame:
+    """``out`` = the steps applied to ``start`` in turn, each in a column of its
+    own: a step that uses its input several times evaluates it once."""
+    df = df.withColumn("_stage", start)
+    for step in steps:
+        df = df.withColumn("_stage", step(F.col("_stage")))
+    return df.withColumnRenamed("_stage", out)
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, fv.RE_HTML_TAG, "")
 
@@ -113,26 +136,36 @@ def drop_emoji(text: Column) -> Column:
 # steps 8-9: base64 / hex runs
 # ---------------------------------------------------------------------------
 PRINTABLE = r"^[\x{20}-\x{7E}]+$"
-RX_B64_SEGMENTS = r"[A-Za-z0-9+/=]+|[^A-Za-z0-9+/=]+"
 RX_WORD_SEGMENTS = f"{WORD}+|{NOT_WORD}+"
 
 
+def _b64_taken(seg: Column) -> Column:
+    """How many data characters of a run a lenient decoder reads: "=" is passed
+    over until it completes a group of four; what is behind that is not read.
+    -1 if the run ends within a group."""
+    padded = F.rpad(seg, ((F.length(seg) + 3) / 4).cast("int") * 4, "=")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("pads"), F.lit(False).alias("done"))
+
+    def step(s: Column, c: Column) -> Column:
+        pads = F.when((c == "=") & (s["n"] % 4 >= 2), s["pads"] + 1).when(c == "=", s["pads"]).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(
+            (s["n"] + F.when(c == "=", 0).otherwise(1)).alias("n"), pads.alias("pads"),
+            ((c == "=") & (s["n"] % 4 >= 2) & (s["n"] % 4 + pads >= 4)).alias("done")))
+
+    return F.aggregate(F.split(padded, ""), start, step, lambda s: F.when(s["done"] | (s["n"] % 4 == 0), s["n"]).otherwise(-1))
+
+
 def _b64_segment(seg: Column) -> Column:
-    data = F.regexp_replace(seg, "=+$", "")
+    plain = F.regexp_replace(seg, "=+$", "")
+    data = F.when(plain.contains("="), F.substring(F.replace(plain, F.lit("="), F.lit("")), F.lit(1), F.greatest(_b64_taken(seg), F.lit(0)))).otherwise(plain)
     n = F.length(data)
     padded = F.rpad(data, ((n + 3) / 4).cast("int") * 4, "=")
     decoded = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    ok = (
-        (F.length(seg) >= 12)
-        & seg.rlike("^[A-Za-z0-9+/]+=*$")
-        & (n % 4 != 1)
-        & decoded.rlike(PRINTABLE)
-    )
-    return F.when(ok, decoded).otherwise(seg)
+    return F.when((n % 4 != 1) & decoded.rlike(PRINTABLE), decoded).otherwise(seg)
 
 
 def decode_base64_runs(text: Column) -> Column:
-    return rewrite_segments(text, RX_B64_SEGMENTS, _b64_segment)
+    return F.when(text.rlike(fv.RE_BASE64_RUN), replace_matches(text, fv.RE_BASE64_RUN, _b64_segment)).otherwise(text)
 
 
 def _hex_segment(seg: Column) -> Column:
@@ -184,11 +217,37 @@ def tokens(text: Column) -> Column:
 TOKEN_MODES = {"full": (True, True), "join": (False, False), "rot13": (True, False), "confusables": (False, True)}
 
 
+#: Tokens that ROT13 turns into a lexicon word.
+RX_ROT13 = ci(f"{BOW}(?:" + "|".join(w.translate(str.maketrans(_ASCII, _ROT13)) for w in fv.LEXICON) + f"){EOW}")
+_MARK = "\x01"  # stands behind each token while whole texts are rewritten
+
+
 def deobfuscate_tokens(text: Column, use_rot13: bool = True, mode: str = "full") -> Column:
     """Tokenise, rewrite each token, and re-join with a space after every
-    alphanumeric token.  ``mode`` isolates one rewrite for stage queries."""
+    alphanumeric token.  ``mode`` isolates one rewrite for stage queries.
+
+    ASCII texts without a ROT13 form of a lexicon word are rewritten whole:
+    a mark behind each token, letters mapped, then blanks for the marks."""
     rot, conf = TOKEN_MODES[mode]
     rot = rot and use_rot13
+    simple = (F.octet_length(text) == F.length(text)) & ~text.contains(_MARK)
+    if rot:
+        simple = simple & ~text.rlike(RX_ROT13)
+    return F.when(simple, _ascii_tokens(text, conf)).otherwise(_each_token(text, rot, conf))
+
+
+def _ascii_tokens(text: Column, conf: bool) -> Column:
+    marked = F.regexp_replace(text, f"^{SPACE}+", "")
+    marked = F.regexp_replace(marked, f"([A-Za-z0-9_]+|[^A-Za-z0-9_{SPACE_CHARS}]){SPACE}*", f"$1{_MARK}")
+    if conf:  # "|" alone is no token of the gate: it stays as it is
+        keep = "|"
+        pairs = [(a, b) for a, b in fv.CONFUSABLES.items() if a != keep]
+        marked = F.translate(F.lower(marked), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    spaced = F.regexp_replace(marked, f"(?<=^|{_MARK})([A-Za-z0-9]+){_MARK}", "$1 ")
+    return F.rtrim(F.replace(spaced, F.lit(_MARK), F.lit("")))
+
+
+def _each_token(text: Column, rot: bool, conf: bool) -> Column:
     toks = tokens(text)
     if rot or conf:
         toks = F.transform(toks, lambda t: deobfuscate_token(t, rot, conf))
@@ -206,15 +265,16 @@ _SINGLE = f"(?:{BOW}[A-Za-z0-9]{EOW}|(?<={WORD})[@$#](?={WORD}))"
 RX_SINGLES_RUN = f"(?:{_SINGLE}{SPACE}*){{3,}}"
 
 
-def merge_split_letters(text: Column) -> Column:
+def merge_spaced_runs(text: Column) -> Column:
     def _merge(m: Column) -> Column:
         return F.concat(F.regexp_extract(m, f"^{SPACE}", 0), F.regexp_replace(m, _SEP, ""))
 
-    # Each pass is the identity unless its pattern occurs, so the interleave
-    # (higher-order functions, outside whole-stage codegen) is gated by rlike.
-    t = F.when(text.rlike(RX_SPLIT_RUN), replace_matches(text, RX_SPLIT_RUN, _merge)).otherwise(text)
-    return F.when(t.rlike(RX_SINGLES_RUN),
-                  replace_matches(t, RX_SINGLES_RUN, lambda m: F.regexp_replace(m, SPACE, ""))).otherwise(t)
+    return F.when(text.rlike(RX_SPLIT_RUN), replace_matches(text, RX_SPLIT_RUN, _merge)).otherwise(text)
+
+
+def merge_single_letters(text: Column) -> Column:
+    return F.when(text.rlike(RX_SINGLES_RUN),
+                  replace_matches(text, RX_SINGLES_RUN, lambda m: F.regexp_replace(m, SPACE, ""))).otherwise(text)
 
 
 RX_REPEAT = r"([^\n])\1{3,}"

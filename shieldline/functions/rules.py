@@ -1,11 +1,10 @@
 """Rule matching on normalised text.
 
-A rule pack is a small configuration table (``rules_source``).  It is read to
-the driver once — with a hard size check — and compiled into *literal*
-``rlike`` expressions, each behind an exact ``contains(anchor)`` pre-filter.
-Literal patterns are compiled once per task; a pattern taken from a joined
-column would be recompiled per row, and a theta-join on ``rlike`` plans as a
-nested-loop join, so neither is used on the hot path.
+A usual rule pack is a small configuration table (``rules_source``).  It is
+read to the driver once and compiled into *literal* ``rlike`` expressions, each
+behind an exact ``contains(anchor)`` pre-filter: literal patterns are compiled
+once per task.  A pack beyond ``LITERAL_BYTES`` is no projection any more; it
+stays a table and is matched by ``operators.rule_jobs.rule_hits_join``.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from .regex import portable
 
-MAX_RULES = 5000          # compiled into one projection; beyond this use rule_hits_join
+LITERAL_BYTES = 1 << 20   # of patterns that are compiled into one projection
 RULE_FLAGS = "(?is)"      # case-insensitive, dot matches newline
 
 
@@ -47,9 +46,9 @@ class RulePack:
 
     @staticmethod
     def from_df(rules_df: DataFrame) -> "RulePack":
-        n = rules_df.count()
-        if n > MAX_RULES:
-            raise ValueError(f"rule pack has {n} rules; more than {MAX_RULES} must use the join path")
+        size = rules_df.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
+        if size > LITERAL_BYTES:
+            raise ValueError(f"{size} bytes of patterns are no projection; match them with rule_hits_join")
         rows = rules_df.filter(F.col("enabled")).collect()
         return RulePack(tuple(
             Rule(r.rule_id, r.layer, r.grp, r.category, int(r.ord), tuple(r.anchors or ()), r.pattern)

@@ -68,31 +68,29 @@ _FIX_TYPE = T.StructType([
 
 
 @F.pandas_udf(_FIX_TYPE)
-def _fixups(raw: pd.Series, text: pd.Series) -> pd.DataFrame:
+def _fixups(raw: pd.Series, text: pd.Series, nfkc: pd.Series) -> pd.DataFrame:
     out_text, nfkc_changed, html_changed = [], [], []
-    for r, t in zip(raw, text):
+    for r, t, wanted in zip(raw, text, nfkc):
         if r is None:
             out_text.append(None)
             nfkc_changed.append(None)
             html_changed.append(None)
             continue
-        nfkc_changed.append(unicodedata.normalize("NFKC", r) != r)
+        nfkc_changed.append(bool(wanted) and unicodedata.normalize("NFKC", r) != r)
         html_changed.append(html.unescape(r) != r)
-        out_text.append(None if t is None else html.unescape(unicodedata.normalize("NFKC", t)))
+        out_text.append(None if t is None else html.unescape(unicodedata.normalize("NFKC", t) if wanted else t))
     return pd.DataFrame(
         {"text": out_text, "nfkc_changed": nfkc_changed, "html_changed": html_changed}
     )
 
 
-def python_fixups(raw: Column, text: Column, enabled: bool = True) -> Column:
-    """Struct(text, nfkc_changed, html_changed).  ``text`` is NFKC + unescape
-    of ``text``; the flags compare ``raw`` with its NFKC / unescaped form.
-    Gated rows get the identity result without leaving the JVM."""
-    if not enabled:
-        return F.struct(text.alias("text"), F.lit(False).alias("nfkc_changed"),
-                        F.lit(False).alias("html_changed"))
-    gate = needs_python_fixups(raw)
-    res = _fixups(F.when(gate, raw), F.when(gate, text))
+def python_fixups(raw: Column, text: Column, nfkc: bool = True) -> Column:
+    """Struct(text, nfkc_changed, html_changed).  ``text`` is NFKC (if wanted)
+    and unescape of ``text``; the flags compare ``raw`` with its NFKC /
+    unescaped form.  Rows that neither can change get the identity result
+    without leaving the JVM."""
+    gate = needs_python_fixups(raw) if nfkc else raw.contains("&")
+    res = _fixups(F.when(gate, raw), F.when(gate, text), F.lit(nfkc))
     return F.struct(
         F.when(gate, res["text"]).otherwise(text).alias("text"),
         F.when(gate, res["nfkc_changed"]).otherwise(F.lit(False)).alias("nfkc_changed"),

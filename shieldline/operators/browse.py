@@ -1,9 +1,10 @@
 """Log browsing: status / date filters, newest-first paging, id lookup, the
 review queue projection and the bounded "latest" views.
 
-Paging is a top-k (``orderBy(...).limit(page * size)`` → TakeOrderedAndProject:
-each task keeps at most k rows) followed by a row number over those k rows, so
-no global sort or single-partition window runs over the whole log.
+Pages are asked for by number or behind a known entry.  Behind an entry
+(``page_after``) a page is a top-k of ``page_size`` rows.  By number, the log is
+dealt into ranges of the order, each range's rows are counted, and only the
+ranges that hold the page are numbered: no task holds more than a range.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.enrich import risk_band
+from ..session import written
+from .analytics import utc
 
+#: Rows up to which a page by number is a top-k.
+FIRST_ROWS = 1_000
 VALID_FILTERS = ("ALL", "BLOCKED", "FLAGGED", "SAFE")
 
 
@@ -30,23 +35,43 @@ def log_filter(log: DataFrame, status: str | None) -> DataFrame:
 
 
 def log_date_range(log: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """Inclusive bounds compared as TIMESTAMPs (the service compared ISO
+    """Inclusive bounds, UTC, compared as TIMESTAMPs (the service compared ISO
     strings; a timestamp compare is the intended meaning)."""
     if date_from:
-        log = log.filter(F.col("timestamp") >= F.lit(date_from).cast("timestamp"))
+        log = log.filter(F.col("timestamp") >= utc(date_from))
     if date_to:
-        log = log.filter(F.col("timestamp") <= F.lit(date_to).cast("timestamp"))
+        log = log.filter(F.col("timestamp") <= utc(date_to))
     return log
 
 
 def page_of(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT) -> DataFrame:
     if page < 1 or not 1 <= page_size <= fv.PAGE_SIZE_MAX:
         raise ValueError("page >= 1 and 1 <= page_size <= 200")
-    k = page * page_size
-    top = log.orderBy(*_newest_first()).limit(k)
+    low, high = (page - 1) * page_size, page * page_size
     w = Window.orderBy(*_newest_first())
-    return (top.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") > (page - 1) * page_size))
+    if high <= FIRST_ROWS:  # the first pages: a bounded top-k
+        top = log.orderBy(*_newest_first()).limit(high)
+        return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > low)
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(log.repartitionByRange(n, *_newest_first()).withColumn("_range", F.spark_partition_id()), "log-ranges")
+    start, wanted = 0, {}
+    for r in ranges.groupBy("_range").count().orderBy("_range").collect():  # n rows at most
+        if start < high and start + r["count"] > low:
+            wanted[r["_range"]] = start
+        start += r["count"]
+    if not wanted:
+        return log.limit(0).withColumn("rank", F.lit(0))
+    before = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*_newest_first()))
+    held = ranges.filter(F.col("_range").isin(list(wanted))).withColumn("rank", (local + before[F.col("_range")]).cast("int"))
+    return held.filter((F.col("rank") > low) & (F.col("rank") <= high)).drop("_range")
+
+
+def page_after(log: DataFrame, timestamp, entry_id: str | None, page_size: int = fv.PAGE_SIZE_DEFAULT) -> DataFrame:
+    """The page behind a known entry: the next ``page_size`` rows, newest first."""
+    at, i = F.lit(timestamp), F.lit(entry_id)
+    behind = (F.col("timestamp") < at) | F.col("timestamp").isNull() | ((F.col("timestamp") == at) & (F.col("id") > i))
+    return log.filter(behind).orderBy(*_newest_first()).limit(page_size)
 
 
 def log_page(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT,
@@ -95,10 +120,18 @@ def queue_page(log: DataFrame, status: str = "ALL", page: int = 1,
                page_size: int = fv.PAGE_SIZE_DEFAULT) -> DataFrame:
     """An unknown filter means ALL (unlike the log browser)."""
     f = status.upper() if status and status.upper() in VALID_FILTERS else "ALL"
+    return page_of(_queue(log, f), page, page_size).withColumn("filter_applied", F.lit(f))
+
+
+def _queue(log: DataFrame, f: str) -> DataFrame:
     view = queue_view(log)
-    if f != "ALL":
-        view = view.filter(F.upper(F.col("status")) == f)
-    return page_of(view, page, page_size).withColumn("filter_applied", F.lit(f))
+    return view if f == "ALL" else view.filter(F.upper(F.col("status")) == f)
+
+
+def queue_total(log: DataFrame, status: str = "ALL") -> DataFrame:
+    """``total`` entries of the filtered queue, beside its pages."""
+    f = status.upper() if status and status.upper() in VALID_FILTERS else "ALL"
+    return _queue(log, f).agg(F.count("*").alias("total")).withColumn("filter_applied", F.lit(f))
 
 
 def retain_latest(log: DataFrame, n: int = fv.RETAIN_ENTRIES) -> DataFrame:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scoring import words
 from ..sources.rules_source import keywords_source
 
-# The keyword table is configuration; it is broadcast only under this bound.
-BROADCAST_KEYWORDS_MAX = 100_000
-
-
 def keyword_frequency(normalized: DataFrame, spark: SparkSession,
                       keywords: DataFrame | None = None) -> DataFrame:
     """Occurrences of each dangerous keyword across the corpus: explode the
@@ -19,8 +15,6 @@ def keyword_frequency(normalized: DataFrame, spark: SparkSession,
     partition by the hash aggregate before the shuffle, so a keyword that
     dominates the corpus never concentrates raw rows in one task."""
     kw = (keywords if keywords is not None else keywords_source(spark)).select(F.col("word").alias("keyword"))
-    if kw.count() <= BROADCAST_KEYWORDS_MAX:
-        kw = F.broadcast(kw)
     exploded = (normalized.select(F.explode_outer(words(F.col("normalized_text"))).alias("keyword"))
                 .filter(F.col("keyword").isNotNull()))
     return (exploded.join(kw, "keyword", "left_semi")

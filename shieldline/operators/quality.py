@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 
 # PII patterns: the national-ID rule is the policy's; phone and e-mail follow
 # the masks the dashboard shows.
 PII_PATTERNS = [
-    ("NATIONAL_ID", r"[23][0-9]{13}"),
-    ("PHONE", r"01[0125][0-9]{8}"),
+    ("NATIONAL_ID", r"(?<![0-9])" + fv.RE_NATIONAL_ID.replace(r"\d", "[0-9]") + r"(?![0-9])"),
+    ("PHONE", r"(?<![0-9])01[0125][0-9]{8}(?![0-9])"),
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("PASSWORD", r"(?i)(?<=password[:=]|password: |password is )[^ \t\r\n]+"),
 ]
 
 
-def mask_pii(text: Column) -> tuple[Column, dict[str, Column]]:
+def mask_pii(text: Column, national_id: bool = True) -> tuple[Column, dict[str, Column]]:
     """Masked text and per-type match counts (counted on the text as it is
-    before that type is masked)."""
+    before that type is masked).  A number within a longer one is no match.
+    ``national_id`` is the policy of that name."""
     counts = {}
     t = text
     for kind, pat in PII_PATTERNS:
+        if kind == "NATIONAL_ID" and not national_id:
+            continue
         counts[kind] = F.regexp_count(t, F.lit(pat))
         t = F.regexp_replace(t, pat, f"[REDACTED:{kind}]")
     return t, counts

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import MAX_RULES
+from ..functions.rules import RULE_FLAGS, RulePack, layer_hits
+from ..functions.regex import portable
+
+GRAM = 3   # characters of an anchor that a text is looked up by
 
 
 def rule_hits(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per (prompt, matching rule), from the ``matched_rule_ids``
-    computed by ``match_rules``; rule metadata comes from a broadcast of the
-    rule table, whose size is bounded by ``MAX_RULES``."""
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"rule table has {n} rows (> {MAX_RULES})")
-    dim = F.broadcast(rules.select("rule_id", "layer", "grp", "category"))
+    computed by ``match_rules``; rule metadata is joined on."""
+    dim = rules.select("rule_id", "layer", "grp", "category")
     # posexplode_outer + explicit filter: a plain explode lets the optimizer
     # infer size(array) > 0 and push it below the screening projection,
     # which would evaluate the whole pipeline twice.
@@ -24,6 +24,48 @@ def rule_hits(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.join(dim, "rule_id")
 
 
+def rule_hits_join(normalized: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same table for a pack of any size: (prompt_id, rule_id, layer, grp,
+    category), with the pack as a table.
+
+    A text meets a rule over the first characters of one of the rule's anchors:
+    the distinct character runs of a text that some anchor begins with are
+    joined to the anchors, then the whole anchor and the pattern are verified.
+    Texts are carried along only where an anchor's beginning occurs.  Rules
+    whose anchors are missing or shorter than ``GRAM`` have nothing to meet on;
+    those are compiled as literals (and have to fit there)."""
+    pack = rules.filter("enabled").select("rule_id", "layer", "grp", "category", "ord", "anchors", "pattern", "enabled")
+    short = (F.coalesce(F.size("anchors"), F.lit(0)) <= 0) | F.exists("anchors", lambda a: F.length(a) < GRAM)
+    anchored = pack.filter(~short).select("rule_id", "layer", "grp", "category", "pattern", F.explode("anchors").alias("anchor"))
+    anchored = anchored.withColumn("gram", F.substring("anchor", 1, GRAM))
+    texts = normalized.select("prompt_id", "normalized_text")
+    runs = F.transform(F.sequence(F.lit(1), F.length("normalized_text") - (GRAM - 1)),
+                       lambda i: F.substring(F.col("normalized_text"), i, F.lit(GRAM)))
+    grams = (texts.filter(F.length("normalized_text") >= GRAM)
+             .select("prompt_id", F.explode(F.array_distinct(runs)).alias("gram"))
+             .join(anchored.select("gram").distinct(), "gram", "left_semi"))
+    pairs = (grams.join(anchored, "gram").join(texts, "prompt_id")
+             .filter(F.expr("contains(normalized_text, anchor)"))
+             .dropDuplicates(["prompt_id", "rule_id"]))
+    found = pairs.filter(F.rlike("normalized_text", F.concat(F.lit(RULE_FLAGS), portable_udf("pattern"))))
+    literal = RulePack.from_df(pack.filter(short))
+    hits = [layer_hits(F.col("normalized_text"), literal.layer(n)) for n in ("arabic", "english")]
+    always = (texts.select("prompt_id", F.explode_outer(F.concat(*hits)["rule_id"]).alias("rule_id"))
+              .filter(F.col("rule_id").isNotNull())
+              .join(pack.select("rule_id", "layer", "grp", "category"), "rule_id"))
+    cols = ["prompt_id", "rule_id", "layer", "grp", "category"]
+    return found.select(cols).unionByName(always.select(cols))
+
+
+def portable_udf(column: str):
+    """``portable`` for a column of patterns (rules only, once per candidate)."""
+    @F.pandas_udf("string")
+    def convert(p: pd.Series) -> pd.Series:
+        return p.map({x: portable(x) for x in p.unique()})
+
+    return convert(column)
+
+
 def rule_group_stats(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     """Prompts and hits per layer × group with ROLLUP subtotals.  The
     distinct-prompt count is exact (count distinct over the partial

@@ -27,12 +27,16 @@ from ..functions.unicode_udf import python_fixups
 @dataclass(frozen=True)
 class Policies:
     """Stage switches.  Defaults reproduce the reference, which runs every
-    stage (ROT13 included) whatever its stored policy says."""
-    unicode_norm: bool = True     # NFKC + HTML unescape
+    stage (ROT13 included) whatever its stored policy says.  Tags and HTML
+    entities are undone whatever the policy."""
+    unicode_norm: bool = True     # look-alike letters and NFKC
     base64_hex: bool = True
     rot13: bool = True
     split_letter: bool = True
     franco: bool = True
+    ai_layer: bool = True         # the model layer, if there is a model
+    national_id: bool = True      # masking of national ids (``mask_pii``)
+    slang: bool = True            # declared only: the service has no code for it
 
 
 DEFAULT_POLICIES = Policies()
@@ -55,26 +59,22 @@ def normalize_prompts(df: DataFrame, text_col: str = "text",
         "_n_evil": sig["n_evil"], "_classic": sig["classic"],
     })
     loop, n_console, n_evil, classic = (F.col(c) for c in ("_loop", "_n_console", "_n_evil", "_classic"))
-    t = F.when(loop, F.regexp_replace(raw, nz.RX_LOOP_BODY, fv.TOKEN_INFINITE_LOOP)).otherwise(raw)
-    t = F.regexp_replace(t, nz.RX_CONSOLE, fv.TOKEN_DATA_LEAK)
-    t = F.regexp_replace(t, nz.RX_EVIL, fv.TOKEN_EVIL_CALL)
-    t = F.regexp_replace(t, nz.RX_CLASSIC, fv.TOKEN_JAILBREAK)
     df = df.withColumns({
         "intent_score": (
             F.when(loop, fv.W_INFINITE_LOOP).otherwise(0) + n_console * fv.W_CONSOLE_LEAK
             + n_evil * fv.W_EVIL_CALL + F.when(classic, fv.W_CLASSIC_PHRASE).otherwise(0)
         ).cast("int"),
-        "intent_text": nz.py_strip(t),
+        "intent_text": nz.rewritten(raw, loop, n_console, n_evil),
     })
     df = df.withColumn("_fix", python_fixups(raw, F.col("intent_text"), policies.unicode_norm))
-    t = nz.drop_emoji(nz.arabic_fold(nz.strip_tags(F.col("_fix.text"))))
+    steps = [nz.strip_tags, nz.arabic_fold, nz.drop_emoji]
     if policies.base64_hex:
-        t = nz.decode_hex_runs(nz.decode_base64_runs(t))
-    df = df.withColumn("_t9", t)
-    t = nz.deobfuscate_tokens(F.col("_t9"), policies.rot13)
+        steps += [nz.decode_base64_runs, nz.decode_hex_runs]
+    mode = "full" if policies.unicode_norm else "rot13"
+    steps.append(lambda t: nz.deobfuscate_tokens(t, policies.rot13, mode))
     if policies.split_letter:
-        t = nz.merge_split_letters(t)
-    df = df.withColumn("normalized_text", nz.collapse_repeats(t))
+        steps += [nz.merge_spaced_runs, nz.merge_single_letters]
+    df = nz.stages(df, F.col("_fix.text"), [*steps, nz.collapse_repeats], "normalized_text")
 
     norm = F.col("normalized_text")
     flags = [
@@ -89,7 +89,7 @@ def normalize_prompts(df: DataFrame, text_col: str = "text",
     arr = F.array_compact(F.array(*[F.when(c, F.lit(label)) for c, label in flags]))
     df = df.withColumn("transformations",
                        F.when(F.size(arr) == 0, F.array(F.lit(fv.TRANSFORM_NONE))).otherwise(arr))
-    return df.drop("_loop", "_n_console", "_n_evil", "_classic", "_fix", "_t9")
+    return df.drop("_loop", "_n_console", "_n_evil", "_classic", "_fix")
 
 
 def score_prompts(df: DataFrame, text_col: str = "text", threshold: int | None = None) -> DataFrame:
@@ -156,17 +156,6 @@ def keyword_density_scorer(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.array(preds, dtype="int32"), np.array(confs, dtype="float64")
 
 
-def scorer_udf(scorer: Scorer):
-    """Scalar Arrow UDF form of a scorer (NULL in → NULL out), for use on
-    short plans; ``apply_model`` uses the ``mapInPandas`` form."""
-    @F.pandas_udf(T.StructType([T.StructField("ai_prediction", T.IntegerType()),
-                                T.StructField("ai_confidence", T.DoubleType())]))
-    def _score(text: pd.Series) -> pd.DataFrame:
-        pred, conf = _run_scorer(scorer, text, text.notna().to_numpy())
-        return pd.DataFrame({"ai_prediction": pred, "ai_confidence": conf})
-    return _score
-
-
 def _run_scorer(scorer: Scorer, text: pd.Series, mask: np.ndarray):
     pred = pd.array([None] * len(text), dtype="Int32")
     conf = pd.array([None] * len(text), dtype="Float64")
@@ -198,7 +187,16 @@ def score_gated(df: DataFrame, scorer: Scorer) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-BROADCAST_PREDICTIONS_MAX_ROWS = 2_000_000
+def with_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Joins ``_model`` = (ai_prediction, ai_confidence) by prompt_id, one row
+    per prompt (of several, the greatest).  Joined to prompts before they are
+    screened, so that only (id, text) is shuffled.  A row with a NULL prediction
+    is a failure of the model: (0, 0.0); no row leaves ``_model`` NULL."""
+    one = predictions.groupBy("prompt_id").agg(F.max(F.struct(
+        F.col("ai_prediction").cast("int").alias("p"), F.col("ai_confidence").cast("double").alias("c"))).alias("_m"))
+    model = F.when(F.col("_m.p").isNull(), F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("c"))).otherwise(
+        F.struct(F.col("_m.p").alias("p"), F.coalesce("_m.c", F.lit(0.0)).alias("c")))
+    return df.join(one.select("prompt_id", model.alias("_model")), "prompt_id", "left")
 
 
 def apply_model(df: DataFrame, model=None, use_ai: bool = True) -> DataFrame:
@@ -212,23 +210,19 @@ def apply_model(df: DataFrame, model=None, use_ai: bool = True) -> DataFrame:
         df = df.withColumns({"ai_prediction": F.lit(None).cast("int"),
                              "ai_confidence": F.lit(None).cast("double")})
     elif isinstance(model, DataFrame):
-        preds = model.select("prompt_id", F.col("ai_prediction").cast("int").alias("_p"),
-                             F.col("ai_confidence").cast("double").alias("_c"))
-        if preds.count() <= BROADCAST_PREDICTIONS_MAX_ROWS:
-            preds = F.broadcast(preds)
-        df = df.join(preds, "prompt_id", "left")
+        if "_model" not in df.columns:
+            df = with_predictions(df, model)
         act = F.col("ai_activated")
-        # A gated prompt without a prediction counts as a model failure (0, 0.0).
-        df = df.withColumns({
-            "ai_prediction": F.when(act, F.coalesce("_p", F.lit(0))).cast("int"),
-            "ai_confidence": F.when(act, F.coalesce("_c", F.lit(0.0))).cast("double"),
-        }).drop("_p", "_c")
+        # A gated prompt without a prediction is not scored yet: its verdict stays.
+        df = df.withColumns({"ai_prediction": F.when(act, F.col("_model.p")),
+                             "ai_confidence": F.when(act, F.col("_model.c"))}).drop("_model")
     else:
         df = score_gated(df, model)
     fused = vd.model_fuse(score, decision, F.col("ai_activated"),
                           F.col("ai_prediction"), F.col("ai_confidence"))
     return df.withColumns(fused).withColumns({
-        "ai_reason": vd.activation_reason(F.col("ai_activated"), enabled, score, decision),
+        "ai_reason": F.when(F.col("ai_activated") & F.col("ai_prediction").isNull(), "no prediction").otherwise(
+            vd.activation_reason(F.col("ai_activated"), enabled, score, decision)),
         "ai_label": vd.ai_label(F.col("ai_prediction")),
     })
 
@@ -283,16 +277,37 @@ def screen_prompts(df: DataFrame, pack: rl.RulePack, text_col: str = "text", *,
                    enrich: bool = True) -> DataFrame:
     """The whole analysis (SDK ``analyze``/``batch_analyze`` + engine
     enrichment) as one job over a table of prompts."""
+    use_ai = use_ai and policies.ai_layer
+    if use_ai and isinstance(model, DataFrame):
+        df = with_predictions(df, model)
     out = normalize_prompts(df, text_col, policies)
     out = score_prompts(out, text_col, threshold)
     out = match_rules(out, pack)
     out = apply_model(out, model, use_ai)
     out = final_verdict(out, strict)
+    out = out.withColumn("pipeline_steps", pipeline_steps(text_col))
     if enrich:
         out = enrich_verdicts(out, text_col, source, logged_at, policies)
     return out
 
 
+def pipeline_steps(text_col: str = "text") -> Column:
+    """The nested report of the three phases, as the log keeps it."""
+    def layer(a: str) -> Column:
+        return F.struct(F.col(f"{a}_fired").alias("fired"), F.col(f"{a}_category").alias("category"),
+                        F.col(f"{a}_match_count").alias("match_count"), F.col(f"{a}_patterns").alias("matched_patterns"))
+
+    return F.struct(
+        F.struct(F.col(text_col).alias("raw_input"), "normalized_text", "intent_score", "code_score", "arabic_kw_score",
+                 "keyword_score", "base_score", "pipeline_decision", "transformations").alias("phase_1_normalization"),
+        F.struct(F.lit("normalized_text").alias("ran_on"), layer("ar").alias("arabic"), layer("en").alias("english"),
+                 "regex_score_bump", "score_after_regex", "decision_after_regex").alias("phase_2_regex"),
+        F.struct(F.col("ai_activated").alias("activated"), F.col("ai_reason").alias("reason"), F.col("ai_prediction").alias("prediction"),
+                 F.col("ai_confidence_rounded").alias("confidence"), F.col("ai_label").alias("label"),
+                 F.col("ai_score_contribution").alias("score_contribution"), "decision_after_ai").alias("phase_3_ai"),
+        F.col("score").alias("final_score"), F.col("decision").alias("final_decision"))
+
+
 def check_prompts(screened: DataFrame) -> DataFrame:
     """``check`` / ``batch_check``: True for a safe prompt."""
     return screened.select("prompt_id", (~F.col("is_flagged")).alias("is_safe"))
@@ -301,7 +316,7 @@ def check_prompts(screened: DataFrame) -> DataFrame:
 LOG_COLUMNS = [
     "id", "timestamp", "raw", "normalized_text", "decision", "status", "risk", "score",
     "is_blocked", "is_flagged", "matched_pattern", "all_matched_patterns", "reason",
-    "ai_confidence", "ai_prediction", "vector", "decision_source", "lang_dist",
+    "ai_confidence", "ai_prediction", "vector", "decision_source", "lang_dist", "pipeline_steps",
 ]
 
 

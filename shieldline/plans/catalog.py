@@ -19,7 +19,8 @@ from ..functions import scoring as sc
 from ..functions.rules import RulePack
 from ..functions.unicode_udf import python_fixups
 from ..operators import screen as S
-from ..sources.prompts import ensure_parallelism, read_prompts, read_table
+from ..session import scratch_path
+from ..sources.prompts import read_prompts, read_table
 from ..sources.rules_source import rules_source
 from . import oracle as O
 
@@ -37,18 +38,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-_PACKS: dict[int, RulePack] = {}
+def pack(spark: SparkSession) -> RulePack:
+    return RulePack.from_df(rules_source(spark))
 
 
-def pack(spark: SparkSession) -> RulePack:
-    key = id(spark)
-    if key not in _PACKS:
-        _PACKS[key] = RulePack.from_df(rules_source(spark))
-    return _PACKS[key]
+#: Tasks that prompts are dealt over; None leaves the splits of the files.  The
+#: bench sets it, because its tables are one file each.
+TASKS: int | None = None
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(TASKS) if TASKS else df
 
 
 def prompts(spark, sf, source="documents"):
-    return ensure_parallelism(read_prompts(spark, sf, source))
+    return dealt(read_prompts(spark, sf, source))
 
 
 def screened(spark, sf, source="documents", **kw) -> DataFrame:
@@ -113,7 +117,7 @@ def q_norm_intent(spark, sf):
     return stage(spark, sf, nz.intent_rewrite(F.col("text")), "intent_text")
 
 
-@register("norm_nfkc")
+@register("norm_nfkc", stage_sql(O.html_unescape(O.nfkc("text")), "nfkc_text"))
 def q_norm_nfkc(spark, sf):
     t = F.col("text")
     return stage(spark, sf, python_fixups(t, t)["text"], "nfkc_text")
@@ -124,7 +128,7 @@ PAGES_HTML_SQL = (f"SELECT page_id, {O.strip_tags(O.html_unescape('html'))} AS t
 
 @register("norm_html", PAGES_HTML_SQL)
 def q_norm_html(spark, sf):
-    pages = ensure_parallelism(read_table(spark, sf, "pages"))
+    pages = dealt(read_table(spark, sf, "pages"))
     h = F.col("html")
     return pages.select("page_id", nz.strip_tags(python_fixups(h, h)["text"]).alias("text"))
 
@@ -168,7 +172,8 @@ def q_norm_confusables(spark, sf):
           stage_sql(O.merge_split_letters_pass2(O.merge_split_letters_pass1(O.deobfuscate_tokens("text", mode="join"))),
                     "merged"))
 def q_norm_split(spark, sf):
-    return stage(spark, sf, nz.merge_split_letters(nz.deobfuscate_tokens(F.col("text"), mode="join")), "merged")
+    steps = [lambda t: nz.deobfuscate_tokens(t, mode="join"), nz.merge_spaced_runs, nz.merge_single_letters]
+    return nz.stages(prompts(spark, sf), F.col("text"), steps, "merged").select("prompt_id", "merged")
 
 
 @register("norm_collapse", stage_sql(O.collapse_repeats("text"), "collapsed"))
@@ -333,7 +338,14 @@ def q_model_gate(spark, sf):
         "prompt_id", "score_after_regex", "decision_after_regex", "ai_activated")
 
 
-@register("model_score")
+KEYWORD_HITS = (f"len(list_filter(string_split_regex(trim(normalized_text, ' '), {O.lit(O.SPACE + '+')}), "
+                f"lambda w: list_contains({O.str_list(fv.DANGEROUS_KEYWORDS)}, w)))")
+KEYWORD_WORDS = f"greatest(len(list_filter(string_split_regex(normalized_text, {O.lit(O.SPACE + '+')}), lambda w: w <> '')), 1)"
+DENSITY_SQL = (f"SELECT prompt_id, (p >= 0.5)::INTEGER AS ai_prediction, round_even(CASE WHEN p >= 0.5 THEN p ELSE 1.0 - p END, 4) AS ai_confidence FROM "
+               f"(SELECT prompt_id, CASE WHEN {KEYWORD_HITS} > 0 THEN least(0.5 + 2.0 * {KEYWORD_HITS} / {KEYWORD_WORDS}, 0.99) ELSE 0.2 END::DOUBLE AS p FROM p6)")
+
+
+@register("model_score", pipe_sql("SELECT prompt_id, ai_activated, ai_prediction, ai_confidence, decision_after_ai FROM screened", model=DENSITY_SQL))
 def q_model_score(spark, sf):
     out = screened(spark, sf, model=S.keyword_density_scorer, enrich=False)
     return out.select("prompt_id", "ai_activated", "ai_prediction", "ai_confidence", "decision_after_ai")
@@ -370,6 +382,20 @@ def q_screen(spark, sf):
     return screened_model(spark, sf).select(*SCREEN_COLS)
 
 
+STEPS = {
+    "raw_input": ("phase_1_normalization.raw_input", "text"), "base_score": ("phase_1_normalization.base_score", "base_score"),
+    "pipeline_decision": ("phase_1_normalization.pipeline_decision", "pipeline_decision"),
+    "arabic_category": ("phase_2_regex.arabic.category", "ar_category"), "english_count": ("phase_2_regex.english.match_count", "en_match_count"),
+    "score_after_regex": ("phase_2_regex.score_after_regex", "score_after_regex"), "activated": ("phase_3_ai.activated", "ai_activated"),
+    "label": ("phase_3_ai.label", "ai_label"), "decision_after_ai": ("phase_3_ai.decision_after_ai", "decision_after_ai"),
+    "final_score": ("final_score", "score"), "final_decision": ("final_decision", "decision")}
+
+
+@register("pipeline_steps", model_sql("SELECT prompt_id, " + ", ".join(f"{sql} AS {c}" for c, (_, sql) in STEPS.items()) + " FROM screened"))
+def q_steps(spark, sf):
+    return screened_model(spark, sf, enrich=False).select("prompt_id", *[F.col(f"pipeline_steps.{p}").alias(c) for c, (p, _) in STEPS.items()])
+
+
 @register("check_prompts", model_sql("SELECT prompt_id, NOT is_flagged AS is_safe FROM screened"))
 def q_check(spark, sf):
     return S.check_prompts(screened_model(spark, sf, enrich=False))
@@ -426,7 +452,7 @@ def q_enrich(spark, sf):
 from ..operators import analytics as A  # noqa: E402
 from ..operators import browse as B  # noqa: E402
 from ..operators import review as R  # noqa: E402
-from ..operators.quality import PII_PATTERNS, detection_quality, mask_pii  # noqa: E402
+from ..operators.quality import detection_quality, mask_pii  # noqa: E402
 from ..sources.threat_log import append_threat_log, materialize, read_threat_log  # noqa: E402
 from ..streaming import jobs as J  # noqa: E402
 
@@ -480,7 +506,7 @@ def q_status_counts(spark, sf):
 
 @register("status_counts_prompts", pipe_sql(f"SELECT {STATUS_COUNTS} FROM screened", source=CONV))
 def q_status_counts_prompts(spark, sf):
-    """Flagship: screen the user turns of the conversations, count verdicts."""
+    """Flagship: screen the turns of the conversations, count verdicts."""
     return A.status_counts(screened(spark, sf, "conversations"))
 
 
@@ -542,13 +568,27 @@ def q_timeline_24h(spark, sf):
     return A.timeline(spark, events_log(spark, sf), "2024-01-15 12:00:00", 24)
 
 
+DASHBOARD_LISTS = (
+    "(SELECT '[' || string_agg('{\"subject\":\"' || subject || '\",\"value\":' || value::VARCHAR || '}', ',' ORDER BY ord) || ']' FROM ("
+    "SELECT ord, subject, CASE WHEN n > 0 THEN round_even(total / n, 1) ELSE 0.0 END::DOUBLE AS value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS ord, '{fv.LANG_LABELS[a]}' AS subject, sum(coalesce(lang_dist.{a}, 0.0)) AS total, "
+        f"count(*) AS n FROM combined_log" for i, a in enumerate(fv.LANG_AXES)) + "))) AS language_dist, "
+    "(SELECT '[' || coalesce(string_agg('{\"name\":\"' || name || '\",\"count\":' || count || ',\"color\":\"' || color || '\"}', ',' "
+    f"ORDER BY count DESC, first_seen, name), '') || ']' FROM ({BREAKDOWN_SQL})) AS attack_breakdown, "
+    "(SELECT '[' || string_agg('{\"time\":\"' || time || '\",\"blocked\":' || blocked || ',\"flagged\":' || flagged || ',\"safe\":' || safe || '}', ',' "
+    f"ORDER BY slot) || ']' FROM ({timeline_sql('combined_log', '2024-01-31 00:00:00', 720)})) AS timeline")
+
+
 @register("dashboard_summary", log_sql(
     f"SELECT total AS total_requests, blocked AS total_blocked, flagged AS total_flagged, safe AS total_safe, "
     f"CASE WHEN total > 0 THEN round_even((blocked + flagged) / total * 100, 1) ELSE 0.0 END::DOUBLE AS threat_rate, "
     f"{fv.MODEL_ACCURACY_CONSTANT} AS ai_accuracy, coalesce((SELECT name FROM ({BREAKDOWN_SQL}) "
-    f"ORDER BY count DESC, first_seen, name LIMIT 1), 'None') AS top_vector FROM (SELECT {STATUS_COUNTS} FROM combined_log)"))
+    f"ORDER BY count DESC, first_seen, name LIMIT 1), 'None') AS top_vector, {DASHBOARD_LISTS} "
+    f"FROM (SELECT {STATUS_COUNTS} FROM combined_log)"))
 def q_dashboard(spark, sf):
-    return A.dashboard_summary(combined_log(spark, sf))
+    return A.dashboard_summary(combined_log(spark, sf), "2024-01-31 00:00:00", 720).withColumns(
+        {c: F.to_json(c) for c in ("language_dist", "attack_breakdown", "timeline")})
 
 
 # ---------------------------------------------------------------------------
@@ -602,6 +642,21 @@ def q_queue_page(spark, sf):
         "rank", "id", "status", "risk", "score", "filter_applied")
 
 
+@register("queue_total", log_sql(
+    "SELECT count(*) AS total, 'FLAGGED' AS filter_applied FROM combined_log WHERE id IS NOT NULL AND timestamp IS NOT NULL "
+    "AND upper(coalesce(status, 'SAFE')) = 'FLAGGED'"))
+def q_queue_total(spark, sf):
+    return B.queue_total(combined_log(spark, sf), "flagged")
+
+
+@register("log_page_deep", events_sql(
+    "SELECT rank, id FROM (SELECT row_number() OVER (ORDER BY timestamp DESC NULLS LAST, id) "
+    "AS rank, id FROM events_log) q WHERE rank > 4000 AND rank <= 4100"))
+def q_log_page_deep(spark, sf):
+    """A page far behind the first ones, found by ranges of the order."""
+    return B.page_of(events_log(spark, sf), page=41, page_size=100).select("rank", "id")
+
+
 @register("retain_latest", log_sql(
     f"SELECT id, timestamp, status FROM combined_log ORDER BY timestamp DESC NULLS LAST, id LIMIT {fv.RETAIN_ENTRIES}"))
 def q_retain(spark, sf):
@@ -695,6 +750,18 @@ def q_lists(spark, sf):
     return R.allow_block_lists(docs_log(spark, sf), reviews(spark, sf))
 
 
+@register("apply_lists", review_sql(
+    "SELECT id, decision, list_decision FROM (SELECT d.id, d.decision, CASE WHEN k.list = 'block' THEN 'BLOCKED' WHEN k.list = 'allow' "
+    "THEN 'SAFE' ELSE d.decision END AS list_decision FROM docs_log d LEFT JOIN (SELECT text_hash, max(list) AS list FROM ("
+    "SELECT CASE WHEN action = 'approve' THEN 'allow' ELSE 'block' END AS list, sha256(normalized_text) AS text_hash "
+    "FROM latest l JOIN docs_log e ON e.id = l.item_id WHERE action IN ('approve', 'block')) GROUP BY text_hash) k "
+    "ON k.text_hash = sha256(d.normalized_text))"))
+def q_apply_lists(spark, sf):
+    log = docs_log(spark, sf)
+    lists = R.allow_block_lists(log, reviews(spark, sf))
+    return R.apply_lists(log.withColumn("prompt_id", F.col("id")), lists).select("id", "decision", "list_decision")
+
+
 RETRAIN_SAVED_AT = "2024-02-05T00:00:00+00:00"
 
 
@@ -711,15 +778,30 @@ def q_retraining(spark, sf):
 # ---------------------------------------------------------------------------
 # 2.9 policy, masking, quality
 # ---------------------------------------------------------------------------
-def _mask_sql(t: str) -> tuple[str, list[str]]:
-    counts = []
-    for kind, pat in PII_PATTERNS:
-        counts.append(f"len(regexp_extract_all({t}, {O.lit(pat)}, 0)) AS n_{kind.lower()}")
-        t = f"regexp_replace({t}, {O.lit(pat)}, '[REDACTED:{kind}]', 'g')"
+PII_SQL = [("NATIONAL_ID", "[23][0-9]{13}", True), ("PHONE", "01[0125][0-9]{8}", True),
+           ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", False),
+           ("PASSWORD", r"(?i)password(?:[:=] ?| is )[^ \t\r\n]+", False)]
+
+
+def _pii_sql(t: str) -> tuple[str, dict[str, str]]:
+    """(masked text, counts): numbers are whole runs of digits that match."""
+    counts = {}
+    for kind, pat, number in PII_SQL:
+        if number:
+            runs = f"regexp_extract_all({t}, '[0-9]+|[^0-9]+', 0)"
+            is_one = f"regexp_full_match(r, {O.lit(pat)})"
+            counts[kind] = f"len(list_filter({runs}, lambda r: {is_one}))"
+            t = f"coalesce(array_to_string(list_transform({runs}, lambda r: CASE WHEN {is_one} THEN '[REDACTED:{kind}]' ELSE r END), ''), '')"
+        elif kind == "PASSWORD":
+            counts[kind] = f"len(regexp_extract_all({t}, {O.lit(pat)}, 0))"
+            t = f"regexp_replace({t}, {O.lit('(?i)(password(?:[:=] ?| is ))[^ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+')}, '\\1[REDACTED:PASSWORD]', 'g')"
+        else:
+            counts[kind] = f"len(regexp_extract_all({t}, {O.lit(pat)}, 0))"
+            t = f"regexp_replace({t}, {O.lit(pat)}, '[REDACTED:{kind}]', 'g')"
     return t, counts
 
 
-_MASKED, _COUNTS = _mask_sql("text")
+_MASKED, _COUNTS = _pii_sql("text")
 
 
 @register("mask_pii", f"SELECT prompt_id, {_MASKED} AS masked_text FROM ({DOCS})")
@@ -728,22 +810,10 @@ def q_mask(spark, sf):
     return prompts(spark, sf).select("prompt_id", masked.alias("masked_text"))
 
 
-def _pii_counts_sql() -> str:
-    t, cols = "text", []
-    for kind, pat in PII_PATTERNS:
-        cols.append(f"sum(len(regexp_extract_all({t}, {O.lit(pat)}, 0)))::BIGINT AS n_{kind.lower()}")
-        t = f"regexp_replace({t}, {O.lit(pat)}, '[REDACTED:{kind}]', 'g')"
-    return f"SELECT {', '.join(cols)} FROM ({DOCS})"
-
-
-@register("pii_counts", _pii_counts_sql())
+@register("pii_counts", "SELECT " + ", ".join(f"sum({e})::BIGINT AS n_{k.lower()}" for k, e in _COUNTS.items()) + f" FROM ({DOCS})")
 def q_pii_counts(spark, sf):
-    t = F.col("text")
-    exprs = []
-    for kind, pat in PII_PATTERNS:
-        exprs.append(F.sum(F.regexp_count(t, F.lit(pat))).alias(f"n_{kind.lower()}"))
-        t = F.regexp_replace(t, pat, f"[REDACTED:{kind}]")
-    return prompts(spark, sf).agg(*exprs)
+    _, counts = mask_pii(F.col("text"))
+    return prompts(spark, sf).agg(*[F.sum(c).alias(f"n_{k.lower()}") for k, c in counts.items()])
 
 
 @register("detection_quality", model_sql(
@@ -754,21 +824,23 @@ def q_pii_counts(spark, sf):
     "count_if(NOT is_flagged AND toxic <> 1) AS tn, count_if(NOT is_flagged AND toxic = 1) AS fn "
     "FROM screened s JOIN labels l ON l.doc_id = s.prompt_key)"))
 def q_quality(spark, sf):
-    return detection_quality(screened_model(spark, sf, enrich=False), read_table(spark, sf, "labels"))
+    """Only labelled prompts are screened: a semi-join before the screening."""
+    labels = read_table(spark, sf, "labels")
+    labelled = prompts(spark, sf).join(labels.select(F.col("doc_id").alias("prompt_key")).distinct(), "prompt_key", "left_semi")
+    out = S.screen_prompts(labelled, pack(spark), model=predictions(spark, sf), logged_at=LOGGED_AT, enrich=False)
+    return detection_quality(out, labels)
 
 
 # ---------------------------------------------------------------------------
 # 2.1 log storage round trip, 2.10 streaming
 # ---------------------------------------------------------------------------
 @register("read_threat_log", pipe_sql(
-    "SELECT id, status, score, vector, decision FROM screened", source=CONV))
+    "SELECT id, status, score, vector, decision, base_score FROM screened", source=CONV))
 def q_read_log(spark, sf):
-    from ..session import ensure_checkpoint_dir
-    import uuid
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/threat_log-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "threat_log")
     log = S.to_log(screened(spark, sf, "conversations"))
     append_threat_log(log, path)
-    return read_threat_log(spark, path).select("id", "status", "score", "vector", "decision")
+    return read_threat_log(spark, path).select("id", "status", "score", "vector", "decision", "base_score")
 
 
 @register("stream_screen", pipe_sql("SELECT prompt_id, decision, score, status, vector FROM screened"))
@@ -777,7 +849,8 @@ def q_stream_screen(spark, sf):
     return J.run_once(s.select("prompt_id", "decision", "score", "status", "vector"), "stream_screen")
 
 
-@register("stream_counters", pipe_sql("SELECT vector, count(*) AS n FROM screened GROUP BY vector"))
+@register("stream_counters", pipe_sql(
+    "SELECT vector, count(*) AS n, " + ", ".join(f"sum(coalesce(lang_dist.{a}, 0.0)) AS {a}_sum" for a in fv.LANG_AXES) + " FROM screened GROUP BY vector"))
 def q_stream_counters(spark, sf):
     s = J.stream_screen(spark, sf, pack(spark), "documents", logged_at=LOGGED_AT)
     return J.run_once(J.stream_counters(s), "stream_counters", mode="complete")
@@ -797,16 +870,16 @@ def stream_timeline_sql(as_of: str, hours: int) -> str:
 @register("stream_timeline", stream_timeline_sql("2024-01-31 00:00:00", 720))
 def q_stream_timeline(spark, sf):
     ev = J.read_stream_table(spark, sf, "events")
-    res = J.run_once(J.stream_timeline(ev, "2024-01-31 00:00:00", 720, lateness="31 days"),
-                     "stream_timeline", mode="complete")
-    return J.timeline_slots(res, "2024-01-31 00:00:00", 720)
+    res = J.run_once(J.stream_timeline(ev, "2024-01-31 00:00:00", 720, lateness="1 day"), "stream_timeline", mode="update")
+    latest = res.groupBy("w").agg(F.max(F.struct("epoch", "blocked", "flagged", "safe")).alias("x")).select("w", "x.blocked", "x.flagged", "x.safe")
+    return J.timeline_slots(latest, "2024-01-31 00:00:00", 720)
 
 
 @register("stream_dedupe", "SELECT DISTINCT user_id, event_type, props FROM events")
 def q_stream_dedupe(spark, sf):
     ev = J.read_stream_table(spark, sf, "events")
     keys = ["user_id", "event_type", "props"]
-    return J.run_once(J.stream_dedupe(ev, keys).select(*keys), "stream_dedupe")
+    return J.run_once(J.stream_dedupe(ev, keys, watermark="60 days").select(*keys), "stream_dedupe")
 
 
 @register("append_threat_log", pipe_sql(
@@ -814,10 +887,9 @@ def q_stream_dedupe(spark, sf):
 def q_append_log(spark, sf):
     """Append the screened conversation log as day-partitioned parquet, then
     read one day back (partition pruning on ``dt``)."""
-    from ..session import ensure_checkpoint_dir
-    import uuid
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/threat_log_parquet-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "threat_log_parquet")
     append_threat_log(S.to_log(screened(spark, sf, "conversations")), path, fmt="parquet")
+    append_threat_log(S.to_log(screened(spark, sf, "conversations", logged_at="2024-01-29 12:00:00")), path, fmt="parquet")
     back = spark.read.parquet(path).filter(F.col("dt") == F.lit(LOGGED_AT[:10]).cast("date"))
     return back.select("id", "status", "score", "dt")
 
@@ -828,9 +900,7 @@ def q_append_log(spark, sf):
 def q_retraining_roundtrip(spark, sf):
     """build_retraining → append JSON lines → read back with the nullable
     retraining schema."""
-    from ..session import ensure_checkpoint_dir
     from ..sources.threat_log import append_retraining, read_retraining
-    import uuid
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/retraining-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "retraining")
     append_retraining(R.build_retraining(docs_log(spark, sf), reviews(spark, sf), RETRAIN_SAVED_AT), path)
     return read_retraining(spark, path).select("id", "label", "score", "vector", "notes")

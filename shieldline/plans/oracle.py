@@ -8,9 +8,9 @@ single-letter runs are evaluated on character / segment lists with bounded
 neighbour look-ups.
 
 Known limits of the oracle (documented, not hidden): DuckDB has no NFKC, so
-NFKC is taken as identity and the "unicode_nfkc" flag uses NFC; HTML
-unescaping covers the XML entities plus the named entities found in the
-given ``pages`` table.
+NFKC is NFC plus a table of the compatibility characters that the seeded texts
+hold; HTML unescaping covers the XML entities plus the named entities found in
+the given ``pages`` table.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def prompts_sql(source: str = "conversations") -> str:
     if source == "conversations":
         key = "conv_id * 31 + turn"
         return (f"SELECT 'c' || conv_id::VARCHAR || '-' || turn::VARCHAR AS prompt_id, {key} AS prompt_key, "
-                f"{seeded('text::VARCHAR', key)} AS text FROM conversations WHERE role = 'user'")
+                f"{seeded('text::VARCHAR', key)} AS text FROM conversations")
     if source == "documents":
         return (f"SELECT 'd' || doc_id::VARCHAR AS prompt_id, doc_id AS prompt_key, "
                 f"{seeded('text::VARCHAR', 'doc_id')} AS text FROM documents")
@@ -67,7 +67,11 @@ def prompts_sql(source: str = "conversations") -> str:
 # normalisation stages (each maps a SQL text expression to one)
 # ---------------------------------------------------------------------------
 RE2_EVIL_COUNT = r"(?i)([\p{L}\p{N}_]?)(?:exploit|bypass|leak|reveal)[A-Za-z]*" + SPACE + r"*\("
-RE2_EVIL_REPLACE = r"(?i)(^|[^\p{L}\p{N}_])(?:exploit|bypass|leak|reveal)[A-Za-z]*" + SPACE + r"*\("
+
+
+def replace_all(t: str, found: str, token: str) -> str:
+    """Every occurrence of each of the found literals, one literal after another."""
+    return f"list_reduce(list_concat([{t}], {found}), lambda acc, m: replace(acc, m, {lit(token)}))"
 
 
 def intent_signals(raw: str) -> dict[str, str]:
@@ -88,8 +92,10 @@ def intent_score(raw: str) -> str:
 def intent_rewrite(raw: str) -> str:
     s = intent_signals(raw)
     t = f"CASE WHEN {s['loop']} THEN {replace_rx(raw, nz.RX_LOOP_BODY, fv.TOKEN_INFINITE_LOOP)} ELSE {raw} END"
-    t = replace_rx(t, nz.RX_CONSOLE, fv.TOKEN_DATA_LEAK)
-    t = f"regexp_replace({t}, {lit(RE2_EVIL_REPLACE)}, {lit(chr(92) + '1' + fv.TOKEN_EVIL_CALL)}, 'g')"
+    t = replace_all(t, f"regexp_extract_all({raw}, {lit(nz.RX_CONSOLE)}, 0)", fv.TOKEN_DATA_LEAK)
+    calls = (f"list_filter(regexp_extract_all({raw}, {lit(RE2_EVIL_COUNT)}, 0), "
+             f"lambda m, i: regexp_extract_all({raw}, {lit(RE2_EVIL_COUNT)}, 1)[i] = '')")
+    t = replace_all(t, calls, fv.TOKEN_EVIL_CALL)
     t = replace_rx(t, nz.RX_CLASSIC, fv.TOKEN_JAILBREAK)
     return py_strip(t)
 
@@ -108,6 +114,18 @@ def html_unescape(t: str) -> str:
     return t
 
 
+# What NFKC makes of the compatibility characters that the seeded texts hold.
+NFKC_TABLE = [("\uff49", "i"), ("\uff47", "g"), ("\uff4e", "n"), ("\uff4f", "o"), ("\uff52", "r"), ("\uff45", "e"),
+              ("\ufb01", "fi"), ("\u2460", "1"), ("\u2461", "2")]
+
+
+def nfkc(t: str) -> str:
+    t = f"nfc_normalize({t})"
+    for a, b in NFKC_TABLE:
+        t = f"replace({t}, {lit(a)}, {lit(b)})"
+    return t
+
+
 def strip_tags(t: str) -> str:
     return replace_rx(t, fv.RE_HTML_TAG, "")
 
@@ -124,12 +142,16 @@ PRINTABLE = r"[\x{20}-\x{7E}]+"
 
 
 def decode_base64_runs(t: str) -> str:
-    data = "rtrim(s, '=')"
+    group = "=*[A-Za-z0-9+/]=*[A-Za-z0-9+/]"
+    whole = f"^((?:{group}=?[A-Za-z0-9+/][A-Za-z0-9+/])*)(?:({group})==|({group}=?[A-Za-z0-9+/])=|=*$)"
+    filled = "rpad(s, (((length(s) + 3) // 4) * 4)::INTEGER, '=')"
+    data = (f"replace(concat(regexp_extract({filled}, {lit(whole)}, 1), regexp_extract({filled}, {lit(whole)}, 2), "
+            f"regexp_extract({filled}, {lit(whole)}, 3)), '=', '')")
     padded = f"rpad({data}, (((length({data}) + 3) // 4) * 4)::INTEGER, '=')"
     dec = f"try(decode(from_base64({padded})))"
-    ok = (f"length(s) >= 12 AND regexp_full_match(s, '[A-Za-z0-9+/]+=*') AND length({data}) % 4 <> 1 "
+    ok = (f"length(s) >= 12 AND regexp_full_match(s, '[A-Za-z0-9+/=]+') AND regexp_matches({filled}, {lit(whole)}) "
           f"AND regexp_full_match(coalesce({dec}, ''), {lit(PRINTABLE)})")
-    return (f"array_to_string(list_transform(regexp_extract_all({t}, {lit(nz.RX_B64_SEGMENTS)}, 0), "
+    return (f"array_to_string(list_transform(regexp_extract_all({t}, '[A-Za-z0-9+/=]+|[^A-Za-z0-9+/=]+', 0), "
             f"lambda s: CASE WHEN {ok} THEN {dec} ELSE s END), '')")
 
 
@@ -232,8 +254,7 @@ def rules_rows():
 
 
 def _rule_cond(norm: str, r: dict) -> str:
-    gate = " OR ".join(f"contains({norm}, {lit(a)})" for a in r["anchors"]) or "true"
-    return f"(({gate}) AND regexp_matches({norm}, {lit('(?is)' + portable(r['pattern']))}))"
+    return f"regexp_matches({norm}, {lit('(?is)' + portable(r['pattern']))})"
 
 
 def layer_hits(norm: str, layer: str) -> str:
@@ -274,8 +295,8 @@ def pipeline_ctes(prompts: str, *, model: str | None = None, threshold: int | No
             if model else "false")
     if model:
         ai = (f"p7 AS (SELECT p6.*, {gate} AS ai_activated FROM p6), "
-              f"p8 AS (SELECT p7.*, CASE WHEN ai_activated THEN coalesce(m.ai_prediction, 0) END::INTEGER AS ai_prediction, "
-              f"CASE WHEN ai_activated THEN coalesce(m.ai_confidence, 0.0) END::DOUBLE AS ai_confidence "
+              f"p8 AS (SELECT p7.*, CASE WHEN ai_activated THEN m.ai_prediction END::INTEGER AS ai_prediction, "
+              f"CASE WHEN ai_activated THEN m.ai_confidence END::DOUBLE AS ai_confidence "
               f"FROM p7 LEFT JOIN ({model}) m USING (prompt_id)), ")
     else:
         ai = ("p7 AS (SELECT p6.*, false AS ai_activated FROM p6), "
@@ -330,7 +351,7 @@ def pipeline_ctes(prompts: str, *, model: str | None = None, threshold: int | No
     flags = [
         (f"{rx('text', fv.RE_BASE64_RUN)} AND normalized_text <> text", "base64_decode"),
         (rx("text", RE2_FLAG_HEX), "hex_decode"),
-        ("nfc_normalize(text) <> text", "unicode_nfkc"),
+        (f"{nfkc('text')} <> text", "unicode_nfkc"),
         (f"{html_unescape('text')} <> text", "html_unescape"),
         (rx("text", RE2_FLAG_SPLIT), "split_letter_merge"),
         (has_repeat("text"), "repetition_collapse"),
@@ -339,7 +360,7 @@ def pipeline_ctes(prompts: str, *, model: str | None = None, threshold: int | No
     flag_list = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {lit(l)} END" for c, l in flags) + "], lambda x: x IS NOT NULL)"
     return f"""p0 AS (SELECT * FROM ({prompts})),
     p1 AS (SELECT p0.*, {intent_score(raw)}::INTEGER AS intent_score, {intent_rewrite(raw)} AS intent_text FROM p0),
-    p2 AS (SELECT p1.*, {decode_hex_runs(decode_base64_runs(drop_emoji(arabic_fold(strip_tags(html_unescape('intent_text'))))))} AS t9 FROM p1),
+    p2 AS (SELECT p1.*, {decode_hex_runs(decode_base64_runs(drop_emoji(arabic_fold(strip_tags(html_unescape(nfkc('intent_text')))))))} AS t9 FROM p1),
     p3 AS (SELECT p2.*, {deobfuscate_tokens('t9', rot13)} AS t10 FROM p2),
     p4 AS (SELECT p3.*, {collapse_repeats(merge_split_letters_pass2(merge_split_letters_pass1('t10')))} AS normalized_text FROM p3),
     p5 AS (SELECT p4.*, {code_sql}::INTEGER AS code_score, ({phrases})::INTEGER AS arabic_kw_score,

@@ -1,16 +1,23 @@
-"""Session construction for tests, the bench and local runs.
+"""Session construction for tests, the bench and local runs, and the folder
+that driver and executors share.
 
-On a cluster the session comes from the platform; library code only reads
-``spark.checkpoint.dir`` from it (see ``checkpoint_dir``) and never points at
-a machine-local folder.
+On a cluster the session comes from the platform, and the shared folder is what
+``spark.checkpoint.dir`` names; without it a job that has to write there stops.
+Only a session of one JVM (master ``local``), where driver and executors share
+their disk, gets a folder of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -30,23 +37,40 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) create a private scratch folder for it."""
-    d = checkpoint_dir(spark)
-    if not d:
-        d = tempfile.mkdtemp(prefix="shieldline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="shieldline-")
+    return _own[context.applicationId]
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which is
+    deleted when the application ends."""
+    context = spark.sparkContext
+    root = f"{shared_dir(spark)}/shieldline-{context.applicationId}"
+    if root not in _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _made.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: what
+    follows survives the loss of any executor without computing ``df`` anew."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

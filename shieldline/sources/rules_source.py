@@ -36,9 +36,13 @@ def rules_source(spark: SparkSession) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    reader = spark.read.schema(RULES_SCHEMA)
-    df = reader.json(path) if fmt == "json" else reader.option("header", True).csv(path)
-    return df.withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+    if fmt == "json":
+        df = spark.read.schema(RULES_SCHEMA).json(path)
+    else:  # anchors are one field, separated by "|"
+        flat = RULES_SCHEMA.replace("array<string>", "string")
+        df = spark.read.schema(flat).option("header", True).option("escape", '"').csv(path)
+        df = df.withColumn("anchors", F.array_remove(F.split(F.coalesce("anchors", F.lit("")), r"\|"), ""))
+    return df.withColumn("enabled", F.coalesce("enabled", F.lit(True))).select("rule_id", "layer", "grp", "category", "ord", "anchors", "pattern", "enabled")
 
 
 def keywords_source(spark: SparkSession) -> DataFrame:

@@ -9,12 +9,10 @@ Writing appends JSON lines (non-ASCII kept) or parquet partitioned by day.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 LOG_SCHEMA = (
     "id STRING, timestamp STRING, raw STRING, normalized_text STRING, decision STRING, "
@@ -30,6 +28,14 @@ RETRAIN_SCHEMA = (
 )
 
 
+def utc_timestamp(text: Column) -> Column:
+    """A timestamp written as text; one without an offset is UTC, whatever the
+    session's time zone.  Unparseable text gives NULL."""
+    zoned = F.when(text.rlike(r"(?:[Zz]|UTC|GMT|[+-][0-9]{2}(?::?[0-9]{2})?)$") & text.contains(":"), text).otherwise(
+        F.concat(text, F.when(text.contains(":"), "Z").otherwise(" 00:00:00Z")))
+    return F.coalesce(F.try_to_timestamp(zoned), F.try_to_timestamp(zoned, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
+
+
 def read_threat_log(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
     """Replay a JSONL threat log.  ``timestamp`` is parsed to TIMESTAMP (a
     value without offset is UTC; unparseable → NULL) and the original string
@@ -41,8 +47,7 @@ def read_threat_log(spark: SparkSession, path: str, quarantine: bool = False) ->
     lang = F.col("lang_dist")
     return df.withColumns({
         "timestamp_raw": F.col("timestamp"),
-        "timestamp": F.coalesce(F.try_to_timestamp(F.col("timestamp")),
-                                F.try_to_timestamp(F.col("timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))),
+        "timestamp": utc_timestamp(F.col("timestamp")),
         "lang_dist": F.struct(*[F.try_element_at(lang, F.lit(a)).alias(a)
                                 for a in ("msa", "egyptian", "franco", "english", "unicode", "encoded")]),
         "ai_raw_score": F.try_variant_get(steps, "$.ai_raw_score", "int"),
@@ -75,12 +80,8 @@ def append_retraining(records: DataFrame, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table under the session's shared
-    ``spark.checkpoint.dir`` and read it back: cuts lineage (an executor loss
-    re-reads the table instead of re-screening) and keeps filters of later
-    analytics from being pushed into the screening projection."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Write ``df`` as a parquet table in the shared folder and read it back:
+    cuts lineage (an executor loss re-reads the table instead of re-screening)
+    and keeps filters of later analytics from being pushed into the screening
+    projection."""
+    return written(df, name)

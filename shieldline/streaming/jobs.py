@@ -13,7 +13,6 @@ mode used by tests and the query registry; production uses
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.rules import RulePack
 from ..operators import screen as S
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources.prompts import prompt_frame
 
 def _st():
@@ -29,9 +28,8 @@ def _st():
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{name}-{uuid.uuid4().hex}"
-    return f"{base}/streams/{run}/data", f"{base}/streams/{run}/checkpoint"
+    run = scratch_path(spark, f"stream-{name}")
+    return f"{run}/data", f"{run}/checkpoint"
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -42,14 +40,17 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if mode == "append":
         q = w.format("parquet").outputMode("append").start(data)
     else:
-        def sink(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(data)
+        def sink(batch: DataFrame, epoch: int) -> None:
+            if mode == "complete":
+                batch.write.mode("overwrite").parquet(data)
+            else:  # one part per micro-batch: a repeated batch replaces its own
+                batch.write.mode("overwrite").parquet(f"{data}/epoch={epoch}")
         q = w.outputMode(mode).foreachBatch(sink).start()
     q.awaitTermination()
     return spark.read.parquet(data)
 
 
-def read_stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+def read_stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 64) -> DataFrame:
     """Stream one table of a directory of parquet tables (the file source
     takes a directory; ``pathGlobFilter`` selects the table's files)."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -58,18 +59,20 @@ def read_stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: in
 
 
 def stream_screen(spark: SparkSession, sf_dir: str, pack: RulePack, source: str = "documents",
-                  logged_at: str | None = None, **kw) -> DataFrame:
-    """Each arriving prompt is screened and appended to the log."""
-    prompts = prompt_frame(read_stream_table(spark, sf_dir, source), source)
-    # Screening is CPU-bound per row: spread each micro-batch over the cores
-    # (a round-robin exchange of the batch, cheap next to the regex work).
-    prompts = prompts.repartition(spark.sparkContext.defaultParallelism)
+                  logged_at: str | None = None, max_files: int = 64, tasks: int | None = None, **kw) -> DataFrame:
+    """Each arriving prompt is screened and appended to the log.  ``tasks``
+    deals each micro-batch over so many tasks, where it comes as a few files."""
+    prompts = prompt_frame(read_stream_table(spark, sf_dir, source, max_files), source)
+    if tasks:
+        prompts = prompts.repartition(tasks)
     return S.screen_prompts(prompts, pack, logged_at=logged_at, **kw)
 
 
 def stream_counters(screened_stream: DataFrame) -> DataFrame:
-    """Running vector counters (the service's in-memory counters)."""
-    return screened_stream.groupBy("vector").agg(F.count("*").alias("n"))
+    """Running counters (the service's in-memory ones): per vector the number
+    of entries and the sums of their language profile."""
+    return screened_stream.groupBy("vector").agg(
+        F.count("*").alias("n"), *[F.sum(F.coalesce(F.col(f"lang_dist.{a}"), F.lit(0.0))).alias(f"{a}_sum") for a in fv.LANG_AXES])
 
 
 def events_log_frame(events: DataFrame) -> DataFrame:
@@ -97,8 +100,9 @@ def slot_geometry(as_of: str, window_hours: int) -> tuple[dt.datetime, int]:
 
 def stream_timeline(events_stream: DataFrame, as_of: str, window_hours: int = 24,
                     lateness: str = "1 hour") -> DataFrame:
-    """Tumbling slots aligned to the dashboard's slot grid, with a watermark
-    bounding state; counts per slot and status class."""
+    """Tumbling slots aligned to the dashboard's slot grid; counts per slot and
+    status class.  Run it in ``append`` or ``update`` mode: a slot's state goes
+    when the watermark has passed it (in append mode its row comes out then)."""
     start, slot_min = slot_geometry(as_of, window_hours)
     epoch = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
     offset_s = epoch % (slot_min * 60)
@@ -119,8 +123,8 @@ def timeline_slots(result: DataFrame, as_of: str, window_hours: int) -> DataFram
 
 def stream_dedupe(events_stream: DataFrame, keys: list[str], watermark: str | None = None) -> DataFrame:
     """Drop replays.  With a watermark, state is bounded
-    (``dropDuplicatesWithinWatermark``); without, dedupe is exact over the
-    whole stream."""
+    (``dropDuplicatesWithinWatermark``): a replay within it is dropped.  Without,
+    dedupe is exact over the whole stream, and so is its state."""
     if watermark:
-        return events_stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+        return events_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
     return events_stream.dropDuplicates(keys)
