@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shieldline.session import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  It is read from the
-    session; without it a job that has to cut its lineage stops here."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return d.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: what
-    follows survives the loss of any executor without computing ``df`` anew."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "extended", "numbered", "remainder", "shared_dir", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
