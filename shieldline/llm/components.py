@@ -38,3 +38,14 @@ def _state(edges: DataFrame) -> tuple:
     """What tells two sets of links apart: their number and sums of hashes."""
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return r.n, r.h
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (id, component) after more links (a, b): only the components
+    that the links touch are looked at."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    known = written(roots.unionByName(ends.join(roots, "id", "left_anti").select("id", F.col("id").alias("component"))), "roots")
+    a, b = (known.toDF(x, f"c{x}") for x in "ab")
+    lifted = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    merged = components(lifted).toDF("component", "least")
+    return written(known.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "roots")

@@ -19,9 +19,10 @@ their sets overlap by 80 % or more of their union.
    In the smallest bands, where t < l, frequent tokens are also indexed alone.
 4. Candidates.  In each list of the index, first every set is paired with the
    list's least id.  Pairs are verified on whole sets; links give components.
-   Then, in lists that still hold several components, all pairs across
-   components are verified too.  Pairs within a component are not needed, so
-   a group of copies is never expanded into all its pairs, and no link between
+   In lists that still hold several components a few more members are paired
+   with all of other components; then all pairs across components that are
+   left are verified too.  Pairs within a component are not needed, so a group
+   of copies is never expanded into all its pairs, and no link between
    components is lost.
 
 Nothing is capped: frequent tokens cost combinations, not omissions.  Null and
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.components import components
+from shieldline.llm.components import components, joined
 from shieldline.llm.packed import block_of, blocks_for, cuts, pack_keys, pack_values, unpack_keys, unpack_values
 from shieldline.llm.tables import documents, written
 from shieldline.llm.textarrays import U64, buffers, pieces, shingle_sets, splitmix
@@ -50,6 +51,8 @@ SHINGLE = 5
 #: Similarity in hundredths: 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
 RARE = 6
+#: Rounds in which one more member of each open list is paired with the others.
+PIVOTS = 3
 
 _SHORT = U64(16)  # 48 bits of a hash are counted and compared
 
@@ -245,6 +248,13 @@ def _sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
 
 
+def _open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries (key, id, n, c) of lists that hold several components."""
+    where = entries.join(roots.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    several = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return where.join(several, "key").select("key", "id", "n", "c")
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id (bigint), n_shingles and component_id of every row of ``docs``
     (doc_id, text); other columns are not looked at."""
@@ -267,17 +277,22 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     stars = entries.join(least.select("key", F.col("least.id").alias("a"), F.col("least.n").alias("na")), "key")
     pairs = written(stars.where((F.col("a") < F.col("id")) & _sizes_fit("na", "n")).select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = written(_verified(pairs, indexed), "pair-links")
-    roots = components(links)
-
-    # lists that hold several components: what the first pairs left open
-    where = entries.join(roots.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    open_ = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = written(where.join(open_, "key"), "open-lists")
+    roots = written(components(links), "roots")
+
+    # lists that still hold several components: more pivots, then what is left across them
+    for k in range(PIVOTS):
+        left = written(_open_lists(entries, roots), "open-lists")
+        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "n", "c")).alias("p")).select("key", "p.*")
+        meet = left.join(pivot.toDF("key", "_h", "a", "na", "ca"), "key").where((F.col("c") != F.col("ca")) & _sizes_fit("na", "n"))
+        more = meet.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        roots = joined(roots, written(_verified(more, indexed), "pair-links"))
+        pairs = pairs.unionByName(more)
+    left = written(_open_lists(entries, roots), "open-lists")
     x, y = (left.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c")]) for s in "xy")
     across = x.join(y, "key").where((F.col("cx") < F.col("cy")) & _sizes_fit("nx", "ny"))
     more = across.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(written(_verified(written(more, "pairs"), indexed), "pair-links"))
-    roots = components(links).withColumnRenamed("id", "first")
+    roots = joined(roots, written(_verified(written(more, "pairs"), indexed), "pair-links")).withColumnRenamed("id", "first")
 
     found = told.join(groups, "same", "left").withColumn("first", F.coalesce("first", "doc_id"))
     return found.join(roots, "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
