@@ -241,6 +241,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents in a learned language: ``und`` and those too far from
     every profile go."""
     profiles = learn_profiles(docs.where(remainder("doc_id", 4) != 2))
+    if not profiles:  # nothing to compare with: only what has no letter goes
+        return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     found = predict_language(docs.select(*own), profiles)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).select(*docs.columns)
