@@ -60,12 +60,12 @@ def ai_label(pred: Column) -> Column:
 
 def activation_reason(activated: Column, use_ai: bool, score: Column, decision: Column) -> Column:
     if not use_ai:
-        return F.lit("AI disabled (transformers not installed)")
+        return F.lit(fv.TEXT_AI_OFF)
     in_band = score.between(fv.AI_GATE_LOW, fv.AI_GATE_HIGH)
     return (
-        F.when(activated & in_band, F.format_string("score=%d in [80,120]", score))
-        .when(activated, F.format_string("decision=%s requires confirmation", decision))
-        .otherwise(F.format_string("score=%d outside [80,120] and decision=%s — skipped", score, decision))
+        F.when(activated & in_band, F.format_string(fv.TEXT_AI_BAND, score))
+        .when(activated, F.format_string(fv.TEXT_AI_CONFIRM, decision))
+        .otherwise(F.format_string(fv.TEXT_AI_SKIPPED, score, decision))
     )
 
 
@@ -79,9 +79,9 @@ def reason_text(c: dict[str, Column]) -> Column:
     intent/arabic_kw/code/keyword scores, per-layer fired/category/count,
     ai_activated, ai_label, ai_confidence."""
     safe = F.concat(
-        F.lit("No threats detected (score="), c["score"].cast("string"), F.lit("/300)."),
+        F.lit(fv.TEXT_SAFE), c["score"].cast("string"), F.lit("/300)."),
         F.when(c["ai_activated"] & (c["ai_label"] == "SAFE"),
-               F.concat(F.lit(" AI confirms safe (confidence="), conf2(c["ai_confidence"]), F.lit(")."))
+               F.concat(F.lit(fv.TEXT_AI_SAFE), conf2(c["ai_confidence"]), F.lit(")."))
                ).otherwise(F.lit("")),
     )
 
@@ -91,13 +91,13 @@ def reason_text(c: dict[str, Column]) -> Column:
     flagged = F.concat_ws(
         " ",
         F.concat(F.lit("Decision: "), c["decision"], F.lit(" | Score: "), c["score"].cast("string"), F.lit("/300.")),
-        part(c["intent_score"] > 0, "[P1] Malicious code intent (+", c["intent_score"].cast("string"), ")."),
-        part(c["arabic_kw_score"] > 0, "[P1] Arabic injection keyword (+", c["arabic_kw_score"].cast("string"), ")."),
-        part(c["code_score"] > 0, "[P1] Suspicious code pattern (+", c["code_score"].cast("string"), ")."),
-        part(c["keyword_score"] > 0, "[P1] Dangerous keywords (+", c["keyword_score"].cast("string"), ")."),
-        part(c["ar_fired"], "[P2-AR] ", c["ar_category"], " (", c["ar_count"].cast("string"), " pattern(s) matched)."),
-        part(c["en_fired"], "[P2-EN] ", c["en_category"], " (", c["en_count"].cast("string"), " pattern(s) matched)."),
-        part(c["first_match"].isNotNull(), "[P2] First match: ", truncate(c["first_match"], fv.REASON_MATCH_LEN)),
+        part(c["intent_score"] > 0, fv.TEXT_INTENT, c["intent_score"].cast("string"), ")."),
+        part(c["arabic_kw_score"] > 0, fv.TEXT_ARABIC, c["arabic_kw_score"].cast("string"), ")."),
+        part(c["code_score"] > 0, fv.TEXT_CODE, c["code_score"].cast("string"), ")."),
+        part(c["keyword_score"] > 0, fv.TEXT_KEYWORDS, c["keyword_score"].cast("string"), ")."),
+        part(c["ar_fired"], "[P2-AR] ", c["ar_category"], " (", c["ar_count"].cast("string"), fv.TEXT_MATCHED),
+        part(c["en_fired"], "[P2-EN] ", c["en_category"], " (", c["en_count"].cast("string"), fv.TEXT_MATCHED),
+        part(c["first_match"].isNotNull(), fv.TEXT_FIRST, truncate(c["first_match"], fv.REASON_MATCH_LEN)),
         part(c["ai_activated"] & c["ai_label"].isNotNull(), "[P3-AI] ", c["ai_label"], " (confidence=",
              conf2(F.coalesce(c["ai_confidence"], F.lit(0.0))), ")."),
     )
