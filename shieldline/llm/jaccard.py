@@ -21,7 +21,8 @@ their sets overlap by 80 % or more of their union.
    list's least id.  Pairs are verified on whole sets; links give components.
    In lists that still hold several components a few more members are paired
    with all of other components; then all pairs across components that are
-   left are verified too.  Pairs within a component are not needed, so a group
+   left are verified too, but for those that parity sketches of the sets prove
+   too different (sketches differ in no more bits than the sets in tokens).  Pairs within a component are not needed, so a group
    of copies is never expanded into all its pairs, and no link between
    components is lost.
 
@@ -52,7 +53,9 @@ SHINGLE = 5
 SIMILAR = 80
 RARE = 6
 #: Rounds in which one more member of each open list is paired with the others.
-PIVOTS = 3
+PIVOTS = 1
+#: Bits of the sketches that rule pairs out before they are verified.
+PARITY_BITS = 1024
 
 _SHORT = U64(16)  # 48 bits of a hash are counted and compared
 
@@ -190,7 +193,7 @@ def index_keys(tokens: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-_INDEXED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.binary())])
+_INDEXED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
 
 def _index(texts, told):
@@ -216,10 +219,11 @@ def _index(texts, told):
     for k in linked.tolist():
         a, b = at[k], at[k + 1]
         keys = index_keys(tokens[a:b], frequency[a:b])
-        rows.append((ids[k], b - a, keys.view(np.int64), pack_keys(np.sort(tokens[a:b] >> _SHORT))))
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
+        short = np.sort(tokens[a:b] >> _SHORT)
+        rows.append((ids[k], b - a, keys.view(np.int64), parity(short), pack_keys(short)))
+    cols = list(zip(*rows)) if rows else [[], [], [], [], []]
     return pa.table({"id": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "keys": pa.array(cols[2], pa.list_(pa.int64())),
-                     "tokens": pa.array(cols[3], pa.binary())}, schema=_INDEXED_ARROW)
+                     "sketch": pa.array(cols[3], pa.list_(pa.int64())), "tokens": pa.array(cols[4], pa.binary())}, schema=_INDEXED_ARROW)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,11 +252,26 @@ def _sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
 
 
-def _open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries (key, id, n, c) of lists that hold several components."""
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITY_BITS hash values, whether an odd number of tokens has
+    it.  Two sketches differ in at most as many bits as the sets in tokens."""
+    odd = np.bincount((splitmix(tokens) % U64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(n: tuple[str, str], sketch: tuple[str, str]):
+    """Whether sizes and sketches leave it open that two sets link: an exact
+    bound, so no link is lost.  D tokens that only one set has and S in both
+    sizes together mean a similarity of (S - D) / (S + D)."""
+    apart = F.aggregate(F.zip_with(*sketch, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, v: a + v)
+    return _sizes_fit(*n) & (apart * (100 + SIMILAR) <= (F.col(n[0]) + F.col(n[1])) * (100 - SIMILAR))
+
+
+def _open_lists(entries: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The entries (key, id, n, c, sketch) of lists that hold several components."""
     where = entries.join(roots.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     several = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return where.join(several, "key").select("key", "id", "n", "c")
+    return where.join(several, "key").select("key", "id", "n", "c").join(sketches, "id")
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -270,7 +289,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     answers = asked.groupBy("_range").applyInArrow(_merge, "_block int, _range int, counts binary")
     answers = answers.select("_block", "_range", "counts", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("same"))
     answers = answers.unionByName(copies.select("_block", F.lit(-1).alias("_range"), F.lit(None).cast("binary").alias("counts"), "doc_id", "same"))
-    indexed = written(dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_index, "id bigint, n bigint, keys array<bigint>, tokens binary"), "index")
+    indexed = written(dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_index, "id bigint, n bigint, keys array<bigint>, sketch array<bigint>, tokens binary"), "index")
 
     entries = indexed.select(F.explode("keys").alias("key"), "id", "n")
     least = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("lists")).where("lists > 1")
@@ -278,19 +297,20 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     pairs = written(stars.where((F.col("a") < F.col("id")) & _sizes_fit("na", "n")).select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = written(_verified(pairs, indexed), "pair-links")
     roots = written(components(links), "roots")
+    sketches = indexed.select("id", "sketch")
 
     # lists that still hold several components: more pivots, then what is left across them
     for k in range(PIVOTS):
-        left = written(_open_lists(entries, roots), "open-lists")
-        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "n", "c")).alias("p")).select("key", "p.*")
-        meet = left.join(pivot.toDF("key", "_h", "a", "na", "ca"), "key").where((F.col("c") != F.col("ca")) & _sizes_fit("na", "n"))
+        left = written(_open_lists(entries, roots, sketches), "open-lists")
+        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "n", "c", "sketch")).alias("p")).select("key", "p.*")
+        meet = left.join(pivot.toDF("key", "_h", "a", "na", "ca", "sa"), "key").where((F.col("c") != F.col("ca")) & _may_link(("na", "n"), ("sa", "sketch")))
         more = meet.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         more = written(more, "pairs")
         roots = joined(roots, written(_verified(more, indexed), "pair-links"))
         pairs = pairs.unionByName(more)
-    left = written(_open_lists(entries, roots), "open-lists")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c")]) for s in "xy")
-    across = x.join(y, "key").where((F.col("cx") < F.col("cy")) & _sizes_fit("nx", "ny"))
+    left = written(_open_lists(entries, roots, sketches), "open-lists")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "sketch")]) for s in "xy")
+    across = x.join(y, "key").where((F.col("cx") < F.col("cy")) & _may_link(("nx", "ny"), ("sketchx", "sketchy")))
     more = across.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     roots = joined(roots, written(_verified(written(more, "pairs"), indexed), "pair-links")).withColumnRenamed("id", "first")
 

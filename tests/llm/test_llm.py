@@ -240,6 +240,15 @@ def test_index_keys_meet_for_every_linked_pair():
             assert len(np.intersect1d(*keys)), n
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 6 :], rng.integers(0, 1 << 48, n // 5 + 1).astype(np.uint64)]))
+        apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) + (1 << 64)).bit_count() for x, y in zip(jaccard.parity(a).tolist(), jaccard.parity(b).tolist()))
+        assert apart <= len(np.setxor1d(a, b)) and (jaccard.parity(a) == jaccard.parity(a[::-1])).all()
+
+
 def test_components_of_a_long_chain(shared):
     edges = shared.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99), (7, 7)], "a bigint, b bigint")
     assert {r.id: r.component for r in components.components(edges).collect()} == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
