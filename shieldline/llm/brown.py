@@ -8,14 +8,21 @@ Counts cover every training row.  Texts are dealt into blocks; blocks and key
 ranges exchange packed counts (see ``packed``), so each block learns the corpus
 count of each of its distinct words, rare ones included.
 
-Classes.  The units of the exchange are the end mark, every word that makes up
-``HEAVY`` of all tokens or more (1 / HEAVY words at most, a bound that holds for
-any corpus), and, for the rest, groups of words spelled alike (``SPELLED`` of
-them: signs, length, ending, accents).  Exchange clustering moves each unit to
-the class that raises the corpus likelihood most, given the classes of its
-neighbours, in rounds: the counts of units with classes before and behind them
-are sums over the bigram table, the units of a round are tried in parallel, and
-half of them may move, in turn.  So every word has a class, unseen words too.
+Classes.  Every word of ``OWN`` or more training tokens is a unit of its own;
+the words seen less often, unseen ones too, share a unit with those spelled
+alike (``SPELLED`` groups: signs, length, ending, accents).  Exchange clustering
+moves each unit to the class that raises the corpus likelihood most, given the
+classes of its neighbours.  It has two parts:
+
+1. The start: the words that make up ``HEAVY`` of all tokens or more (1 / HEAVY
+   at most) and the groups, as units of all other words, are clustered over
+   their bigram table.  A word begins in the class of its group.
+2. Rounds over all units: texts are written once as the numbers of their units
+   within the block.  In each round a block sums how often each of its units follows and
+   precedes each class; ranges of units add the sums up, try the moves of half
+   of their units and tell each block the classes of its units by position.
+   Rounds go on until one gains less than ``GAIN`` nats a token.  If the moves
+   of a round hinder each other, it is undone and fewer units move at a time.
 
 Smoothing.  Class transitions are mixed with class frequencies (a Dirichlet
 prior of weight ``PRIOR``).  Of each word count ``d`` is taken away (absolute
@@ -37,8 +44,10 @@ from pyspark.sql import functions as F
 
 from shieldline.llm.packed import block_of, blocks_for, cuts, pack_keys, pack_values, unpack_keys, unpack_values
 from shieldline.llm.tables import documents, remainder, written
-from shieldline.llm.textarrays import BLANK_WORD, buffers, fold, hash_spans, pieces, words
+from shieldline.llm.textarrays import BLANK_WORD, buffers, fold, hash_spans, pieces, splitmix, words
 
+OWN = 2
+GAIN = 0.005
 HEAVY = 1 / 4096
 SPELLED = 512
 CLASSES = 96
@@ -47,6 +56,9 @@ PRIOR = 50.0
 
 END = 0  # the unit of the end mark; spelled groups follow, then heavy words
 
+#: What stands for a spelled group among the hashes of words: spread over all ranges.
+_GROUP_KEYS = np.arange(SPELLED + 1, dtype=np.uint64) * np.uint64((1 << 64) // (SPELLED + 1))
+
 
 def spelling(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The group (1 to SPELLED) of each word by how it is spelled."""
@@ -113,14 +125,15 @@ def _requests(ranges: int):
     return send
 
 
-_ANSWER = "_block int, _range int, keys binary, counts binary, groups binary, types array<bigint>, words bigint, once bigint, twice bigint"
+_ANSWER = "_block int, _range int, keys binary, counts binary, groups binary, rare array<bigint>, types bigint, words bigint, once bigint, twice bigint"
 _ANSWER_ARROW = pa.schema([("_block", pa.int32()), ("_range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("groups", pa.binary()),
-                           ("types", pa.list_(pa.int64())), ("words", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
+                           ("rare", pa.list_(pa.int64())), ("types", pa.int64()), ("words", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
 
 
 def _merge(key, table):
     """The corpus count of each word of a range: one answer per block, and one
-    row (block null) with all words, their groups and the types per group."""
+    row (block null) with the heavy words, their groups, the types seen less than
+    OWN times per group and the number of all types."""
     blocks = table.column("_block").to_pylist()
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     counts = [unpack_values(x) for x in table.column("counts").to_pylist()]
@@ -130,11 +143,11 @@ def _merge(key, table):
     group = np.concatenate(groups)[where].astype(np.int64)
     stops = np.cumsum([len(k) for k in keys])
     r = key[0].as_py()
-    rows = [(b, r, None, pack_values(total[place[s - len(k) : s]]), None, None, None, None, None) for b, k, s in zip(blocks, keys, stops)]
+    rows = [(b, r, None, pack_values(total[place[s - len(k) : s]]), None, None, None, None, None, None) for b, k, s in zip(blocks, keys, stops)]
     seen = total > 0
-    types = np.bincount(group[seen], minlength=SPELLED + 1)
+    rare = np.bincount(group[seen & (total < OWN)], minlength=SPELLED + 1)
     many = total >= max(2, int(total.sum() * HEAVY))  # a range's share is less than the corpus's: none is missed
-    rows.append((None, r, pack_keys(u[many]), pack_values(total[many]), pack_values(group[many]), types.tolist(), int(total.sum()), int((total == 1).sum()), int((total == 2).sum())))
+    rows.append((None, r, pack_keys(u[many]), pack_values(total[many]), pack_values(group[many]), rare.tolist(), int(seen.sum()), int(total.sum()), int((total == 1).sum()), int((total == 2).sum())))
     return pa.Table.from_pylist([dict(zip(_ANSWER_ARROW.names, x)) for x in rows], schema=_ANSWER_ARROW)
 
 
@@ -291,56 +304,284 @@ def _likelihood(table: np.ndarray) -> float:
     return _xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum()
 
 
+def best_classes(own: np.ndarray, before: np.ndarray, behind: np.ndarray, self_n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_class`` of several units at once (a row each), class 0 left out:
+    only classes that a unit meets are looked at."""
+    m, k = before.shape
+    unit, diag = np.arange(m), np.arange(k)
+    w_row, w_col = behind.sum(axis=1) + self_n, before.sum(axis=1) + self_n
+
+    def side(met: np.ndarray, other: np.ndarray, t: np.ndarray) -> np.ndarray:
+        i, r = np.nonzero(met)
+        left = t[r].astype(np.float64)  # what each class has left with the class that is met
+        left[np.arange(len(i)), own[i]] -= met[i, r]
+        at_home = np.flatnonzero(r == own[i])
+        left[at_home] -= other[i[at_home]]
+        left[at_home, r[at_home]] -= self_n[i[at_home]]
+        gain = _xlogx(left + met[i, r][:, None]) - _xlogx(left)
+        out = np.zeros((m, k))
+        starts = np.searchsorted(i, unit)
+        some = np.flatnonzero(np.diff(np.append(starts, len(i))))
+        if len(some):
+            out[some] = np.add.reduceat(gain, starts[some], axis=0)
+        return out
+
+    gain = side(before, behind, table) + side(behind, before, table.T)
+    cross = np.tile(table[diag, diag].astype(np.float64), (m, 1))
+    cross[unit, own] -= before[unit, own] + behind[unit, own] + self_n
+    rows, cols = np.tile(table.sum(axis=1), (m, 1)), np.tile(table.sum(axis=0), (m, 1))
+    rows[unit, own] -= w_row
+    cols[unit, own] -= w_col
+    gain -= _xlogx(cross + before) + _xlogx(cross + behind) - _xlogx(cross) - _xlogx(cross + before + behind + self_n[:, None])
+    gain -= _xlogx(rows + w_row[:, None]) - _xlogx(rows) + _xlogx(cols + w_col[:, None]) - _xlogx(cols)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    return best, gain[unit, best] - gain[unit, own]
+
+
+def _told(told: pa.Table, name: str) -> np.ndarray:
+    """What the ranges told a block, in the order of its ascending keys."""
+    rows = sorted((r, v) for r, v in zip(told.column("_range").to_pylist(), told.column(name).to_pylist()) if v is not None)
+    return np.concatenate([unpack_values(v) for _, v in rows]) if rows else np.zeros(0, np.uint64)
+
+
+class _Block:
+    """The words of a block's texts and the units they belong to."""
+
+    def __init__(self, texts, known: np.ndarray):
+        self.parts = list(_block_tokens(texts))
+        h, g = (np.concatenate([p[x] for p in self.parts] or [np.zeros(0, t)]) for x, t in ((2, np.uint64), (3, np.int64)))
+        self.words, where = np.unique(h, return_index=True)
+        self.group, self.known = g[where].astype(np.int64), known
+        self.keys, self.unit = np.unique(np.where(known >= OWN, self.words, _GROUP_KEYS[self.group]), return_inverse=True)
+
+    def lines(self):
+        """(first text, text behind the last, word numbers, first) of the pieces."""
+        for i, j, h, _, first in self.parts:
+            yield i, j, np.searchsorted(self.words, h), first
+
+
+_LINES = "_block int, line binary, keys binary, start binary"
+_SUMS = "_range int, _block int, keys binary, classes binary, codes binary, counts binary"
+_PLACED = "_block int, _range int, classes binary, keys binary, types array<bigint>"
+_PLACED_ARROW = pa.schema([("_block", pa.int32()), ("_range", pa.int32()), ("classes", pa.binary()), ("keys", pa.binary()), ("types", pa.list_(pa.int64()))])
+
+
+def _lines(shared):
+    """The training texts of a block as numbers of its units (the number behind
+    the last is the end mark), with the classes that the units start from."""
+
+    def send(texts, told):
+        heavy, first_of = shared.value
+        block = _Block(texts.column("text"), _told(told, "counts"))
+        of = np.zeros(len(block.keys), dtype=np.int64)
+        of[block.unit] = first_of[_Units(heavy).of(block.words, block.group)]
+        train = texts.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        line = [np.insert(block.unit[word], first[1:], len(block.keys))[np.repeat(train[i:j], np.diff(first) + 1)].astype(np.int32)
+                for i, j, word, first in block.lines()]
+        line = np.concatenate(line) if line else np.zeros(0, np.int32)
+        own = texts.column("_block").slice(0, 1) if len(texts) else pa.array([], pa.int32())
+        n = len(own)
+        packed = (pa.array([x][:n], pa.binary()) for x in (pack_values(line), pack_keys(block.keys), pack_values(of)))
+        return pa.table([own, *packed], names=["_block", "line", "keys", "start"])
+
+    return send
+
+
+def _sums(ranges: int, classes: int):
+    """Sums of a block: per range, its units, their classes and how often each
+    follows (code < classes), precedes (< 2 classes) a class or follows itself;
+    and one row (range null) with the counts of class pairs."""
+    width, step = 2 * classes + 1, 1 << 19
+
+    def send(lines, told):
+        rows = []
+        for block_id, line, keys, start in zip(*(lines.column(c).to_pylist() for c in ("_block", "line", "keys", "start"))):
+            line, keys = unpack_values(line).astype(np.int32), unpack_keys(keys)
+            end, found, table = len(keys), [], np.zeros(classes * classes, dtype=np.int64)
+            of = np.zeros(end + 1, dtype=np.int64)
+            of[:-1] = _told(told, "classes") if len(told) else unpack_values(start)
+            for x in range(0, len(line), step):
+                here = line[x : x + step].astype(np.int64)
+                last = np.concatenate([[line[x - 1] if x else end], here[:-1]])
+                table += np.bincount(of[last] * classes + of[here], minlength=len(table))
+                alike = last == here
+                after, ahead = (here != end) & ~alike, (last != end) & ~alike
+                codes = [here[after] * width + of[last[after]], last[ahead] * width + classes + of[here[ahead]], here[alike & (here != end)] * width + 2 * classes]
+                found.append(np.unique(np.concatenate(codes), return_counts=True))
+            code, n = (np.concatenate([f[x] for f in found] or [np.zeros(0, np.int64)]) for x in (0, 1))
+            if len(found) > 1:
+                [code], [n] = _added([code], [n])
+            at = cuts(keys, ranges)
+            edges = np.searchsorted(code, at * width)
+            for r, (a, b, x, y) in enumerate(zip(at, at[1:], edges, edges[1:])):
+                if b > a:
+                    rows.append((r, block_id, pack_keys(keys[a:b]), pack_values(of[a:b]), pack_keys((code[x:y] - a * width).astype(np.uint64)), pack_values(n[x:y])))
+            cells = np.flatnonzero(table)
+            rows.append((None, block_id, None, None, pack_keys(cells.astype(np.uint64)), pack_values(table[cells])))
+        names = ["_range", "_block", "keys", "classes", "codes", "counts"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+
+    return send
+
+
+def _moved(classes: int, shared):
+    """The new class of each unit of a range: one answer per block, and one row
+    (block null) with the groups, their classes and the types of own words per class."""
+    width = 2 * classes + 1
+
+    def move(key, rows):
+        t, share, turn = shared.value
+        blocks = rows.column("_block").to_pylist()
+        keys = [unpack_keys(x) for x in rows.column("keys").to_pylist()]
+        stops = np.cumsum([len(k) for k in keys])
+        u, where, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        of = np.concatenate([unpack_values(x) for x in rows.column("classes").to_pylist()])[where].astype(np.int64)
+        codes = []
+        for x, s, k in zip(rows.column("codes").to_pylist(), stops, keys):
+            c = unpack_keys(x).astype(np.int64)
+            codes.append(place[s - len(k) + c // width] * width + c % width)
+        code, again = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(again, np.concatenate([unpack_values(x) for x in rows.column("counts").to_pylist()]).astype(np.float64), len(code))
+        own, new = code // width, of.copy()
+        tried = np.intersect1d(np.unique(own), np.flatnonzero(splitmix(u) % np.uint64(share) == np.uint64(turn % share))) if share else []
+        for some in (tried[k : k + 512] for k in range(0, len(tried), 512)):
+            lo, hi = np.searchsorted(own, some[0]), np.searchsorted(own, some[-1], side="right")
+            mine = lo + np.flatnonzero(np.isin(own[lo:hi], some))
+            sums = np.zeros((len(some), width))
+            sums[np.searchsorted(some, own[mine]), code[mine] % width] = n[mine]
+            best, gain = best_classes(of[some], sums[:, :classes], sums[:, classes:-1], sums[:, -1], t)
+            new[some] = np.where(gain > 1e-9, best, of[some])
+        group = np.isin(u, _GROUP_KEYS)
+        seen = np.zeros(len(u), dtype=bool)
+        seen[own] = True
+        types = np.bincount(new[seen & ~group], minlength=classes)
+        r = key[0].as_py()
+        out = [(b, r, pack_values(new[place[s - len(k) : s]]), None, None) for b, k, s in zip(blocks, keys, stops)]
+        out.append((None, r, pack_values(new[group]), pack_keys(u[group]), types.tolist()))
+        return pa.Table.from_pylist([dict(zip(_PLACED_ARROW.names, x)) for x in out], schema=_PLACED_ARROW)
+
+    return move
+
+
+def _pair_table(sums: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class pairs over all blocks: classes squared rows at most."""
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, n in zip(f["codes"], f["counts"]):
+                yield pd.DataFrame({"cell": unpack_keys(k).astype(np.int32), "n": unpack_values(n).astype(np.int64)})
+
+    rows = sums.where("_range is null").select("codes", "counts").mapInPandas(cells, "cell int, n bigint")
+    table = np.zeros(classes * classes)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[r.cell] = r.n
+    return table.reshape(classes, classes)
+
+
+def _removed(df: DataFrame) -> None:
+    """Takes away a written table that no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(dealt: DataFrame, answers: DataFrame, heavy: np.ndarray, of: np.ndarray, ranges: int, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """The classes of all units (rows of ``_PLACED``) and the counts of class
+    pairs.  ``heavy``, ``of``: what the units start from."""
+    spark = dealt.sparkSession
+    sc = spark.sparkContext
+    # a step's shuffle files go when its result is written: rounds do not pile them up
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        told = answers.where("_block is not null").select("_block", "_range", "counts")
+        lines = written(dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_lines(sc.broadcast((heavy, of))), _LINES), "unit-lines")
+        none = spark.createDataFrame([], _PLACED)
+        placed, kept, share, turn = None, None, 2, 0
+
+        def moved(sums: DataFrame, table: np.ndarray, share: int) -> DataFrame:
+            asked = sums.where("_range is not null").groupBy("_range").applyInArrow(_moved(classes, sc.broadcast((table, share, turn))), _PLACED)
+            return written(asked, "word-classes")
+
+        while True:
+            own = (none if placed is None else placed).where("_block is not null").select("_block", "_range", "classes")
+            sums = written(lines.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(_sums(ranges, classes), _SUMS), "class-sums")
+            table = _pair_table(sums, classes)
+            likelihood = _likelihood(table)
+            gain = likelihood - kept[3] if kept else np.inf
+            if kept:
+                _removed(kept[1] if gain > 0 else sums)
+            if gain > 0:
+                kept = (placed, sums, table, likelihood)
+            if gain < 0 and share < 16:
+                share *= 2
+            elif gain < GAIN * max(table.sum(), 1):
+                break
+            placed = moved(kept[1], kept[2], share)
+            turn += 1
+        placed = kept[0] if kept[0] is not None else moved(kept[1], kept[2], 0)
+        for used in (lines, kept[1]):
+            _removed(used)
+        return placed, kept[2]
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 class Model:
-    """Class transitions, class sizes and what a word's emission needs."""
+    """Class transitions, class sizes and what a word's emission needs; the
+    classes of units stay a DataFrame, ``placed``."""
 
-    def __init__(self, answers: DataFrame, train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS):
+    def __init__(self, answers: DataFrame, dealt: DataFrame, ranges: int, classes: int = CLASSES, rounds: int = ROUNDS):
         totals = answers.where("_block is null")
-        sums = totals.agg(F.sum("words").alias("words"), F.sum("once").alias("once"), F.sum("twice").alias("twice"), *[
-            F.sum(F.get("types", F.lit(g))).alias(f"t{g}") for g in range(SPELLED + 1)]).first()
+        sums = totals.agg(F.sum("words").alias("words"), F.sum("types").alias("types"), F.sum("once").alias("once"), F.sum("twice").alias("twice"), *[
+            F.sum(F.get("rare", F.lit(g))).alias(f"t{g}") for g in range(SPELLED + 1)]).first()
+        train = dealt.where("train")
         self.ends = ends = train.count()
         words_n = sums.words or 0
         self.tokens = words_n + ends
-        self.types = sum(sums[f"t{g}"] or 0 for g in range(SPELLED + 1)) + (ends > 0)
-        least = max(2, int(np.ceil(words_n * HEAVY)))
-        heavy = _heavy(totals, least)
-        self.units = _Units(np.array([h for h, _ in heavy], dtype=np.uint64))
-        group_of = {h: g for h, g in heavy}
-        bigrams = written(_bigrams(train, self.units), "bigrams")
-        total = SPELLED + 1 + len(heavy)
-        count = np.zeros(total)
+        self.types = (sums.types or 0) + (ends > 0)
+        heavy = _Units(np.array([h for h, _ in _heavy(totals, max(2, int(np.ceil(words_n * HEAVY))))], dtype=np.uint64))
+        bigrams = written(_bigrams(train, heavy), "bigrams")
+        count = np.zeros(SPELLED + 1 + len(heavy.heavy))
         for r in bigrams.groupBy("b").agg(F.sum("n").alias("n")).collect():  # one row per unit
             count[r.b] = r.n
-        self.of, table = exchange(bigrams, count, classes, rounds)
-        types = np.zeros(total)
-        types[: SPELLED + 1] = [sums[f"t{g}"] or 0 for g in range(SPELLED + 1)]
-        types[END] = 0
-        for k, h in enumerate(self.units.heavy):
-            types[SPELLED + 1 + k] = 1
-            types[group_of[int(h)]] -= 1
+        of, _ = exchange(bigrams, count, classes, rounds)
+        self.placed, table = settle(dealt, answers, heavy.heavy, of, ranges, classes)
+        types = np.zeros(classes)
+        for r in self.placed.where("_block is null").select("classes", "keys", "types").toLocalIterator():  # one row per range
+            types += r.types
+            for key, c in zip(unpack_keys(r["keys"]), unpack_values(r["classes"])):
+                types[int(c)] += sums[f"t{int(np.searchsorted(_GROUP_KEYS, key))}"] or 0
+        types[of[END]] += ends > 0
         once, twice = sums.once or 0, sums.twice or 0
         self.d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        self.size = np.bincount(self.of, count, classes)
-        self.class_types = np.bincount(self.of, types, classes)
+        self.size, self.class_types = table.sum(axis=0), types
         share = (self.size + 1) / (self.size.sum() + classes)
         self.log_next = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
 
     def plain(self) -> dict:
         """The model as plain values, for a broadcast."""
-        return vars(self) | {"units": self.units.heavy}
+        return {k: v for k, v in vars(self).items() if k != "placed"}
 
     @classmethod
     def of_plain(cls, values: dict) -> Model:
         model = cls.__new__(cls)
-        vars(model).update(values, units=_Units(values["units"]))
+        vars(model).update(values)
         return model
 
-    def score(self, h: np.ndarray, group: np.ndarray, first: np.ndarray, count: np.ndarray):
-        """(base score, score, known tokens) of texts, given the training count
-        of each of their words."""
+    def score(self, of: np.ndarray, first: np.ndarray, count: np.ndarray):
+        """(base score, score, known tokens) of texts, given the class and the
+        training count of each of their words."""
         n = len(first) - 1
-        of = self.of[_with_ends(self.units.of(h, group), first)]
-        step = self.log_next[np.concatenate([[self.of[END]], of[:-1]]), of]
+        of = _with_ends(of, first)  # the end mark's class is its unit
+        step = self.log_next[np.concatenate([[END], of[:-1]]), of]
         own = np.insert(count.astype(np.float64), first[1:], -1.0)
         size, types = self.size[of], self.class_types[of]
         unseen = np.where(size > 0, self.d * np.maximum(types, 1) / np.maximum(size, 1), 1.0)
@@ -374,19 +615,17 @@ def score_texts(docs: DataFrame, train_col: str, classes: int = CLASSES, rounds:
     dealt = docs.withColumn("_block", block_of("doc_id", blocks))
     asked = dealt.groupBy("_block").applyInArrow(_requests(blocks), "_range int, _block int, keys binary, counts binary, groups binary")
     answers = written(asked.groupBy("_range").applyInArrow(_merge, _ANSWER), "word-counts")
-    model = Model(answers, docs.where("train"), classes, rounds)
+    model = Model(answers, dealt, blocks, classes, rounds)
     shared = spark.sparkContext.broadcast(model.plain())
     kind = docs.schema["doc_id"].dataType
 
     def score(texts, told):
         m = Model.of_plain(shared.value)
-        told = sorted(zip(told.column("_range").to_pylist(), told.column("counts").to_pylist()))
-        known = np.concatenate([unpack_values(c) for _, c in told]) if told else np.zeros(0, np.uint64)
-        parts = list(_block_tokens(texts.column("text")))
-        every = np.unique(np.concatenate([h for _, _, h, _, _ in parts] or [np.zeros(0, np.uint64)]))
+        block = _Block(texts.column("text"), _told(told, "counts"))
+        of = _told(told, "classes").astype(np.int64)[block.unit]
         base, own, seen, size = [], [], [], []
-        for _, _, h, g, first in parts:
-            b, s, k = m.score(h, g, first, known[np.searchsorted(every, h)] if len(h) else np.zeros(0))
+        for _, _, word, first in block.lines():
+            b, s, k = m.score(of[word], first, block.known[word])
             base.append(b)
             own.append(s)
             seen.append(k)
@@ -396,7 +635,8 @@ def score_texts(docs: DataFrame, train_col: str, classes: int = CLASSES, rounds:
                          "train_tokens": np.full(len(size), m.tokens, dtype=np.int64), "base_score": base, "score": own,
                          "perplexity": 10 ** (-own / np.maximum(size, 1))})
 
-    mine = answers.where("_block is not null").select("_block", "_range", "counts")
+    mine = answers.where("_block is not null").select("_block", "_range", "counts", F.lit(None).cast("binary").alias("classes")).unionByName(
+        model.placed.where("_block is not null").select("_block", "_range", F.lit(None).cast("binary").alias("counts"), "classes"))
     return dealt.select("_block", "doc_id", "text").groupBy("_block").cogroup(mine.groupBy("_block")).applyInArrow(
         score, f"doc_id {kind.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 

@@ -145,6 +145,34 @@ def test_exchange_gain_is_the_likelihood_gained():
         assert math.isclose(every[best], max(every), rel_tol=1e-9) and math.isclose(gain, max(every) - every[of[u]], abs_tol=1e-6)
 
 
+def test_moves_of_several_units_are_those_of_each():
+    rng = np.random.default_rng(1)
+    n, k = 14, 5
+    pairs = rng.integers(0, 6, (n, n)).astype(float) * (rng.random((n, n)) < 0.5)
+    of = np.concatenate([[0], rng.integers(1, k, n - 1)])
+    table = np.array([[pairs[np.ix_(of == a, of == b)].sum() for b in range(k)] for a in range(k)])
+    sums = [(np.bincount(np.delete(of, u), np.delete(pairs[:, u], u), k), np.bincount(np.delete(of, u), np.delete(pairs[u], u), k)) for u in range(1, n)]
+    before, behind = (np.array(x) for x in zip(*sums))
+    best, gain = brown.best_classes(of[1:], before, behind, np.diag(pairs)[1:], table)
+    for u in range(1, n):
+        every = [brown._likelihood(np.array([[pairs[np.ix_(w == a, w == b)].sum() for b in range(k)] for a in range(k)])) for c in range(1, k) for w in [np.where(np.arange(n) == u, c, of)]]
+        assert math.isclose(every[best[u - 1] - 1], max(every), rel_tol=1e-9) and math.isclose(gain[u - 1], max(every) - every[of[u] - 1], abs_tol=1e-6)
+
+
+def test_rare_words_of_one_spelling_are_classed_by_their_neighbours(shared):
+    # words in "a" and in "c" are spelled alike and rare (under 1/4096 of all tokens), but stand in different places
+    rng = random.Random(5)
+    letters = "bdfghklmnprs"
+    kinds = [[f"{a}{x}{y}{z}e" for x in letters for y in letters for z in letters] for a in "ac"]
+    rows = [(i, " ".join(f"{first} {rng.choice(kinds[k])} {last}" for first, k, last in rng.choices([("the", 0, "runs"), ("you", 1, "it")], k=12))) for i in range(1200)]
+    count = Counter(w for _, t in rows for w in t.split())
+    a, c = (next(w for w in kind if count[w] == 4) for kind in kinds)
+    held = [(2000, f"the {a} runs"), (2001, f"the {c} runs"), (2002, f"you {c} it"), (2003, f"you {a} it")]
+    docs = shared.createDataFrame(rows + held, "doc_id bigint, text string").withColumn("train", F.col("doc_id") < 2000)
+    got = {r.doc_id: r.score for r in brown.score_texts(docs, "train", classes=8, rounds=4).collect()}
+    assert got[2000] > got[2001] + 0.5 and got[2002] > got[2003] + 0.5
+
+
 # 3 decontamination
 
 
