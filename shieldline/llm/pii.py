@@ -12,7 +12,7 @@ the source range it stands for:
 The same identifiers are looked for in the rewritten text and mapped back to
 source characters.  A mapped span is added where it overlaps no span of its
 kind that is already there; base spans always stay.  A text that the rules
-cannot change (no digit-like sign, no cue) is not rewritten at all.
+cannot change (no character that the first one maps, no cue) is not rewritten.
 
 Null counts as empty: no spans.  Offsets are code points, ends exclusive.
 Documents keep their other columns, whatever their names.
@@ -85,20 +85,30 @@ _PAIR = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})[ ,-]+(?:{_WORD_DIGIT}|[0-9])", re
 _MIXED = re.compile(rf"[0-9][ ,-]+(?:{_WORD_DIGIT})(?!\w)", re.I)
 
 
+def _low(text: str) -> str:
+    """Lower case, with the two letters that patterns take for an i as one."""
+    return text.lower().replace("i\u0307", "i").replace("\u0131", "i")
+
+
 def _cue(text: str) -> bool:
     """Whether the second transducer could change the text."""
-    low = text.lower()
+    low = _low(text)
     if "@" in low and _SPACED.search(text) or _BRACKET_SIGN.search(low) and _BRACKET.search(text):
         return True
     if "dot" in low and _DOT.search(low) and (_SPOKEN.search(text) or _DOTTED.search(text)):
         return True
-    return not _SURE.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and bool(_PAIR.search(low) or _MIXED.search(low))
+    return not _SURE.isdisjoint(_LETTERS.findall(low)) and bool(_PAIR.search(low) or _MIXED.search(low))
 
 
 #: Number words that are no articles or other common words: a run of spelled digits has one at least.
 _SURE = {*_DIGITS} - {"oh", "null", "nul", "un", "uno", "une"}
 _BRACKET_SIGN = re.compile(r"[\[({<]")
-_FOREIGN = re.compile("[­​-‍⁠﻿᠎  - ‐-―․ −①-⒛　。＀-｠﹫﹢Ͱ-ԯ٠-٩۰-۹०-९০-৯๐-๙\U0001d400-\U0001d7ff]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _foreign(text: str) -> bool:
+    """Whether the first transducer changes the text: asked of the transducer itself."""
+    return not text.isascii() and any(c >= "\x80" and _char_of(c) != c for c in set(text))
 
 
 def luhn(digits: str) -> bool:
@@ -181,13 +191,13 @@ class Mapped:
         edits = []
         for m in _SPELLED.finditer(self.text):
             parts = list(_ONE.finditer(m.group()))
-            if _SURE.isdisjoint(p.group().lower() for p in parts):
+            if _SURE.isdisjoint(_low(p.group()) for p in parts):
                 continue
             for k, p in enumerate(parts):
                 stop = parts[k + 1].start() if k + 1 < len(parts) else p.end()
                 if not p.group().isdigit():
                     gap = m.group()[p.end():stop]
-                    edits.append((m.start() + p.start(), m.start() + p.end() + (len(gap) if gap else 0), str(_DIGITS[p.group().lower()])))
+                    edits.append((m.start() + p.start(), m.start() + p.end() + (len(gap) if gap else 0), str(_DIGITS[_low(p.group())])))
         self.rewrite(edits)
 
 
@@ -196,7 +206,7 @@ def find_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[i
     if not text:
         return [], []
     base = find(text)
-    foreign = not text.isascii() and _FOREIGN.search(text)
+    foreign = _foreign(text)
     if not foreign and not _cue(text):
         return base, []
     m = Mapped(text)

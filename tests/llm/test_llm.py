@@ -417,6 +417,22 @@ def test_disguises_are_mapped_back(text, kind, part):
     assert not base and [(pii.KINDS[k], text[s:e]) for k, s, e in added] == [(kind, part)]
 
 
+def test_gates_hide_no_identifier(monkeypatch):
+    signs = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and pii._char(chr(c)) != chr(c)]
+    tamil, khmer = ("".join(chr(zero + int(d)) if d.isdigit() else d for d in "+1 202 555 0143") for zero in (0x0BE6, 0x17E0))
+    circled = "+" + "".join("\u24ea\u2460\u2461\u2462\u2463\u2464"[int(d)] if d.isdigit() else d for d in "1 202 555 0143")
+    rng = random.Random(8)
+    parts = ["five", "Five", "FIVE", "f\u0131ve", "f\u0130ve", "one", "null", "un", "4", "16", ",", "-", " ", "(", "call:", "/", ".", " at ", "@", " dot ", "host", "com", "+", "[at]", "\u0967", "\u0be8", "\u24b6"]
+    rows = [tamil, khmer, circled, "(two zero two five five five zero one four three)", "+1/two zero two, five five five zero one four three."]
+    rows += [f"mail a{c}b@host{c}.com or +{c} 202 555 01{c}{c}" for c in signs]
+    rows += ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(2, 25))) for _ in range(3000)]
+    gated = [pii.find_all(t) for t in rows]
+    assert [[k for k, _, _ in pii.find_all(t)[1]] for t in (tamil, khmer)] == [[3], [3]]
+    monkeypatch.setattr(pii, "_cue", lambda text: True)
+    monkeypatch.setattr(pii, "_foreign", lambda text: True)
+    assert gated == [pii.find_all(t) for t in rows]
+
+
 def test_personal_data_frame(shared):
     rows = [(1, None), (2, ""), (3, "A a@b.co B 1.2.3.4 and bob (at) site (dot) de"), (4, "clean text at noon, one or two dots. " * 2000), (5, "un deux trois")]
     got = {r.doc_id: r for r in pii.find_personal_data(frame(shared, rows), mask=True).collect()}
