@@ -7,7 +7,10 @@ the source range it stands for:
 1. characters: invisible ones go; full-width forms, look-alike letters and the
    digits of other scripts become ASCII;
 2. disguises: bracketed ``[at]``, ``(dot)`` and the like, ``name at host dot
-   tld``, and runs of spelled digits become ``@``, ``.`` and digits.
+   tld``, also with only the at or only the dots spoken, and runs of spelled
+   digits become ``@``, ``.`` and digits.  So a word and ``at`` before a host
+   count as an address, a sentence that says where something is ("look at
+   example.com") too: of two errors, the one that leaves nothing unmasked.
 
 The same identifiers are looked for in the rewritten text and mapped back to
 source characters.  A mapped span is added where it overlaps no span of its
@@ -77,7 +80,8 @@ _WORD_DIGIT = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT}|[0-9]+)(?:[ ,-]+(?:{_WORD_DIGIT}|[0-9]+))+(?!\w)", re.I)
 _ONE = re.compile(rf"{_WORD_DIGIT}|[0-9]+", re.I)
 _BRACKET = re.compile(r"[ \t]*(?:[\[({<][ \t]*(?:(at|@|arroba|ät)|(dot|punkt|punto|point|\.))[ \t]*[\])}>])[ \t]*", re.I)
-_SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+)([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,24})(?![\w-])", re.I)
+_SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+|@)([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)[A-Za-z]{2,24})(?![\w-])", re.I)
+_AT_HOST = re.compile(r"\sat\s+[A-Za-z0-9-]+\.", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]+@[ \t]+(?=[A-Za-z0-9-]+\.)|(?<=[A-Za-z0-9_%+-])[ \t]+@(?=[A-Za-z0-9-]+\.)|(?<=[A-Za-z0-9_%+-])@[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])")
 _DOT = re.compile(r"\s+dot\s+", re.I)
 _DOTTED = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![\w])", re.I)
@@ -95,7 +99,7 @@ def _cue(text: str) -> bool:
     low = _low(text)
     if "@" in low and _SPACED.search(text) or _BRACKET_SIGN.search(low) and _BRACKET.search(text):
         return True
-    if "dot" in low and _DOT.search(low) and (_SPOKEN.search(text) or _DOTTED.search(text)):
+    if ("dot" in low and _DOT.search(low) or _AT_HOST.search(low)) and (_SPOKEN.search(text) or _DOTTED.search(text)):
         return True
     return not _SURE.isdisjoint(_LETTERS.findall(low)) and bool(_PAIR.search(low) or _MIXED.search(low))
 

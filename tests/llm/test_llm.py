@@ -417,6 +417,20 @@ def test_disguises_are_mapped_back(text, kind, part):
     assert not base and [(pii.KINDS[k], text[s:e]) for k, s, e in added] == [(kind, part)]
 
 
+@pytest.mark.parametrize(("text", "part"), [
+    ("write to john@example dot com today", "john@example dot com"), ("write to john@example dot co dot uk, please", "john@example dot co dot uk"),
+    ("write to john at example.com today", "john at example.com"), ("JOHN.B AT mail.example dot ORG", "JOHN.B AT mail.example dot ORG")])
+def test_half_disguised_addresses(text, part):
+    base, added = pii.find_all(text)
+    assert not base and [(k, text[s:e]) for k, s, e in added] == [(0, part)]
+
+
+def test_whole_addresses_and_plain_sentences_stay():
+    assert pii.find_all("john@example.com dot the i")[0] == [(0, 0, 16)]
+    for text in ("we met at noon. Then we left", "at 5.30 at 10.15", "john@example.com is it"):
+        assert pii.find_all(text)[1] == []
+
+
 def test_gates_hide_no_identifier(monkeypatch):
     signs = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and pii._char(chr(c)) != chr(c)]
     tamil, khmer = ("".join(chr(zero + int(d)) if d.isdigit() else d for d in "+1 202 555 0143") for zero in (0x0BE6, 0x17E0))
