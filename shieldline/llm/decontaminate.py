@@ -11,7 +11,8 @@ broadcast, and each batch of documents is scanned by the automaton of each part
 in turn.  A usual benchmark is one part, so its text is scanned once.
 
 Nulls and empty texts have no words and no hits; repeated items count as
-several items; an empty benchmark gives no hits; documents keep their other
+several items; items without an id are looked for like any other and stand in
+``items`` together as one null, the last; an empty benchmark gives no hits; documents keep their other
 columns, whatever their names.
 """
 
@@ -41,9 +42,9 @@ def item_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _patterns(items: list[tuple[str, str]], window: int) -> dict[str, tuple[int, list[str]]]:
+def _patterns(items: list[tuple[str | None, str]], window: int) -> dict[str, tuple[int, list[str | None]]]:
     """Normalised window -> (its words, the items that hold it)."""
-    found: dict[str, tuple[int, list[str]]] = {}
+    found: dict[str, tuple[int, list[str | None]]] = {}
     for item, text in items:
         w = item_words(text)
         size = min(window, len(w))
@@ -55,7 +56,7 @@ def _patterns(items: list[tuple[str, str]], window: int) -> dict[str, tuple[int,
     return found
 
 
-def _automaton(items: list[tuple[str, str]], window: int):
+def _automaton(items: list[tuple[str | None, str]], window: int):
     import ahocorasick
 
     found = _patterns(items, window)
@@ -78,7 +79,7 @@ def _built_once(part, window: int):
     return _built[0][2]
 
 
-def scan_words(tokens: list[bytes], automata) -> tuple[list[tuple[int, int]], set[str]]:
+def scan_words(tokens: list[bytes], automata) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Merged word ranges that are hit, and the items with occurring windows."""
     line = (b" " + b" ".join(tokens) + b" ").decode("latin-1")
     spans, items = [], set()
@@ -95,22 +96,27 @@ def scan_words(tokens: list[bytes], automata) -> tuple[list[tuple[int, int]], se
     return _merge(spans), items
 
 
+def _by_id(item: str | None) -> tuple[bool, str]:
+    """Order of item ids, null last."""
+    return item is None, item or ""
+
+
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, part_bytes: int) -> list:
     """Broadcasts of at most about ``part_bytes`` of items each."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / part_bytes))
     sc = benchmark.sparkSession.sparkContext
     out = []
     for k in range(n):
         own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        out.append(sc.broadcast(sorted((r.i, r.t) for r in own.toLocalIterator())))
+        out.append(sc.broadcast(sorted(((r.i, r.t) for r in own.toLocalIterator()), key=lambda x: (_by_id(x[0]), x[1]))))
     return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted item ids as strings) and
+    """``docs`` with n_words, n_hit, items (sorted item ids as strings, null last) and
     spans ("start:end" characters of the original text, end exclusive)."""
     parts = _parts(benchmark, item_col, item_text, part_bytes)
     added = ["n_words", "n_hit", "items", "spans"]
@@ -134,7 +140,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     hit, own = scan_words(tokens, automata)
                 n_words.append(len(tokens))
                 n_hit.append(sum(e - s for s, e in hit))
-                items.append(sorted(own))
+                items.append(sorted(own, key=_by_id))
                 spans.append(_offsets(text, hit) if hit else [])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),

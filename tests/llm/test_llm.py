@@ -201,6 +201,14 @@ def test_windows_are_found_and_mapped_back(shared):
             assert sum(len(split(t)) for t in told) == len(hit)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 8])
+def test_items_without_an_id_are_found(shared, part_bytes):
+    bench = shared.createDataFrame([(None, "red green blue"), (None, "one two"), (5, "red green blue"), (6, None)], "item_id bigint, text string")
+    docs = shared.createDataFrame([(1, "a red green blue b"), (2, "one two three"), (3, "none")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_contamination(docs, bench, part_bytes=part_bytes).collect()}
+    assert got == {1: (3, ["5", None]), 2: (2, [None]), 3: (0, [])}
+
+
 # 4 Jaccard join
 
 
