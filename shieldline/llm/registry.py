@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shieldline.llm import brown, chat, decontaminate, fingerprints, jaccard, language, packing, pii, repeats, toxicity
+from shieldline.llm import brown, chat, decontaminate, fingerprints, jaccard, language, minhash, packing, pii, ranked, repeats, toxicity, whitening
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_language": language.op9_language,
     "op10_repeats": repeats.op10_repeats,
+    "op11_minhash": minhash.op11_minhash,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_ranked": ranked.op13_ranked,
 }
 
 SQL = {
     "op4_jaccard": jaccard.OP4_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op11_minhash": minhash.OP11_SQL,
+    "op13_ranked": ranked.OP13_SQL,
 }
