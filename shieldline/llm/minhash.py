@@ -16,9 +16,9 @@ overlap by 80 % or more of their union.
    5 in 100,000 (binomial), one at 0.85 in 2 of 10**9.
 3. Pairs.  Nodes that share a key are a list.  First each node meets the least
    node among all its lists; links give components.  In lists that still hold
-   several components, ``PIVOTS`` nodes meet those of other components; then all
-   pairs across components that are left meet, if the distance of their
-   signatures and their sizes allow a link.  Pairs within a component are not
+   several components, ``PIVOTS`` nodes meet those of other components within
+   the threshold; then all pairs across components that are left meet, if their
+   sizes and sketches of the sets (an exact bound) allow a link.  Pairs within a component are not
    needed, so a group of copies is never expanded into all its pairs, and
    nothing is capped.
 4. Every pair is confirmed on the whole sets (64-bit shingle hashes).  Only
@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shieldline.llm.components import components, joined
+from shieldline.llm.jaccard import PARITY_BITS, parity
 from shieldline.llm.packed import pack_keys, unpack_keys
 from shieldline.llm.tables import documents, written
 from shieldline.llm.textarrays import U64, buffers, pieces, shingle_sets, splitmix
@@ -60,7 +61,7 @@ POSITIONS, BITS = 96, 9
 CHUNKS = 18
 DISTANCE = 2 * CHUNKS - 1
 #: Rounds in which one more node of each open list meets the others.
-PIVOTS = 2
+PIVOTS = 1
 #: Bits of the filter of nodes at most (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -68,6 +69,8 @@ FILTER_BITS = 1 << 27
 LANES = 60 // (BITS + 1)
 LONGS = POSITIONS // LANES
 _SIG = [f"s{i}" for i in range(LONGS)]
+#: Sketches of whole sets that rule pairs out before they are confirmed.
+_SKETCH = [f"p{i}" for i in range(PARITY_BITS // 64)]
 _FULL = sum(((1 << BITS) - 1) << (BITS + 1) * k for k in range(LANES))
 _HIGH = sum(1 << ((BITS + 1) * k + BITS) for k in range(LANES))
 #: The positions of each chunk.
@@ -196,8 +199,8 @@ def _filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens), once each, of the nodes asked for and of the few others
-    that the filter lets through."""
+    """node, tokens and the parity sketch, once each, of the nodes asked for and
+    of the few others that the filter lets through."""
     sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +211,15 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 node = np.array([_node(tokens[at[k] : at[k + 1]]) for k in some], dtype=np.int64)
                 place = _places(node, 64 * len(words))
                 hit = (words[place >> 6] >> (place & 63) & 1).reshape(2, -1).all(axis=0)
-                rows = [(n, pack_keys(tokens[at[k] : at[k + 1]])) for n, k in zip(node[hit].tolist(), some[hit]) if n not in seen and not seen.add(n)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], names=["node", "tokens"])
+                own = [(n, tokens[at[k] : at[k + 1]]) for n, k in zip(node[hit].tolist(), some[hit]) if n not in seen and not seen.add(n)]
+                if own:
+                    sketch = np.stack([parity(t) for _, t in own])
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([pack_keys(t) for _, t in own], pa.binary()),
+                                                      *[pa.array(sketch[:, k]) for k in range(len(_SKETCH))]], names=["node", "tokens", *_SKETCH])
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    return docs.select("text").mapInArrow(pack, "node bigint, tokens binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(pack, "node bigint, tokens binary, " + ", ".join(f"{p} bigint" for p in _SKETCH)).dropDuplicates(["node"])
 
 
 def _sent(pairs: DataFrame, side: str, sets: DataFrame, total: int) -> DataFrame:
@@ -261,16 +266,25 @@ def _open_lists(members: DataFrame, roots: DataFrame) -> DataFrame:
     return where.join(several, "key").select("key", "node", "c")
 
 
-def _signed(lists: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
-    """Members under the names of ``side``, with set sizes and signatures."""
-    own = nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(s).alias(f"{side}_{s}") for s in _SIG])
+def _with(lists: DataFrame, known: DataFrame, columns: list[str], side: str) -> DataFrame:
+    """Members under the names of ``side``, with set sizes and ``columns``."""
+    own = known.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
     return lists.select("key", F.col("node").alias(side), F.col("c").alias(f"{side}_c")).join(own, side)
 
 
-def _may_link() -> Column:
-    """Whether signatures and sizes leave it open that ``a`` and ``b`` link."""
-    fits = (F.col("a_n") * 100 >= F.col("b_n") * SIMILAR) & (F.col("b_n") * 100 >= F.col("a_n") * SIMILAR)
-    return fits & (distance("a", "b") <= DISTANCE)
+def _fit() -> Column:
+    """Sets of very different sizes cannot link."""
+    return (F.col("a_n") * 100 >= F.col("b_n") * SIMILAR) & (F.col("b_n") * 100 >= F.col("a_n") * SIMILAR)
+
+
+def _open_by_sketch() -> Column:
+    """Whether the sketches leave it open that ``a`` and ``b`` link, an exact
+    bound: sketches differ in no more bits than the sets in shingles, and sets of
+    S shingles together that differ in D are (S - D) / (S + D) similar."""
+    apart = F.lit(0)
+    for p in _SKETCH:
+        apart = apart + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
+    return apart * (100 + SIMILAR) <= (F.col("a_n") + F.col("b_n")) * (100 - SIMILAR)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -290,6 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(entries.join(lists, "key").select("key", "node", "a"), "members")
     least = members.groupBy("node").agg(F.min("a").alias("a"))
     sets = written(_whole_sets(docs, least), "sets")
+    signed = nodes.select("node", "n_shingles", *_SIG).join(sets.drop("tokens"), "node")
+    sets = sets.select("node", "tokens")
+    signed = written(signed, "signed")
     pairs = written(least.where("a < node").select("a", F.col("node").alias("b")), "met")
     roots = written(components(_linked(pairs, sets)), "roots")
 
@@ -297,12 +314,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for k in range(PIVOTS):
         left = written(_open_lists(members, roots), "open-lists")
         pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "c")).alias("p")).select("key", "p.node", "p.c")
-        meet = _signed(left, nodes, "b").join(_signed(pivot, nodes, "a"), "key").where((F.col("a_c") != F.col("b_c")) & _may_link())
+        meet = _with(left, signed, _SIG, "b").join(_with(pivot, signed, _SIG, "a"), "key").where((F.col("a_c") != F.col("b_c")) & _fit() & (distance("a", "b") <= DISTANCE))
         more = written(_ordered(meet).join(pairs, ["a", "b"], "left_anti"), "met")
         roots = joined(roots, _linked(more, sets))
         pairs = pairs.unionByName(more)
     left = written(_open_lists(members, roots), "open-lists")
-    across = _signed(left, nodes, "a").join(_signed(left, nodes, "b"), "key").where((F.col("a_c") < F.col("b_c")) & _may_link())
+    across = _with(left, signed, _SKETCH, "a").join(_with(left, signed, _SKETCH, "b"), "key").where((F.col("a_c") < F.col("b_c")) & _fit() & _open_by_sketch())
     more = _ordered(across).join(pairs, ["a", "b"], "left_anti")
     roots = joined(roots, _linked(more, sets))
 
