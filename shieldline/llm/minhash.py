@@ -99,15 +99,20 @@ def positions(packed: np.ndarray) -> np.ndarray:
     return (wide & ((1 << BITS) - 1)).reshape(len(packed), POSITIONS).astype(np.uint16)
 
 
-def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """The keys of every signature: each chunk without each of its positions."""
+def chunk_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of every signature, each chunk without each of its positions,
+    and a mark for each key: 31 bits of the whole chunk, and in the lowest bit
+    whether the key is the first of its chunk.  Signatures with equal chunks
+    share all keys of the chunk; by the marks they meet at the first one only."""
     value = splitmix((signature.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + np.arange(POSITIONS, dtype=U64) * U64(0xD1B54A32D192ED03))
-    keys = np.empty((len(signature), POSITIONS), dtype=U64)
+    keys, marks = np.empty((len(signature), POSITIONS), dtype=U64), np.empty((len(signature), POSITIONS), dtype=np.int32)
     for own in _CHUNKS:
         whole = value[:, own].sum(axis=1)
+        mark = (splitmix(whole) >> U64(33)).astype(np.int64) << 1
         for p in own:
             keys[:, p] = splitmix(whole - value[:, p] + U64(int(p) + 1))
-    return keys
+            marks[:, p] = (mark + (p == own[0])).astype(np.uint32).view(np.int32)
+    return keys, marks
 
 
 def distance(a: str, b: str) -> Column:
@@ -151,7 +156,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """(key, node) for every key of every node."""
+    """(key, node, mark) for every key of every node."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +164,10 @@ def _entries(nodes: DataFrame) -> DataFrame:
                 continue
             packed = np.stack([batch.column(1 + k).to_numpy() for k in range(LONGS)], axis=1)
             node = np.repeat(batch.column(0).to_numpy(), POSITIONS)
-            own = chunk_keys(positions(packed)).view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(node)], names=["key", "node"])
+            own, marks = chunk_keys(positions(packed))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64).ravel()), pa.array(node), pa.array(marks.ravel())], names=["key", "node", "mark"])
 
-    return nodes.select("node", *_SIG).mapInArrow(keys, "key bigint, node bigint")
+    return nodes.select("node", *_SIG).mapInArrow(keys, "key bigint, node bigint, mark int")
 
 
 def _thousandth(total: int) -> Column:
@@ -236,8 +241,7 @@ def _sent(pairs: DataFrame, side: str, sets: DataFrame, total: int) -> DataFrame
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets overlap enough."""
-    pairs = written(pairs, "pairs")
+    """The pairs (a, b), of a written table, whose whole sets overlap enough."""
     total = pairs.count()
     both = _sent(_sent(pairs, "a", sets, total), "b", sets, total).select("a", "b", "ta", "tb")
 
@@ -259,17 +263,22 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # the join
 
 
-def _open_lists(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members (key, node, c) of lists that hold several components."""
-    where = members.join(roots.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node, mark, c) of lists that hold several labels."""
+    where = members.join(labels.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     several = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return where.join(several, "key").select("key", "node", "c")
+    return where.join(several, "key").select("key", "node", "mark", "c")
 
 
 def _with(lists: DataFrame, known: DataFrame, columns: list[str], side: str) -> DataFrame:
     """Members under the names of ``side``, with set sizes and ``columns``."""
     own = known.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-    return lists.select("key", F.col("node").alias(side), F.col("c").alias(f"{side}_c")).join(own, side)
+    return lists.select("key", F.col("node").alias(side), F.col("mark").alias(f"{side}_mark"), F.col("c").alias(f"{side}_c")).join(own, side)
+
+
+def _meet_here() -> Column:
+    """Whether ``a`` and ``b`` differ in the chunk, or this is its first key."""
+    return F.expr("(a_mark & 1) = 1 or a_mark <> b_mark")
 
 
 def _fit() -> Column:
@@ -301,27 +310,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     entries = _entries(nodes)
     lists = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "lists")
-    members = written(entries.join(lists, "key").select("key", "node", "a"), "members")
+    members = written(entries.join(lists, "key").select("key", "node", "mark", "a"), "members")
     least = members.groupBy("node").agg(F.min("a").alias("a"))
     sets = written(_whole_sets(docs, least), "sets")
     signed = nodes.select("node", "n_shingles", *_SIG).join(sets.drop("tokens"), "node")
     sets = sets.select("node", "tokens")
     signed = written(signed, "signed")
     pairs = written(least.where("a < node").select("a", F.col("node").alias("b")), "met")
-    roots = written(components(_linked(pairs, sets)), "roots")
+    links = _linked(pairs, sets)
+    onward = links.select(F.col("a").alias("over"), F.col("b").alias("a"))
+    labels = links.join(onward, "a", "left").select(F.col("b").alias("node"), F.coalesce("over", "a").alias("c"))  # what b, or what it hangs on, hangs on
 
-    members = members.select("key", "node")
+    members = members.select("key", "node", "mark")
     for k in range(PIVOTS):
-        left = written(_open_lists(members, roots), "open-lists")
-        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "c")).alias("p")).select("key", "p.node", "p.c")
-        meet = _with(left, signed, _SIG, "b").join(_with(pivot, signed, _SIG, "a"), "key").where((F.col("a_c") != F.col("b_c")) & _fit() & (distance("a", "b") <= DISTANCE))
+        left = written(_open_lists(members, labels), "open-lists")
+        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "mark", "c")).alias("p")).select("key", "p.node", "p.mark", "p.c")
+        far = (F.col("a_c") != F.col("b_c")) & _meet_here() & _fit() & (distance("a", "b") <= DISTANCE)
+        meet = _with(left, signed, _SIG, "b").join(_with(pivot, signed, _SIG, "a"), "key").where(far)
         more = written(_ordered(meet).join(pairs, ["a", "b"], "left_anti"), "met")
-        roots = joined(roots, _linked(more, sets))
+        links = links.unionByName(_linked(more, sets))
+        labels = written(components(links), "labels")
         pairs = pairs.unionByName(more)
-    left = written(_open_lists(members, roots), "open-lists")
-    across = _with(left, signed, _SKETCH, "a").join(_with(left, signed, _SKETCH, "b"), "key").where((F.col("a_c") < F.col("b_c")) & _fit() & _open_by_sketch())
-    more = _ordered(across).join(pairs, ["a", "b"], "left_anti")
-    roots = joined(roots, _linked(more, sets))
+    left = written(_open_lists(members, labels), "open-lists")
+    across = _with(left, signed, _SKETCH, "a").join(_with(left, signed, _SKETCH, "b"), "key").where(
+        (F.col("a_c") < F.col("b_c")) & _meet_here() & _fit() & _open_by_sketch())
+    more = written(_ordered(across).join(pairs, ["a", "b"], "left_anti"), "met")
+    roots = joined(labels, _linked(more, sets))
 
     # the smallest id of each component, and back to the rows
     named = nodes.select("node", "first", "n").join(roots.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))

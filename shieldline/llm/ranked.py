@@ -5,11 +5,12 @@ documents that hold terms and L terms in all.  A term that occurs tf times in it
 adds w * ((1000000000 tf) div (1000 tf + 12 m)), so the part behind w (its
 impact) depends on (tf, m) alone.
 
-1. ``count_terms``: each text becomes its distinct term hashes and their tf.
-2. ``build_index``: documents are ranged by m and written in blocks of equal m
-   (a stratum of many documents has several blocks).  A block lists its terms;
-   for each term groups of equal tf, greatest last; for each group its documents.
-   Every document with a term is indexed, whatever is searched.
+1. ``totals`` counts N and L; ``hashed_terms`` turns each text into its m and its
+   distinct term hashes with their tf.
+2. ``build_index``: documents are dealt by m, a large stratum over many tasks, and
+   written in blocks of equal m.  A block lists its terms; for each term groups of
+   equal tf, greatest last; for each group its documents.  Every document with a
+   term is indexed, whatever is searched.
 3. ``search``: items are searched in groups of ``ITEMS``, each against the whole
    index.  Weights come from the document frequencies that blocks add up.  A
    task takes blocks of up to ``WINDOW`` bytes, bounds what an item can score in
@@ -42,13 +43,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shieldline.llm.tables import documents, written
+from shieldline.session import scratch_path
 from shieldline.llm.textarrays import U64, buffers, fold, hash_spans, pieces, words
 
 TOP = 20
 #: Documents of a block at most, and entries after which a block ends.
-BLOCK_DOCS, BLOCK_ENTRIES = 4096, 1 << 20
+BLOCK_DOCS, BLOCK_ENTRIES = 4096, 1 << 18
 #: Items searched at once, and bytes of blocks that a task orders at once.
-ITEMS, WINDOW = 512, 48 << 20
+ITEMS, WINDOW = 512, 16 << 20
 #: One in so many blocks is searched first.
 FIRST = 16
 
@@ -73,23 +75,36 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray):
     return h[at], np.diff(np.append(at, len(h))), np.searchsorted(own[at], np.arange(len(n) + 1)), n
 
 
-def count_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n and the packed (hash, tf) of every text that holds a term."""
-    kind = dict(docs.dtypes)[id_col]
+def totals(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """N and L: the documents that hold terms, and their terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
+            raw, offsets = buffers(batch.column(0))
             for i, j in pieces(offsets):
-                h, tf, at, n = term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rows = np.flatnonzero(n)
+                n = np.diff(words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], TERM)[2])
+                yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["n", "total"])
+
+    sums = docs.select(text_col).mapInArrow(count, "n bigint, total bigint").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    return sums.n or 0, sums.total or 0
+
+
+def hashed_terms(docs: DataFrame, n: int, total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, m and the packed (hash, tf) of every text that holds a term."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = buffers(batch.column(1))
+            for i, j in pieces(offsets, 1 << 20):
+                h, tf, at, size = term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows = np.flatnonzero(size)
                 tf = tf.astype("<u4")
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(rows + i)), pa.array(n[rows], pa.int64()),
+                    batch.column(0).take(pa.array(rows + i)), pa.array([75 + 25 * x * n // total for x in size[rows].tolist()], pa.int64()),
                     pa.array([h[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary()),
-                    pa.array([tf[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], names=["doc_id", "n", "terms", "tf"])
+                    pa.array([tf[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], names=["doc_id", "m", "terms", "tf"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(count, f"doc_id {kind}, n bigint, terms binary, tf binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col)).mapInArrow(told, "doc_id bigint, m bigint, terms binary, tf binary")
 
 
 BLOCK = "m bigint, block bigint, docs array<bigint>, terms binary, term_end binary, tf binary, tf_end binary, posts binary"
@@ -114,11 +129,13 @@ def _block(m: int, ids: pa.Array, terms: list[bytes], tfs: list[bytes]) -> list:
     return [m, number, ids, h[at][first].tobytes(), ends[0].astype("<u4").tobytes(), tf[at].tobytes(), ends[1].astype("<u4").tobytes(), doc.astype("<u2").tobytes()]
 
 
-def build_index(counted: DataFrame, n: int, total: int) -> DataFrame:
-    """Blocks of the documents of ``counted``, given N and L; not written."""
-    stratum = F.expr(f"cast(75 + (25 * cast(n as decimal(38, 0)) * {n}) div {total} as bigint)")
-    parts = max(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000)
-    ranged = counted.withColumn("m", stratum).repartitionByRange(parts, "m", F.xxhash64("doc_id", "n")).sortWithinPartitions("m")
+def build_index(docs: DataFrame, n: int, total: int) -> DataFrame:
+    """The blocks of all documents (doc_id, text) that hold terms, given N and L,
+    written; ``early`` marks those that are searched first."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // (8 * BLOCK_DOCS))))  # a stratum of many documents is dealt over many tasks
+    dealt = hashed_terms(docs, n, total).repartition(parts, F.col("m"), share).sortWithinPartitions("m")
     whole = [("m", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), *[(c, pa.binary()) for c in _BLOCK_NAMES[3:]]]
     schema = pa.schema(whole)
 
@@ -142,7 +159,10 @@ def build_index(counted: DataFrame, n: int, total: int) -> DataFrame:
         if ids:
             yield block()
 
-    return ranged.select("doc_id", "terms", "tf", "m").mapInArrow(build, BLOCK)
+    blocks = dealt.mapInArrow(build, BLOCK).withColumn("early", F.pmod(F.xxhash64("m", "block"), F.lit(FIRST)) == 0)
+    path = scratch_path(spark, "index")
+    blocks.write.partitionBy("early").parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
 
 
 # searching
@@ -319,24 +339,22 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, item_col: str = "i
     each item; ``docs`` has doc_id (whole numbers) and text."""
     spark = docs.sparkSession
     kind = dict(items.dtypes)[item_col]
-    counted = written(count_terms(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "terms")
-    sums = counted.agg(F.count("*").alias("n"), F.sum("n").alias("total")).first()
+    n, total = totals(docs)
     out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")
-    if not sums.n:
+    if not n:
         return out
-    index = written(build_index(counted, sums.n, sums.total), "index")
-    early = F.pmod(F.xxhash64("m", "block"), F.lit(FIRST)) == 0
+    index = build_index(docs, n, total)
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
     results = []
     for ids, texts in _groups(items.select(F.col(item_col), F.col(item_text)), ITEMS):
         queries = Queries(ids, texts)
-        queries.weigh(_frequencies(index, queries), sums.n)
-        first = written(_searched(index.where(early), queries, np.zeros(len(ids), np.int64), top), "found")
+        queries.weigh(_frequencies(index, queries), n)
+        first = written(_searched(index.where("early"), queries, np.zeros(len(ids), np.int64), top), "found")
         last = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("item", "score").collect()
         least = np.zeros(len(ids), np.int64)
         for r in last:
             least[r.item] = r.score
-        found = first.unionByName(_searched(index.where(~early), queries, least, top))
+        found = first.unionByName(_searched(index.where("not early"), queries, least, top))
         ranked = written(found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top), "ranked")
         names = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {kind}")
         results.append(ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
