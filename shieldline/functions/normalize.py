@@ -198,13 +198,14 @@ def rot13(c: Column) -> Column:
     return F.translate(c, _ASCII, _ROT13)
 
 
-def deobfuscate_token(tok: Column, use_rot13: bool = True, use_confusables: bool = True) -> Column:
-    """ROT13 reading when the lexicon prefers it, then lower-case and map
-    confusables; tokens without an ASCII letter/digit or @$§!+ pass as-is."""
+def deobfuscate_token(tok: Column, use_rot13: bool = True, use_confusables: bool = True, flips: Column | None = None) -> Column:
+    """ROT13 reading when the lexicon prefers it (``flips`` holds the tokens of
+    the text where it does, if given), then lower-case and map confusables;
+    tokens without an ASCII letter/digit or @$§!+ pass as-is."""
     chosen = tok
     if use_rot13:
         rot = rot13(tok)
-        take_rot = F.lower(rot).isin(fv.LEXICON) & ~F.lower(tok).isin(fv.LEXICON)
+        take_rot = F.lower(rot).isin(fv.LEXICON) & ~F.lower(tok).isin(fv.LEXICON) if flips is None else F.array_contains(flips, tok)
         chosen = F.when(take_rot, rot).otherwise(tok)
     mapped = F.translate(F.lower(chosen), CONF_FROM, CONF_TO) if use_confusables else chosen
     return F.when(tok.rlike(fv.DEOBFUSCATION_GATE), mapped).otherwise(tok)
@@ -222,9 +223,11 @@ RX_ROT13 = ci(f"{BOW}(?:" + "|".join(w.translate(str.maketrans(_ASCII, _ROT13))
 _MARK = "\x01"  # stands behind each token while whole texts are rewritten
 
 
-def deobfuscate_tokens(text: Column, use_rot13: bool = True, mode: str = "full") -> Column:
+def deobfuscate_tokens(text: Column, use_rot13: bool = True, mode: str = "full", flips: Column | None = None) -> Column:
     """Tokenise, rewrite each token, and re-join with a space after every
     alphanumeric token.  ``mode`` isolates one rewrite for stage queries.
+    ``flips`` (array, null for none) holds the tokens that ROT13 turns where
+    the lexicon is a table (``operators.user_tables``).
 
     ASCII texts without a ROT13 form of a lexicon word are rewritten whole:
     a mark behind each token, letters mapped, then blanks for the marks."""
@@ -232,8 +235,9 @@ def deobfuscate_tokens(text: Column, use_rot13: bool = True, mode: str = "full")
     rot = rot and use_rot13
     simple = (F.octet_length(text) == F.length(text)) & ~text.contains(_MARK)
     if rot:
-        simple = simple & ~text.rlike(RX_ROT13)
-    return F.when(simple, _ascii_tokens(text, conf)).otherwise(_each_token(text, rot, conf))
+        simple = simple & (~text.rlike(RX_ROT13) if flips is None else flips.isNull())
+    flips = None if flips is None else F.coalesce(flips, F.array().cast("array<string>"))
+    return F.when(simple, _ascii_tokens(text, conf)).otherwise(_each_token(text, rot, conf, flips))
 
 
 def _ascii_tokens(text: Column, conf: bool) -> Column:
@@ -247,10 +251,10 @@ def _ascii_tokens(text: Column, conf: bool) -> Column:
     return F.rtrim(F.replace(spaced, F.lit(_MARK), F.lit("")))
 
 
-def _each_token(text: Column, rot: bool, conf: bool) -> Column:
+def _each_token(text: Column, rot: bool, conf: bool, flips: Column | None = None) -> Column:
     toks = tokens(text)
     if rot or conf:
-        toks = F.transform(toks, lambda t: deobfuscate_token(t, rot, conf))
+        toks = F.transform(toks, lambda t: deobfuscate_token(t, rot, conf, flips))
     spaced = F.transform(toks, lambda t: F.when(t.rlike(r"^[\p{L}\p{N}]+$"), F.concat(t, F.lit(" "))).otherwise(t))
     return F.rtrim(F.array_join(spaced, ""))
 

@@ -1,10 +1,10 @@
-"""Rule matching on normalised text.
+"""Rule packs and their matches.
 
-A usual rule pack is a small configuration table (``rules_source``).  It is
-read to the driver once and compiled into *literal* ``rlike`` expressions, each
-behind an exact ``contains(anchor)`` pre-filter: literal patterns are compiled
-once per task.  A pack beyond ``LITERAL_BYTES`` is no projection any more; it
-stays a table and is matched by ``operators.rule_jobs.rule_hits_join``.
+A pack is read to the driver and matched by ``matching.rule_hits``: one
+automaton over all anchors scans a text once, and candidates alone are matched.
+``layer_hits`` is the same as a literal expression (``contains`` and ``rlike``
+for each rule); tests hold the two against each other.  A pack that is too
+large for a worker stays a table (``operators.rule_jobs.rule_hits_join``).
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .matching import HIT_TYPE
 from .regex import portable
 
-LITERAL_BYTES = 1 << 20   # of patterns that are compiled into one projection
 RULE_FLAGS = "(?is)"      # case-insensitive, dot matches newline
 
 
@@ -46,12 +46,11 @@ class RulePack:
 
     @staticmethod
     def from_df(rules_df: DataFrame) -> "RulePack":
-        size = rules_df.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
-        if size > LITERAL_BYTES:
-            raise ValueError(f"{size} bytes of patterns are no projection; match them with rule_hits_join")
-        rows = rules_df.filter(F.col("enabled")).collect()
+        """The enabled rules of a table; those without a pattern match nothing
+        and are left out.  Anchors are compared in lower case."""
+        rows = rules_df.filter(F.col("enabled") & F.col("pattern").isNotNull()).collect()
         return RulePack(tuple(
-            Rule(r.rule_id, r.layer, r.grp, r.category, int(r.ord), tuple(r.anchors or ()), r.pattern)
+            Rule(r.rule_id, r.layer, r.grp, r.category, int(r.ord or 0), tuple(a.lower() for a in r.anchors or () if a), r.pattern)
             for r in rows
         ))
 
@@ -59,9 +58,10 @@ class RulePack:
 def _gate(text: Column, anchors: tuple[str, ...]) -> Column:
     if not anchors:
         return F.lit(True)
+    low = F.lower(text)
     g = None
     for a in anchors:
-        c = text.contains(a)
+        c = low.contains(a)
         g = c if g is None else (g | c)
     return g
 
@@ -70,11 +70,8 @@ def rule_matches(text: Column, rule: Rule) -> Column:
     return _gate(text, rule.anchors) & text.rlike(rule.engine_pattern)
 
 
-HIT_TYPE = "struct<rule_id:string,pattern:string,category:string,grp:string>"
-
-
 def layer_hits(text: Column, rules: list[Rule]) -> Column:
-    """Array of hit structs, in pack order (the reference's list order)."""
+    """Array of hit structs, in pack order, as one literal expression."""
     if not rules:
         return F.array().cast(f"array<{HIT_TYPE}>")
     items = [

@@ -40,13 +40,14 @@ def words(text: Column) -> Column:
 
 def keyword_score(normalized: Column) -> Column:
     hits = F.filter(words(normalized), lambda w: w.isin(fv.DANGEROUS_KEYWORDS))
-    return (F.size(hits) * fv.W_KEYWORD).cast("int")
+    return F.coalesce(F.size(hits) * fv.W_KEYWORD, F.lit(0)).cast("int")
 
 
 def total_score(*parts: Column) -> Column:
-    s = parts[0]
-    for p in parts[1:]:
-        s = s + p
+    """The sum, capped; a part that is null (of a null text) counts as 0."""
+    s = F.lit(0)
+    for p in parts:
+        s = s + F.coalesce(p, F.lit(0))
     return F.least(s, F.lit(fv.SCORE_CAP)).cast("int")
 
 

@@ -22,7 +22,7 @@ FIRST_ROWS = 1_000
 VALID_FILTERS = ("ALL", "BLOCKED", "FLAGGED", "SAFE")
 
 
-def _newest_first():
+def newest_first():
     return [F.col("timestamp").desc_nulls_last(), F.col("id").asc()]
 
 
@@ -48,12 +48,12 @@ def page_of(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT
     if page < 1 or not 1 <= page_size <= fv.PAGE_SIZE_MAX:
         raise ValueError("page >= 1 and 1 <= page_size <= 200")
     low, high = (page - 1) * page_size, page * page_size
-    w = Window.orderBy(*_newest_first())
+    w = Window.orderBy(*newest_first())
     if high <= FIRST_ROWS:  # the first pages: a bounded top-k
-        top = log.orderBy(*_newest_first()).limit(high)
+        top = log.orderBy(*newest_first()).limit(high)
         return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > low)
     n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = written(log.repartitionByRange(n, *_newest_first()).withColumn("_range", F.spark_partition_id()), "log-ranges")
+    ranges = written(log.repartitionByRange(n, *newest_first()).withColumn("_range", F.spark_partition_id()), "log-ranges")
     start, wanted = 0, {}
     for r in ranges.groupBy("_range").count().orderBy("_range").collect():  # n rows at most
         if start < high and start + r["count"] > low:
@@ -62,7 +62,7 @@ def page_of(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT
     if not wanted:
         return log.limit(0).withColumn("rank", F.lit(0))
     before = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*_newest_first()))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*newest_first()))
     held = ranges.filter(F.col("_range").isin(list(wanted))).withColumn("rank", (local + before[F.col("_range")]).cast("int"))
     return held.filter((F.col("rank") > low) & (F.col("rank") <= high)).drop("_range")
 
@@ -71,7 +71,7 @@ def page_after(log: DataFrame, timestamp, entry_id: str | None, page_size: int =
     """The page behind a known entry: the next ``page_size`` rows, newest first."""
     at, i = F.lit(timestamp), F.lit(entry_id)
     behind = (F.col("timestamp") < at) | F.col("timestamp").isNull() | ((F.col("timestamp") == at) & (F.col("id") > i))
-    return log.filter(behind).orderBy(*_newest_first()).limit(page_size)
+    return log.filter(behind).orderBy(*newest_first()).limit(page_size)
 
 
 def log_page(log: DataFrame, page: int = 1, page_size: int = fv.PAGE_SIZE_DEFAULT,
@@ -136,7 +136,7 @@ def queue_total(log: DataFrame, status: str = "ALL") -> DataFrame:
 
 def retain_latest(log: DataFrame, n: int = fv.RETAIN_ENTRIES) -> DataFrame:
     """The rolling window of the newest ``n`` entries (top-k, bounded)."""
-    return log.orderBy(*_newest_first()).limit(n)
+    return log.orderBy(*newest_first()).limit(n)
 
 
 def latest_feed(log: DataFrame, n: int = fv.FEED_ENTRIES) -> DataFrame:

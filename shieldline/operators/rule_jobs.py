@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import RULE_FLAGS, RulePack, layer_hits
-from ..functions.regex import portable
-
-GRAM = 3   # characters of an anchor that a text is looked up by
+from ..functions import matching
+from ..functions.matching import PART_BYTES
+from ..functions.rules import RulePack
 
 
 def rule_hits(ruled: DataFrame, rules: DataFrame) -> DataFrame:
@@ -24,46 +24,30 @@ def rule_hits(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.join(dim, "rule_id")
 
 
+def _with_layer(layer: str):
+    return lambda h: F.struct(h["rule_id"].alias("rule_id"), F.lit(layer).alias("layer"), h["grp"].alias("grp"), h["category"].alias("category"))
+
+
 def rule_hits_join(normalized: DataFrame, rules: DataFrame) -> DataFrame:
     """The same table for a pack of any size: (prompt_id, rule_id, layer, grp,
-    category), with the pack as a table.
-
-    A text meets a rule over the first characters of one of the rule's anchors:
-    the distinct character runs of a text that some anchor begins with are
-    joined to the anchors, then the whole anchor and the pattern are verified.
-    Texts are carried along only where an anchor's beginning occurs.  Rules
-    whose anchors are missing or shorter than ``GRAM`` have nothing to meet on;
-    those are compiled as literals (and have to fit there)."""
-    pack = rules.filter("enabled").select("rule_id", "layer", "grp", "category", "ord", "anchors", "pattern", "enabled")
-    short = (F.coalesce(F.size("anchors"), F.lit(0)) <= 0) | F.exists("anchors", lambda a: F.length(a) < GRAM)
-    anchored = pack.filter(~short).select("rule_id", "layer", "grp", "category", "pattern", F.explode("anchors").alias("anchor"))
-    anchored = anchored.withColumn("gram", F.substring("anchor", 1, GRAM))
+    category).  The pack is dealt into parts by a hash of the rule, each of what
+    one automaton holds, and the texts are read once for each part: neither the
+    driver nor a worker holds more than a part, and no row is shuffled."""
+    enabled = rules.filter(F.col("enabled") & F.col("pattern").isNotNull())
+    weight = F.octet_length("pattern") + F.coalesce(F.octet_length(F.array_join("anchors", "")), F.lit(0)) + 64
+    parts = max(1, math.ceil((enabled.agg(F.sum(weight)).first()[0] or 0) / PART_BYTES))
     texts = normalized.select("prompt_id", "normalized_text")
-    runs = F.transform(F.sequence(F.lit(1), F.length("normalized_text") - (GRAM - 1)),
-                       lambda i: F.substring(F.col("normalized_text"), i, F.lit(GRAM)))
-    grams = (texts.filter(F.length("normalized_text") >= GRAM)
-             .select("prompt_id", F.explode(F.array_distinct(runs)).alias("gram"))
-             .join(anchored.select("gram").distinct(), "gram", "left_semi"))
-    pairs = (grams.join(anchored, "gram").join(texts, "prompt_id")
-             .filter(F.expr("contains(normalized_text, anchor)"))
-             .dropDuplicates(["prompt_id", "rule_id"]))
-    found = pairs.filter(F.rlike("normalized_text", F.concat(F.lit(RULE_FLAGS), portable_udf("pattern"))))
-    literal = RulePack.from_df(pack.filter(short))
-    hits = [layer_hits(F.col("normalized_text"), literal.layer(n)) for n in ("arabic", "english")]
-    always = (texts.select("prompt_id", F.explode_outer(F.concat(*hits)["rule_id"]).alias("rule_id"))
-              .filter(F.col("rule_id").isNotNull())
-              .join(pack.select("rule_id", "layer", "grp", "category"), "rule_id"))
-    cols = ["prompt_id", "rule_id", "layer", "grp", "category"]
-    return found.select(cols).unionByName(always.select(cols))
-
-
-def portable_udf(column: str):
-    """``portable`` for a column of patterns (rules only, once per candidate)."""
-    @F.pandas_udf("string")
-    def convert(p: pd.Series) -> pd.Series:
-        return p.map({x: portable(x) for x in p.unique()})
-
-    return convert(column)
+    spark, cols, found = normalized.sparkSession, ["rule_id", "layer", "grp", "category"], None
+    for k in range(parts):
+        own = enabled.where(F.pmod(F.xxhash64("rule_id", "pattern"), F.lit(parts)) == k)
+        pack = RulePack.from_df(own).rules
+        layers = tuple(sorted({r.layer for r in pack})) or ("english",)
+        for hits in matching.rule_hits(spark, F.col("normalized_text"), pack, layers):
+            told = texts.select("prompt_id", hits.alias("_h"))
+            lists = F.concat(*[F.transform(F.col(f"_h.`{x}`"), _with_layer(x)) for x in layers])
+            more = told.select("prompt_id", F.explode_outer(lists).alias("_x")).where("_x is not null").select("prompt_id", *[f"_x.{c}" for c in cols])
+            found = more if found is None else found.unionByName(more)
+    return found
 
 
 def rule_group_stats(ruled: DataFrame, rules: DataFrame) -> DataFrame:

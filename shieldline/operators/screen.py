@@ -10,18 +10,22 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import enrich as en
+from ..functions import matching as mt
 from ..functions import normalize as nz
 from ..functions import rules as rl
 from ..functions import scoring as sc
 from ..functions import verdict as vd
 from ..functions.regex import BOW, EOW, SPACE
 from ..functions.unicode_udf import python_fixups
+from . import user_tables as ut
+from .model import score_with_pipeline
 
 
 @dataclass(frozen=True)
@@ -49,9 +53,10 @@ RX_FLAG_REPEAT = nz.RX_REPEAT
 
 
 def normalize_prompts(df: DataFrame, text_col: str = "text",
-                      policies: Policies = DEFAULT_POLICIES) -> DataFrame:
+                      policies: Policies = DEFAULT_POLICIES, lexicon: DataFrame | None = None) -> DataFrame:
     """Adds ``normalized_text``, ``transformations`` and the intent stage
-    (``intent_score`` plus the rewritten text ``intent_text``)."""
+    (``intent_score`` plus the rewritten text ``intent_text``).  ``lexicon``
+    (word) takes the place of the built-in one for ROT13; it is a batch job."""
     raw = F.col(text_col)
     sig = nz.intent_signals(raw)
     df = df.withColumns({
@@ -71,10 +76,14 @@ def normalize_prompts(df: DataFrame, text_col: str = "text",
     if policies.base64_hex:
         steps += [nz.decode_base64_runs, nz.decode_hex_runs]
     mode = "full" if policies.unicode_norm else "rot13"
-    steps.append(lambda t: nz.deobfuscate_tokens(t, policies.rot13, mode))
+    flips, start = None, F.col("_fix.text")
+    if lexicon is not None and policies.rot13:
+        df = ut.with_flips(nz.stages(df, start, steps, "_decoded"), "_decoded", lexicon)
+        flips, start, steps = F.col("_flips"), F.col("_decoded"), []
+    steps.append(lambda t: nz.deobfuscate_tokens(t, policies.rot13, mode, flips))
     if policies.split_letter:
         steps += [nz.merge_spaced_runs, nz.merge_single_letters]
-    df = nz.stages(df, F.col("_fix.text"), [*steps, nz.collapse_repeats], "normalized_text")
+    df = nz.stages(df, start, [*steps, nz.collapse_repeats], "normalized_text")
 
     norm = F.col("normalized_text")
     flags = [
@@ -89,18 +98,20 @@ def normalize_prompts(df: DataFrame, text_col: str = "text",
     arr = F.array_compact(F.array(*[F.when(c, F.lit(label)) for c, label in flags]))
     df = df.withColumn("transformations",
                        F.when(F.size(arr) == 0, F.array(F.lit(fv.TRANSFORM_NONE))).otherwise(arr))
-    return df.drop("_loop", "_n_console", "_n_evil", "_classic", "_fix")
+    return df.drop("_loop", "_n_console", "_n_evil", "_classic", "_fix", "_flips", "_decoded")
 
 
-def score_prompts(df: DataFrame, text_col: str = "text", threshold: int | None = None) -> DataFrame:
+def score_prompts(df: DataFrame, text_col: str = "text", threshold: int | None = None,
+                  phrases: DataFrame | None = None, keywords: DataFrame | None = None) -> DataFrame:
     """Needs ``normalize_prompts`` columns.  Adds the Phase-1 scores,
-    ``base_score`` and ``pipeline_decision``."""
+    ``base_score`` and ``pipeline_decision``.  ``phrases`` (phrase) and
+    ``keywords`` (word) take the place of the built-in lists."""
     raw = F.col(text_col)
-    df = df.withColumns({
-        "code_score": sc.code_score(raw),
-        "arabic_kw_score": sc.arabic_phrase_score(raw),
-        "keyword_score": sc.keyword_score(F.col("normalized_text")),
-    })
+    df = df.withColumn("code_score", sc.code_score(raw))
+    df = (df.withColumn("arabic_kw_score", sc.arabic_phrase_score(raw)) if phrases is None
+          else ut.with_phrase_score(df, text_col, phrases))
+    df = (df.withColumn("keyword_score", sc.keyword_score(F.col("normalized_text"))) if keywords is None
+          else ut.with_keyword_score(df, "normalized_text", keywords))
     df = df.withColumn("base_score", sc.total_score(
         F.col("intent_score"), F.col("code_score"), F.col("arabic_kw_score"), F.col("keyword_score")))
     decision = sc.base_decision(F.col("base_score"))
@@ -111,11 +122,12 @@ def score_prompts(df: DataFrame, text_col: str = "text", threshold: int | None =
 def match_rules(df: DataFrame, pack: rl.RulePack) -> DataFrame:
     """Phase 2 on ``normalized_text``: per-layer hits and their summaries,
     then the rule bump on ``base_score``/``pipeline_decision``."""
-    norm = F.col("normalized_text")
-    df = df.withColumns({
-        "_ar_hits": rl.layer_hits(norm, pack.layer("arabic")),
-        "_en_hits": rl.layer_hits(norm, pack.layer("english")),
-    })
+    layers = ("arabic", "english")
+    ordered = [r for layer in layers for r in pack.layer(layer)]
+    parts = mt.rule_hits(df.sparkSession, F.col("normalized_text"), ordered, layers)
+    df = df.withColumns({f"_part{i}": p for i, p in enumerate(parts)})
+    df = df.withColumns({f"_{layer[:2]}_hits": F.concat(*[F.col(f"_part{i}.{layer}") for i in range(len(parts))]) for layer in layers})
+    df = df.drop(*[f"_part{i}" for i in range(len(parts))])
     ar = rl.layer_summary(F.col("_ar_hits"))
     en = rl.layer_summary(F.col("_en_hits"))
     df = df.withColumns({
@@ -200,15 +212,18 @@ def with_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def apply_model(df: DataFrame, model=None, use_ai: bool = True) -> DataFrame:
-    """Phase 3.  ``model`` is None (layer off), a scorer callable (run through
-    an Arrow UDF on gated rows only — ungated rows pass NULL), or a
-    predictions DataFrame ``(prompt_id, ai_prediction, ai_confidence)``."""
+    """Phase 3.  ``model`` is None (layer off), a pipeline fitted by
+    ``operators.model``, a scorer callable (run through an Arrow UDF on gated
+    rows only — ungated rows pass NULL), or a predictions DataFrame
+    ``(prompt_id, ai_prediction, ai_confidence)``."""
     enabled = use_ai and model is not None
     score, decision = F.col("score_after_regex"), F.col("decision_after_regex")
     df = df.withColumn("ai_activated", vd.model_gate(score, decision, enabled))
     if not enabled:
         df = df.withColumns({"ai_prediction": F.lit(None).cast("int"),
                              "ai_confidence": F.lit(None).cast("double")})
+    elif isinstance(model, PipelineModel):
+        df = score_with_pipeline(df, model)
     elif isinstance(model, DataFrame):
         if "_model" not in df.columns:
             df = with_predictions(df, model)
@@ -274,14 +289,16 @@ def screen_prompts(df: DataFrame, pack: rl.RulePack, text_col: str = "text", *,
                    model=None, use_ai: bool = True, threshold: int | None = None,
                    strict: bool = False, policies: Policies = DEFAULT_POLICIES,
                    source: str = "prompt", logged_at: str | Column | None = None,
-                   enrich: bool = True) -> DataFrame:
+                   enrich: bool = True, lexicon: DataFrame | None = None,
+                   phrases: DataFrame | None = None, keywords: DataFrame | None = None) -> DataFrame:
     """The whole analysis (SDK ``analyze``/``batch_analyze`` + engine
-    enrichment) as one job over a table of prompts."""
+    enrichment) as one job over a table of prompts.  ``lexicon``, ``phrases``
+    and ``keywords`` are the user's tables in place of the built-in lists."""
     use_ai = use_ai and policies.ai_layer
     if use_ai and isinstance(model, DataFrame):
         df = with_predictions(df, model)
-    out = normalize_prompts(df, text_col, policies)
-    out = score_prompts(out, text_col, threshold)
+    out = normalize_prompts(df, text_col, policies, lexicon)
+    out = score_prompts(out, text_col, threshold, phrases, keywords)
     out = match_rules(out, pack)
     out = apply_model(out, model, use_ai)
     out = final_verdict(out, strict)

@@ -320,6 +320,82 @@ def q_rule_group_stats(spark, sf):
     return rule_group_stats(_ruled(spark, sf), rules_source(spark))
 
 
+def words_pack(spark, sf) -> DataFrame:
+    """A pack as large as the vocabulary: one rule for every word of five ASCII
+    letters or more in the documents, in the order of the words."""
+    words = read_table(spark, sf, "documents").select(
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("w")).where(F.length("w") >= 5).distinct()
+    return words.select(
+        F.concat(F.lit("w-"), "w").alias("rule_id"), F.lit("english").alias("layer"), F.lit("words").alias("grp"),
+        F.lit("Vocabulary").alias("category"), (F.conv(F.substring(F.sha2("w", 256), 1, 7), 16, 10)).cast("int").alias("ord"),
+        F.array("w").alias("anchors"), F.concat(F.lit("(?:^|[^a-z])"), "w", F.lit("(?:[^a-z]|$)")).alias("pattern"), F.lit(True).alias("enabled"))
+
+
+WORDS_HITS_SQL = ("SELECT prompt_id, count(*) AS hits, min_by('w-' || w, ('0x' || substr(sha256(w), 1, 7))::INTEGER) AS first FROM "
+                  "(SELECT prompt_id, unnest(list_distinct(regexp_extract_all(lower(normalized_text), '[a-z]+'))) AS w FROM screened) "
+                  "WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents) AND length(w) >= 5 GROUP BY 1")
+
+
+@register("rule_pack_of_any_size", pipe_sql(
+    f"SELECT s.prompt_id, coalesce(h.hits, 0)::INTEGER AS rules_matched, h.first AS matched_rule_id, "
+    f"CASE WHEN h.first IS NOT NULL AND pipeline_decision <> 'BLOCKED' THEN greatest(base_score, {fv.REGEX_BLOCK_SCORE}) ELSE base_score END::INTEGER AS score_after_regex, "
+    f"CASE WHEN h.first IS NOT NULL THEN 'BLOCKED' ELSE pipeline_decision END AS decision_after_regex "
+    f"FROM screened s LEFT JOIN ({WORDS_HITS_SQL}) h USING (prompt_id)", source=CONV))
+def q_rule_pack_of_any_size(spark, sf):
+    scored = S.score_prompts(S.normalize_prompts(prompts(spark, sf, "conversations")))
+    return S.match_rules(scored, RulePack.from_df(words_pack(spark, sf))).select(
+        "prompt_id", F.col("en_match_count").alias("rules_matched"), "matched_rule_id", "score_after_regex", "decision_after_regex")
+
+
+@register("rule_hits_as_table", pipe_sql(
+    "SELECT prompt_id, 'w-' || w AS rule_id FROM (SELECT prompt_id, unnest(list_distinct(regexp_extract_all(lower(normalized_text), '[a-z]+'))) AS w FROM screened) "
+    "WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents) AND length(w) >= 5", source=CONV))
+def q_rule_hits_as_table(spark, sf):
+    from ..operators.rule_jobs import rule_hits_join
+    return rule_hits_join(S.normalize_prompts(prompts(spark, sf, "conversations")), words_pack(spark, sf)).select("prompt_id", "rule_id")
+
+
+# ---------------------------------------------------------------------------
+# 2.11 the user's own tables in screening
+# ---------------------------------------------------------------------------
+def user_lexicon(spark, sf) -> DataFrame:
+    """The built-in words and all words of the benchmark items."""
+    own = read_table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    return own.unionByName(spark.createDataFrame([(w,) for w in fv.LEXICON], "word string"))
+
+
+LEXICON_SQL = ("SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark UNION ALL "
+               f"SELECT unnest({O.str_list(fv.LEXICON)}) AS word")
+
+
+@register("lexicon_table", pipe_sql("SELECT prompt_id, normalized_text, decision, score FROM screened", lexicon=LEXICON_SQL))
+def q_lexicon_table(spark, sf):
+    out = screened(spark, sf, lexicon=user_lexicon(spark, sf), enrich=False)
+    return out.select("prompt_id", "normalized_text", "decision", "score")
+
+
+def user_phrases(spark, sf) -> DataFrame:
+    """The built-in phrases, and the beginning of every benchmark item (equal ones repeat)."""
+    own = read_table(spark, sf, "benchmark").select(F.substring("text", 1, 9).alias("phrase"))
+    return own.unionByName(spark.createDataFrame([(p,) for p in fv.ARABIC_PHRASES], "phrase string"))
+
+
+PHRASES_SQL = (f"SELECT {O.arabic_fold('substr(text, 1, 9)')} AS phrase FROM benchmark UNION ALL "
+               f"SELECT unnest({O.str_list(sc.FOLDED_PHRASES)}) AS phrase")
+
+
+@register("phrase_table", pipe_sql("SELECT prompt_id, arabic_kw_score, base_score, decision FROM screened", phrases_in=PHRASES_SQL))
+def q_phrase_table(spark, sf):
+    out = screened(spark, sf, phrases=user_phrases(spark, sf), enrich=False)
+    return out.select("prompt_id", "arabic_kw_score", "base_score", "decision")
+
+
+@register("keyword_table", pipe_sql("SELECT prompt_id, keyword_score, base_score, decision FROM screened", keywords_in=LEXICON_SQL))
+def q_keyword_table(spark, sf):
+    out = screened(spark, sf, keywords=user_lexicon(spark, sf), enrich=False)
+    return out.select("prompt_id", "keyword_score", "base_score", "decision")
+
+
 # ---------------------------------------------------------------------------
 # 2.5 model layer and fusion (predictions table derived from labels)
 # ---------------------------------------------------------------------------
@@ -351,6 +427,22 @@ def q_model_score(spark, sf):
     return out.select("prompt_id", "ai_activated", "ai_prediction", "ai_confidence", "decision_after_ai")
 
 
+@register("model_trained_quality")
+def q_model_trained(spark, sf):
+    """The pipeline fitted to reviewed entries, saved, loaded, and measured on
+    the entries held out."""
+    examples = materialize(MD.training_set(docs_log(spark, sf), reviews(spark, sf)), "examples")
+    path = MD.save_model(MD.fit_text_model(examples.where("not held_out")), spark=spark)
+    return MD.model_quality(MD.load_model(path), examples.where("held_out"))
+
+
+@register("model_trained_screening")
+def q_model_trained_screening(spark, sf):
+    examples = MD.training_set(docs_log(spark, sf), reviews(spark, sf))
+    model = MD.load_model(MD.save_model(MD.fit_text_model(materialize(examples, "examples").where("not held_out")), spark=spark))
+    return screened(spark, sf, model=model, enrich=False).select("prompt_id", "ai_activated", "ai_prediction", "ai_confidence", "decision", "score")
+
+
 @register("model_fuse", model_sql(
     "SELECT prompt_id, ai_prediction, ai_confidence, score_after_ai, decision_after_ai, ai_label FROM screened"))
 def q_model_fuse(spark, sf):
@@ -407,6 +499,24 @@ def q_policy(spark, sf):
         "prompt_id", "normalized_text", "decision", "score")
 
 
+def _switched(name: str, columns: str = "prompt_id, normalized_text, decision, score", **off) -> None:
+    @register(f"policy_without_{name}", pipe_sql(f"SELECT {columns} FROM screened", **off))
+    def q(spark, sf):
+        return screened(spark, sf, policies=S.Policies(**off)).selectExpr(*columns.split(", "))
+
+
+_switched("unicode", unicode_norm=False)
+_switched("codecs", base64_hex=False)
+_switched("split_letters", split_letter=False)
+_switched("franco", "prompt_id, lang_dist.franco AS franco, decision", franco=False)
+_switched("any_rewriting", unicode_norm=False, base64_hex=False, split_letter=False, rot13=False, franco=False)
+
+
+@register("policy_without_model", pipe_sql("SELECT prompt_id, decision, score, ai_activated FROM screened"))
+def q_policy_model(spark, sf):
+    return screened_model(spark, sf, policies=S.Policies(ai_layer=False), enrich=False).select("prompt_id", "decision", "score", "ai_activated")
+
+
 # ---------------------------------------------------------------------------
 # 2.6 enrichment
 # ---------------------------------------------------------------------------
@@ -454,7 +564,12 @@ from ..operators import browse as B  # noqa: E402
 from ..operators import review as R  # noqa: E402
 from ..operators.quality import detection_quality, mask_pii  # noqa: E402
 from ..sources.threat_log import append_threat_log, materialize, read_threat_log  # noqa: E402
+from ..operators import model as MD  # noqa: E402
+from ..operators import page_index as PI  # noqa: E402
 from ..streaming import jobs as J  # noqa: E402
+from ..streaming import log_sink as LS  # noqa: E402
+from ..streaming import reviews as RV  # noqa: E402
+from ..streaming import running as RS  # noqa: E402
 
 LOG_SELECT = ["id", "timestamp", "raw", "normalized_text", "status", "decision", "score", "risk",
               "vector", "ai_confidence", "ai_prediction", "matched_pattern", "lang_dist", "prompt_key"]
@@ -657,6 +772,16 @@ def q_log_page_deep(spark, sf):
     return B.page_of(events_log(spark, sf), page=41, page_size=100).select("rank", "id")
 
 
+@register("log_page_indexed", events_sql(
+    "SELECT rank, id, status FROM (SELECT row_number() OVER (ORDER BY timestamp DESC NULLS LAST, id) "
+    "AS rank, id, status FROM events_log WHERE upper(status) = 'SAFE') q WHERE rank > 3000 AND rank <= 3100"))
+def q_log_page_indexed(spark, sf):
+    """A deep page of the filtered log, from an index beside it."""
+    log = events_log(spark, sf)
+    path = PI.build_page_index(log.select("id", "timestamp", "status"), scratch_path(spark, "page-index"), "SAFE", range_rows=1000)
+    return PI.indexed_page(spark, path, 31, 100).select("rank", "id", "status")
+
+
 @register("retain_latest", log_sql(
     f"SELECT id, timestamp, status FROM combined_log ORDER BY timestamp DESC NULLS LAST, id LIMIT {fv.RETAIN_ENTRIES}"))
 def q_retain(spark, sf):
@@ -677,10 +802,13 @@ def q_flagged_count(spark, sf):
 
 
 def reviews(spark, sf) -> DataFrame:
+    return reviews_of(read_table(spark, sf, "labels"))
+
+
+def reviews_of(lab: DataFrame) -> DataFrame:
     """Reviewer decisions derived from labels: toxic → block, low quality →
     train, else approve; every tenth document gets a later second review
     (train), an invalid action, or a review of an unknown item."""
-    lab = read_table(spark, sf, "labels")
     item = F.substring(F.sha2(F.concat(F.lit("prompt:d"), F.col("doc_id").cast("string")), 256), 1, 32)
     base_t = F.lit("2024-02-01 00:00:00").cast("timestamp")
     at = base_t + F.make_interval(secs=F.col("doc_id").cast("int"))
@@ -729,6 +857,18 @@ def q_review_apply(spark, sf):
     return R.review_apply(docs_log(spark, sf), reviews(spark, sf))
 
 
+@register("stream_review_apply", review_sql(
+    f"SELECT l.item_id, action, reviewer_id, reviewed_at, 'recorded' AS status, {MESSAGE_SQL} AS message "
+    f"FROM latest l JOIN docs_log d ON d.id = l.item_id"))
+def q_stream_review_apply(spark, sf):
+    """Reviews meet the log as both arrive."""
+    path = scratch_path(spark, "growing-log")
+    docs_log(spark, sf).select("id", "timestamp").write.parquet(path)
+    entries = spark.readStream.schema("id string, timestamp timestamp").option("maxFilesPerTrigger", 8).parquet(path)
+    told = RV.stream_reviews(entries, reviews_of(J.read_stream_table(spark, sf, "labels")))
+    return RV.recorded_reviews(J.run_once(told, "stream_reviews"))
+
+
 @register("review_rejected", review_sql(
     "SELECT item_id, action, reject_reason FROM (SELECT item_id, action, 'invalid_action' AS reject_reason "
     "FROM reviews WHERE action NOT IN ('approve', 'train', 'block') UNION ALL SELECT item_id, action, 'not_found' "
@@ -849,11 +989,19 @@ def q_stream_screen(spark, sf):
     return J.run_once(s.select("prompt_id", "decision", "score", "status", "vector"), "stream_screen")
 
 
+@register("stream_latest", events_sql(
+    f"SELECT id, timestamp, status FROM events_log ORDER BY timestamp DESC NULLS LAST, id LIMIT {fv.FEED_ENTRIES}"))
+def q_stream_latest(spark, sf):
+    """The feed as running state: bounded per shard, merged when it is read."""
+    told = J.run_once(RS.stream_latest(J.events_log_frame(J.read_stream_table(spark, sf, "events")), fv.FEED_ENTRIES), "stream_latest", mode="update")
+    return RS.latest_of(told, fv.FEED_ENTRIES).select("id", "timestamp", "status")
+
+
 @register("stream_counters", pipe_sql(
     "SELECT vector, count(*) AS n, " + ", ".join(f"sum(coalesce(lang_dist.{a}, 0.0)) AS {a}_sum" for a in fv.LANG_AXES) + " FROM screened GROUP BY vector"))
 def q_stream_counters(spark, sf):
     s = J.stream_screen(spark, sf, pack(spark), "documents", logged_at=LOGGED_AT)
-    return J.run_once(J.stream_counters(s), "stream_counters", mode="complete")
+    return RS.newest_version(J.run_once(J.stream_counters(s), "stream_counters", mode="update"), ["vector"])
 
 
 def stream_timeline_sql(as_of: str, hours: int) -> str:
@@ -875,6 +1023,17 @@ def q_stream_timeline(spark, sf):
     return J.timeline_slots(latest, "2024-01-31 00:00:00", 720)
 
 
+@register("stream_append_log", events_sql(
+    "SELECT id, status, score, CAST(timestamp AS DATE) AS dt FROM events_log WHERE CAST(timestamp AS DATE) = DATE '2024-01-11'"))
+def q_stream_append_log(spark, sf):
+    """Events are appended by a stream, the batches merged, and one day read."""
+    path = scratch_path(spark, "stream-log")
+    log = J.events_log_frame(J.read_stream_table(spark, sf, "events")).select("id", "timestamp", "status", "score")
+    LS.append_stream(log, path, scratch_path(spark, "stream-log-checkpoint")).awaitTermination()
+    LS.compact(spark, path)
+    return LS.read_log(spark, path).where("dt = DATE '2024-01-11'").select("id", "status", "score", "dt")
+
+
 @register("stream_dedupe", "SELECT DISTINCT user_id, event_type, props FROM events")
 def q_stream_dedupe(spark, sf):
     ev = J.read_stream_table(spark, sf, "events")

@@ -163,10 +163,11 @@ def decode_hex_runs(t: str) -> str:
             f"lambda s: CASE WHEN {ok} THEN {dec} ELSE s END), '')")
 
 
-def deobfuscate_tokens(t: str, use_rot13: bool = True, mode: str = "full") -> str:
+def deobfuscate_tokens(t: str, use_rot13: bool = True, mode: str = "full", lexicon: str | None = None) -> str:
+    """``lexicon``: an SQL list in place of the built-in one."""
     rot_on, conf_on = nz.TOKEN_MODES[mode]
     rot_on = rot_on and use_rot13
-    lex = str_list(fv.LEXICON)
+    lex = lexicon or str_list(fv.LEXICON)
     rot = f"translate(tok, {lit(nz._ASCII)}, {lit(nz._ROT13)})"
     chosen = (f"CASE WHEN list_contains({lex}, lower({rot})) AND NOT list_contains({lex}, lower(tok)) "
               f"THEN {rot} ELSE tok END") if rot_on else "tok"
@@ -274,9 +275,13 @@ def truncate(c: str, n: int) -> str:
 
 def pipeline_ctes(prompts: str, *, model: str | None = None, threshold: int | None = None,
                   strict: bool = False, logged_at: str = "2024-01-31 00:00:00",
-                  source: str = "prompt", rot13: bool = True) -> str:
+                  source: str = "prompt", rot13: bool = True, unicode_norm: bool = True, base64_hex: bool = True,
+                  split_letter: bool = True, franco: bool = True, lexicon: str | None = None,
+                  phrases_in: str | None = None, keywords_in: str | None = None) -> str:
     """CTEs p0..p9 ending in ``screened``.  ``model`` is an optional SQL
-    relation (prompt_id, ai_prediction, ai_confidence)."""
+    relation (prompt_id, ai_prediction, ai_confidence); ``lexicon``,
+    ``phrases_in`` and ``keywords_in`` are relations (word or phrase) in place
+    of the built-in lists; the switches are those of ``Policies``."""
     raw = "text"
     code = " + ".join(f"CASE WHEN {rx(raw, '(?i)' + portable(p))} THEN {fv.W_CODE_PATTERN} ELSE 0 END"
                       for p in fv.CODE_PATTERNS)
@@ -284,8 +289,19 @@ def pipeline_ctes(prompts: str, *, model: str | None = None, threshold: int | No
     folded = arabic_fold(raw)
     phrases = " + ".join(f"CASE WHEN contains({folded}, {lit(p)}) THEN {fv.W_ARABIC_PHRASE} ELSE 0 END"
                          for p in FOLDED_PHRASES)
+    if phrases_in:
+        phrases = f"(SELECT count(*) FROM ({phrases_in}) ph WHERE contains({folded}, ph.phrase)) * {fv.W_ARABIC_PHRASE}"
+    known = "_keywords" if keywords_in else str_list(fv.DANGEROUS_KEYWORDS)
     kw = (f"len(list_filter(regexp_extract_all(lower(normalized_text), {lit(WORD + '+')}, 0), "
-          f"lambda w: list_contains({str_list(fv.DANGEROUS_KEYWORDS)}, w))) * {fv.W_KEYWORD}")
+          f"lambda w: list_contains({known}, w))) * {fv.W_KEYWORD}")
+    lists = "".join(f", (SELECT list(DISTINCT lower(word)) FROM ({rel})) AS {name}"
+                    for rel, name in ((lexicon, "_lexicon"), (keywords_in, "_keywords")) if rel)
+    compat = nfkc("intent_text") if unicode_norm else "intent_text"
+    decoded = drop_emoji(arabic_fold(strip_tags(html_unescape(compat))))
+    if base64_hex:
+        decoded = decode_hex_runs(decode_base64_runs(decoded))
+    deobfuscated = deobfuscate_tokens("t9", rot13, "full" if unicode_norm else "rot13", "_lexicon" if lexicon else None)
+    merged = merge_split_letters_pass2(merge_split_letters_pass1("t10")) if split_letter else "t10"
     decision = (f"CASE WHEN base_score >= {fv.THRESHOLD_BLOCKED} THEN 'BLOCKED' "
                 f"WHEN base_score >= {fv.THRESHOLD_FLAG} THEN 'FLAG' ELSE 'SAFE' END")
     if threshold is not None and threshold != fv.THRESHOLD_BLOCKED:
@@ -344,25 +360,25 @@ def pipeline_ctes(prompts: str, *, model: str | None = None, threshold: int | No
     lang = f"""struct_pack(
         msa := CASE WHEN {has_ar} AND ({egypt}) = 0 THEN 60.0 WHEN {has_ar} THEN 20.0 ELSE 0.0 END::DOUBLE,
         egyptian := CASE WHEN {has_ar} THEN least(({egypt}) * 25.0, 90.0) ELSE 0.0 END::DOUBLE,
-        franco := CASE WHEN {rx('text', RE2_FRANCO)} OR {rx('text', RE2_FRANCO_WORDS)} THEN 80.0 ELSE 0.0 END::DOUBLE,
+        franco := CASE WHEN {str(franco).lower()} AND ({rx('text', RE2_FRANCO)} OR {rx('text', RE2_FRANCO_WORDS)}) THEN 80.0 ELSE 0.0 END::DOUBLE,
         english := CASE WHEN {has_en} AND NOT {has_ar} THEN 55.0 WHEN {has_en} THEN 15.0 ELSE 0.0 END::DOUBLE,
         unicode := CASE WHEN {rx('text', fv.RE_UNICODE_OBFUSCATION)} THEN 85.0 ELSE 0.0 END::DOUBLE,
         encoded := CASE WHEN {rx('text', fv.RE_ENCODED)} THEN 85.0 ELSE 0.0 END::DOUBLE)"""
     flags = [
         (f"{rx('text', fv.RE_BASE64_RUN)} AND normalized_text <> text", "base64_decode"),
         (rx("text", RE2_FLAG_HEX), "hex_decode"),
-        (f"{nfkc('text')} <> text", "unicode_nfkc"),
+        (f"{str(unicode_norm).lower()} AND {nfkc('text')} <> text", "unicode_nfkc"),
         (f"{html_unescape('text')} <> text", "html_unescape"),
         (rx("text", RE2_FLAG_SPLIT), "split_letter_merge"),
         (has_repeat("text"), "repetition_collapse"),
         (rx("text", fv.RE_ARABIC_VARIANTS), "arabic_normalize"),
     ]
     flag_list = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {lit(l)} END" for c, l in flags) + "], lambda x: x IS NOT NULL)"
-    return f"""p0 AS (SELECT * FROM ({prompts})),
+    return f"""p0 AS (SELECT *{lists} FROM ({prompts})),
     p1 AS (SELECT p0.*, {intent_score(raw)}::INTEGER AS intent_score, {intent_rewrite(raw)} AS intent_text FROM p0),
-    p2 AS (SELECT p1.*, {decode_hex_runs(decode_base64_runs(drop_emoji(arabic_fold(strip_tags(html_unescape(nfkc('intent_text')))))))} AS t9 FROM p1),
-    p3 AS (SELECT p2.*, {deobfuscate_tokens('t9', rot13)} AS t10 FROM p2),
-    p4 AS (SELECT p3.*, {collapse_repeats(merge_split_letters_pass2(merge_split_letters_pass1('t10')))} AS normalized_text FROM p3),
+    p2 AS (SELECT p1.*, {decoded} AS t9 FROM p1),
+    p3 AS (SELECT p2.*, {deobfuscated} AS t10 FROM p2),
+    p4 AS (SELECT p3.*, {collapse_repeats(merged)} AS normalized_text FROM p3),
     p5 AS (SELECT p4.*, {code_sql}::INTEGER AS code_score, ({phrases})::INTEGER AS arabic_kw_score,
                  ({kw})::INTEGER AS keyword_score,
                  (CASE WHEN {flag_list} = [] THEN ['none'] ELSE {flag_list} END) AS transformations FROM p4),

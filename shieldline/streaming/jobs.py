@@ -32,10 +32,11 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{run}/data", f"{run}/checkpoint"
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run ``stream`` over all available input and return its result table."""
+def run_once(stream: DataFrame, name: str, mode: str = "append", at: tuple[str, str] | None = None) -> DataFrame:
+    """Run ``stream`` over all available input and return its result table.
+    ``at`` (data and checkpoint paths) continues an earlier run."""
     spark = stream.sparkSession
-    data, ckpt = _paths(spark, name)
+    data, ckpt = at or _paths(spark, name)
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").outputMode("append").start(data)
