@@ -14,15 +14,21 @@ without open dependencies) and stay at their turn with status ``cycle``.
 Defined results: a call without a result is ``pending``; a result without a
 call is ``orphan`` and comes last; of repeated calls or results of one
 identifier the earliest counts (then the least text) and the rest are
-``repeated``; null or invalid JSON arguments are ``invalid``; a tool without a
-schema is ``unknown``; dependencies on missing calls are ignored.
+``repeated``; null or invalid JSON arguments are ``invalid`` (so are those too
+deep to read, with a number beyond a double, or half a surrogate pair); a tool
+without a schema is ``unknown``, one with a schema that is null, invalid or holds
+keywords that are not checked is ``unsupported``; dependencies on missing calls
+are ignored.  Very long arguments are read whole.  Other columns are not looked
+at, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -89,36 +95,101 @@ def _is(x, kind: str) -> bool:
     return isinstance(x, _TYPES.get(kind, ()))
 
 
-def faults(x, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (type, enum, const, bounds, lengths,
-    required, properties, additionalProperties, items)."""
+def _same(x, y) -> bool:
+    """Equality of JSON values: true is not 1, but 1.0 is."""
+    if isinstance(x, bool) or isinstance(y, bool):
+        return x is y
+    if isinstance(x, dict) and isinstance(y, dict):
+        return x.keys() == y.keys() and all(_same(x[k], y[k]) for k in x)
+    if isinstance(x, list) and isinstance(y, list):
+        return len(x) == len(y) and all(map(_same, x, y))
+    return x == y
+
+
+def _meant(ref: str, root) -> dict | bool:
+    """What a reference within the schema (``#/...``) stands for."""
+    if not ref.startswith("#"):
+        raise LookupError(ref)
+    at = root
+    for part in ref[1:].split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        at = at[int(part)] if isinstance(at, list) else at[part]
+    return at
+
+
+#: Keywords that constrain values and are not checked: a schema with one has the status ``unsupported``.
+UNCHECKED = frozenset("if then else dependentSchemas dependentRequired dependencies contains minContains maxContains prefixItems propertyNames "
+                      "unevaluatedItems unevaluatedProperties $dynamicRef $recursiveRef additionalItems".split())
+
+
+def unchecked(schema) -> bool:
+    """Whether a schema has a keyword that ``faults`` does not check."""
+    if isinstance(schema, list):
+        return any(map(unchecked, schema))
+    if not isinstance(schema, dict):
+        return False
+    if not UNCHECKED.isdisjoint(schema) or isinstance(schema.get("items"), list) or not str(schema.get("$ref", "#")).startswith("#"):
+        return True
+    inner = [schema[k] for k in ("anyOf", "oneOf", "allOf", "not", "items", "additionalProperties") if k in schema]
+    for k in ("properties", "patternProperties", "$defs", "definitions"):
+        inner += schema[k].values() if isinstance(schema.get(k), dict) else []
+    return any(map(unchecked, inner))
+
+
+def faults(x, schema, at: str = "$", root=None) -> list[str]:
+    """Where a value breaks a JSON schema: type, enum, const, bounds, multiples,
+    lengths, patterns, unique and other items, required, named, matched and other
+    properties, anyOf, oneOf, allOf, not, and references within the schema."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     out = []
+    if "$ref" in schema:
+        out += faults(x, _meant(schema["$ref"], root), at, root)
     kinds = schema.get("type")
     if kinds is not None and not any(_is(x, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{at}: type"]
-    if "enum" in schema and x not in schema["enum"] or "const" in schema and x != schema["const"]:
+        return [*out, f"{at}: type"]
+    if "enum" in schema and not any(_same(x, y) for y in schema["enum"]) or "const" in schema and not _same(x, schema["const"]):
         out.append(f"{at}: value")
     if _is(x, "number"):
-        if x < schema.get("minimum", x) or x > schema.get("maximum", x):
+        if (x < schema.get("minimum", x) or x > schema.get("maximum", x) or "exclusiveMinimum" in schema and x <= schema["exclusiveMinimum"]
+                or "exclusiveMaximum" in schema and x >= schema["exclusiveMaximum"]):
             out.append(f"{at}: bounds")
+        if "multipleOf" in schema and Fraction(x) % Fraction(str(schema["multipleOf"])) and Fraction(str(x)) % Fraction(str(schema["multipleOf"])):
+            out.append(f"{at}: multiple")
     if isinstance(x, str | list):
         lo, hi = ("minLength", "maxLength") if isinstance(x, str) else ("minItems", "maxItems")
         if not schema.get(lo, 0) <= len(x) <= schema.get(hi, len(x)):
             out.append(f"{at}: length")
+    if isinstance(x, str) and "pattern" in schema and not re.search(schema["pattern"], x):
+        out.append(f"{at}: pattern")
     if isinstance(x, dict):
-        own = schema.get("properties", {})
+        own, matched = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in x]
+        if not schema.get("minProperties", 0) <= len(x) <= schema.get("maxProperties", len(x)):
+            out.append(f"{at}: length")
         rest = schema.get("additionalProperties", True)
         for k in sorted(x):
-            if k in own:
-                out += faults(x[k], own[k], f"{at}.{k}")
-            elif rest is False:
+            rules = [own[k]] if k in own else []
+            rules += [r for p, r in matched.items() if re.search(p, k)]
+            if not rules and rest is False:
                 out.append(f"{at}.{k}: unexpected")
-            elif isinstance(rest, dict):
-                out += faults(x[k], rest, f"{at}.{k}")
-    if isinstance(x, list) and isinstance(schema.get("items"), dict):
-        for i, y in enumerate(x):
-            out += faults(y, schema["items"], f"{at}[{i}]")
+            for rule in rules or [rest]:
+                out += faults(x[k], rule, f"{at}.{k}", root) if rule is not False or rules else []
+    if isinstance(x, list):
+        if "items" in schema:
+            for i, y in enumerate(x):
+                out += faults(y, schema["items"], f"{at}[{i}]", root)
+        if schema.get("uniqueItems") and len({canonical(y) for y in x}) < len(x):
+            out.append(f"{at}: repeated items")
+    for part in schema.get("allOf", []):
+        out += faults(x, part, at, root)
+    if "anyOf" in schema and all(faults(x, part, at, root) for part in schema["anyOf"]):
+        out.append(f"{at}: anyOf")
+    if "oneOf" in schema and sum(not faults(x, part, at, root) for part in schema["oneOf"]) != 1:
+        out.append(f"{at}: oneOf")
+    if "not" in schema and not faults(x, schema["not"], at, root):
+        out.append(f"{at}: not")
     return out
 
 
@@ -129,6 +200,40 @@ def _strict(text: str):
     return json.loads(text, parse_constant=refuse)
 
 
+def parsed_schemas(rows: dict[str | None, str | None]) -> dict:
+    """Schemas by name; a name with a null, invalid or unchecked one has None."""
+    out = {}
+    for name, text in rows.items():
+        try:
+            schema = _strict(text)
+            fits = isinstance(schema, dict | bool) and not unchecked(schema)
+        except (TypeError, ValueError, RecursionError):
+            fits = False
+        out[name] = schema if fits else None
+    return out
+
+
+def checked(arguments: str | None, name: str | None, schemas: dict) -> tuple[object, list[str], str]:
+    """(value, faults, ``valid`` / ``invalid`` / ``unknown`` / ``unsupported``) of
+    the arguments of a call.  Text that is no JSON, nested too deeply, or holds a
+    number beyond a double or half a surrogate pair, has no canonical form: it is
+    invalid, with a null value."""
+    try:
+        value = _strict(arguments)
+        canonical(value).encode()
+    except (TypeError, ValueError, RecursionError):
+        return None, ["$: not JSON"], "invalid"
+    if name not in schemas:
+        return value, [], "unknown"
+    if schemas[name] is None:
+        return value, [], "unsupported"
+    try:
+        wrong = faults(value, schemas[name])
+    except (RecursionError, LookupError, TypeError, ValueError, AttributeError, ZeroDivisionError, re.error):
+        return value, [], "unsupported"  # the schema itself is at fault
+    return value, wrong, "invalid" if wrong else "valid"
+
+
 def _first(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row per (conv_id, call_id), the least by turn and then by content,
     with the number of rows there were.  Keys meet after a partial aggregation,
@@ -203,18 +308,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     known = spark.sparkContext.broadcast({r.name: r.schema for r in schemas.select("name", "schema").toLocalIterator()})
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed = {name: json.loads(text) for name, text in known.value.items()}
+        parsed = parsed_schemas(known.value)
         for f in frames:
             status, broken, messages = [], [], []
             for r in f.itertuples(index=False):
-                wrong, value = [], None
-                if not r.orphan:
-                    try:
-                        value = _strict(r.arguments)
-                        wrong = faults(value, parsed[r.name]) if r.name in parsed else []
-                    except (TypeError, ValueError):
-                        wrong = ["$: not JSON"]
-                status.append("orphan" if r.orphan else "cycle" if r.cycle else "invalid" if wrong else "unknown" if r.name not in parsed
+                value, wrong, kind = (None, [], "") if r.orphan else checked(r.arguments, r.name, parsed)
+                status.append("orphan" if r.orphan else "cycle" if r.cycle else kind if kind != "valid"
                               else "repeated" if max(r.n_calls, r.n_results) > 1 else "pending" if not r.n_results else "linked")
                 broken.append(wrong)
                 messages.append(canonical({"arguments": value, "id": r.call_id, "name": r.name, "position": int(r.position), "result": r.result, "status": status[-1]}))
@@ -237,14 +336,20 @@ TOOLS = [
 def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that turns of a chat stand for: a user or system turn
     calls the tool ``answer`` or ``setup`` with its text, and the assistant's
-    next turn is the result.  A call depends on the one two turns before it."""
+    next turn is the result (a turn without a role is a call).  By a hash of its
+    text a call depends on the one two turns before it, on the one two turns
+    later, on both, or on none: so calls have to be put in order, and some of
+    them depend on each other."""
     ident = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     words = F.size(F.array_remove(F.split("text", r"\s+"), ""))
-    share = F.round(F.length(F.regexp_replace("text", "[^aeiou]", "")) / F.length("text"), 4)
-    asks = turns.where("role <> 'assistant'").select(
+    share = F.round(F.try_divide(F.length(F.regexp_replace("text", "[^aeiou]", "")), F.length("text")), 4)
+    way = F.crc32(F.coalesce("text", F.lit(""))) % 8
+    before = F.when((F.col("turn") >= 2) & (way >= 4), ident(F.col("turn") - 2))
+    later = F.when(way.isin(0, 1, 4), ident(F.col("turn") + 2))
+    asks = turns.where("coalesce(role, '') <> 'assistant'").select(
         "conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.when(F.col("role") == "system", "setup").otherwise("answer").alias("name"),
         F.to_json(F.struct(words.alias("words"), F.col("text").alias("prompt"), share.alias("share"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(ident(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends"))
+        F.array_compact(F.array(before, later)).alias("depends"))
     gives = turns.where("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return asks, gives
 

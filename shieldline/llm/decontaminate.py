@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents, extended
+from shieldline.llm.tables import aside, documents, extended, restored
 
 WINDOW = 10
 PART_BYTES = 32 << 20
@@ -128,16 +128,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
-            automata = [_built_once(p, window) for p in parts] if len(parts) == 1 else None
-            for text in batch.column(place).to_pylist():
-                tokens = item_words(text)
-                if automata is None:
-                    hit, own = [], set()
-                    for p in parts:
-                        more, has = scan_words(tokens, [_built_once(p, window)])
-                        hit, own = _merge(hit + more), own | has
-                else:
-                    hit, own = scan_words(tokens, automata)
+            texts = batch.column(place).to_pylist()
+            words = [item_words(text) for text in texts]
+            hits, owners = [[] for _ in texts], [set() for _ in texts]
+            for p in parts:  # part by part, so that an automaton is built once for a batch at most
+                automaton = _built_once(p, window)
+                for k, tokens in enumerate(words):
+                    more, has = scan_words(tokens, [automaton])
+                    hits[k] = _merge(hits[k] + more) if hits[k] else more
+                    owners[k] |= has
+            for text, tokens, hit, own in zip(texts, words, hits, owners):
                 n_words.append(len(tokens))
                 n_hit.append(sum(e - s for s, e in hit))
                 items.append(sorted(own, key=_by_id))
@@ -177,8 +177,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark window."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    names = ["n_words", "n_hit", "items", "spans"]
+    found = find_contamination(aside(docs, names), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return restored(found.where("n_hit = 0").drop(*names)).select(*docs.columns)
 
 
 OP3_SQL = r"""

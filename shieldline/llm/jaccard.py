@@ -323,10 +323,23 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of least
-    id; documents without words are no group and stay."""
-    found = similarity_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays, the one of least id;
+    of rows that repeat its id, one.  Documents without words are no group and
+    stay.  Of documents without an id one of each text stays, unless a document
+    with an id has that text."""
+    found = similarity_components(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = written(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    once = named.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    repeated = named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    bare = docs.where("doc_id is null")
+    if not bare.take(1):
+        return once.unionByName(repeated)
+    hashed = bare.withColumn("_text", F.sha2("text", 256)).where("_text is not null").dropDuplicates(["_text"])
+    known = docs.where("doc_id is not null").select(F.sha2("text", 256).alias("_text")).join(hashed.select("_text"), "_text", "left_semi").distinct()
+    return (once.unionByName(repeated).unionByName(hashed.join(known, "_text", "left_anti").select(*docs.columns))
+            .unionByName(bare.where("text is null")))
 
 
 OP4_SQL = r"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents, extended, remainder
+from shieldline.llm.tables import aside, documents, extended, remainder, restored
 from shieldline.llm.textarrays import buffers, pieces
 
 TOP = 400
@@ -243,6 +243,6 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     profiles = learn_profiles(docs.where(remainder("doc_id", 4) != 2))
     if not profiles:  # nothing to compare with: only what has no letter goes
         return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = predict_language(docs.select(*own), profiles)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).select(*docs.columns)
+    found = predict_language(aside(docs, ["lang_pred", "score"]), profiles)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).drop("lang_pred", "score")
+    return restored(found).select(*docs.columns)

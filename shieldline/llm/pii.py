@@ -23,6 +23,7 @@ Documents keep their other columns, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldline.llm.tables import documents, extended
+from shieldline.llm.tables import aside, documents, extended, restored
 
 KINDS = ("email", "ip", "card", "phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_EMAIL_RUN = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -79,11 +80,11 @@ _DIGITS = {w: d for d, ws in enumerate([
 _WORD_DIGIT = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT}|[0-9]+)(?:[ ,-]+(?:{_WORD_DIGIT}|[0-9]+))+(?!\w)", re.I)
 _ONE = re.compile(rf"{_WORD_DIGIT}|[0-9]+", re.I)
-_BRACKET = re.compile(r"[ \t]*(?:[\[({<][ \t]*(?:(at|@|arroba|ät)|(dot|punkt|punto|point|\.))[ \t]*[\])}>])[ \t]*", re.I)
+_BRACKET = re.compile(r"(?<![ \t])[ \t]*(?:[\[({<][ \t]*(?:(at|@|arroba|ät)|(dot|punkt|punto|point|\.))[ \t]*[\])}>])[ \t]*", re.I)
 _SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+|@)([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)[A-Za-z]{2,24})(?![\w-])", re.I)
 _AT_HOST = re.compile(r"\sat\s+[A-Za-z0-9-]+\.", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]+@[ \t]+(?=[A-Za-z0-9-]+\.)|(?<=[A-Za-z0-9_%+-])[ \t]+@(?=[A-Za-z0-9-]+\.)|(?<=[A-Za-z0-9_%+-])@[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])")
-_DOT = re.compile(r"\s+dot\s+", re.I)
+_DOT = re.compile(r"(?<!\s)\s+dot\s+", re.I)
 _DOTTED = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![\w])", re.I)
 _PAIR = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})[ ,-]+(?:{_WORD_DIGIT}|[0-9])", re.I)
 _MIXED = re.compile(rf"[0-9][ ,-]+(?:{_WORD_DIGIT})(?!\w)", re.I)
@@ -123,15 +124,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Addresses of a run of their characters, leftmost first: for each sign the
+    longest name that is free before it, and a dotted host behind it."""
+    out, free = [], start
+    at = text.find("@", start, end)
+    while at >= 0:
+        host = _HOST.match(text, at + 1, end) if at > free else None
+        if host:
+            out.append((free, host.end()))
+        after = host.end() if host else at + 1
+        at = text.find("@", after, end)
+        free = after
+    return out
+
+
+def _byte(digits: str) -> bool:
+    """Whether a number is 255 at most, however long it is written."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the identifiers of a text as written, by kind and start."""
+    """(kind, start, end) of the identifiers of a text as written, by kind and
+    start.  Time is in proportion to the text: a search never starts again
+    within a run that has failed from its start."""
     out = []
     if "@" in text:
         for run in _EMAIL_RUN.finditer(text):
-            out += [(0, run.start() + m.start(), run.start() + m.end()) for m in _EMAIL.finditer(run.group())]
+            out += [(0, a, b) for a, b in _emails(text, *run.span())]
     if not _HAS_DIGIT.search(text):
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if max(map(int, m.group().split("."))) <= 255]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(map(_byte, m.group().split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -194,14 +218,14 @@ class Mapped:
         """Runs of spelled digits, written as digits without what stands between."""
         edits = []
         for m in _SPELLED.finditer(self.text):
-            parts = list(_ONE.finditer(m.group()))
+            run = m.group()
+            parts = list(_ONE.finditer(run))
             if _SURE.isdisjoint(_low(p.group()) for p in parts):
                 continue
             for k, p in enumerate(parts):
                 stop = parts[k + 1].start() if k + 1 < len(parts) else p.end()
                 if not p.group().isdigit():
-                    gap = m.group()[p.end():stop]
-                    edits.append((m.start() + p.start(), m.start() + p.end() + (len(gap) if gap else 0), str(_DIGITS[_low(p.group())])))
+                    edits.append((m.start() + p.start(), m.start() + stop, str(_DIGITS[_low(p.group())])))
         self.rewrite(edits)
 
 
@@ -222,9 +246,10 @@ def find_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[i
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in range(len(KINDS))}
     added = []
     for kind, s, e in find(m.text):
-        span = (m.start[s], m.end[e - 1])
-        if all(span[1] <= a or b <= span[0] for a, b in taken[kind]):
-            taken[kind].append(span)
+        own, span = taken[kind], (m.start[s], m.end[e - 1])
+        k = bisect.bisect_left(own, span)  # spans of a kind do not overlap: only the neighbours can
+        if (k == 0 or own[k - 1][1] <= span[0]) and (k == len(own) or span[1] <= own[k][0]):
+            own.insert(k, span)
             added.append((kind, *span))
     return base, sorted(added)
 
@@ -283,9 +308,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in the text masked and n_chars anew."""
-    clash = [c for c in _ADDED if c in docs.columns]
-    own = docs.select(*[c for c in docs.columns if c not in clash])
-    found = find_personal_data(own, mask=True)
-    return found.select(*[F.col("masked").alias("text") if c == "text" else F.length("masked").cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
-                          for c in docs.columns if c not in clash])
+    """All documents, with personal data in the text masked and n_chars anew;
+    their other columns stay, whatever their names."""
+    found = restored(find_personal_data(aside(docs, _ADDED), mask=True).withColumn("text", F.col("masked")).drop(*_ADDED))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)

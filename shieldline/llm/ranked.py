@@ -5,10 +5,10 @@ documents that hold terms and L terms in all.  A term that occurs tf times in it
 adds w * ((1000000000 tf) div (1000 tf + 12 m)), so the part behind w (its
 impact) depends on (tf, m) alone.
 
-1. ``totals`` counts N and L; ``hashed_terms`` turns each text into its m and its
-   distinct term hashes with their tf.
-2. ``build_index``: documents are dealt by m, a large stratum over many tasks, and
-   written in blocks of equal m.  A block lists its terms; for each term groups of
+1. ``sizes`` counts terms, which gives N and L; ``hashed_terms`` turns each text
+   into its m and its distinct term hashes with their tf.
+2. ``build_index``: documents are dealt by m (strata of more than a thousandth of
+   all documents over several tasks) and written in blocks of equal m.  A block lists its terms; for each term groups of
    equal tf, greatest last; for each group its documents.  Every document with a
    term is indexed, whatever is searched.
 3. ``search``: items are searched in groups of ``ITEMS``, each against the whole
@@ -75,36 +75,54 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray):
     return h[at], np.diff(np.append(at, len(h))), np.searchsorted(own[at], np.arange(len(n) + 1)), n
 
 
-def totals(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
-    """N and L: the documents that hold terms, and their terms."""
+def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n, docs): how many documents have n terms (n above 0), written."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = buffers(batch.column(0))
             for i, j in pieces(offsets):
                 n = np.diff(words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], TERM)[2])
-                yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["n", "total"])
+                n, times = np.unique(n[n > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(times, pa.int64())], names=["n", "docs"])
+
+    counted = docs.select(text_col).mapInArrow(count, "n bigint, docs bigint")
+    return written(counted.groupBy("n").agg(F.sum("docs").alias("docs")), "sizes")
+
 
-    sums = docs.select(text_col).mapInArrow(count, "n bigint, total bigint").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+def totals(counted: DataFrame) -> tuple[int, int]:
+    """N and L: the documents that hold terms, and their terms."""
+    sums = counted.agg(F.sum("docs").alias("n"), F.sum(F.col("n") * F.col("docs")).alias("total")).first()
     return sums.n or 0, sums.total or 0
 
 
-def hashed_terms(docs: DataFrame, n: int, total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, m and the packed (hash, tf) of every text that holds a term."""
+def shares(counted: DataFrame, n: int, total: int) -> dict[int, int]:
+    """Over how many tasks the documents of a large stratum are dealt: strata of
+    more than a thousandth of all documents, of which there are a thousand at most."""
+    strata = counted.groupBy(F.expr(f"75 + (25 * cast(n as decimal(38, 0)) * {n}) div {total}").cast("bigint").alias("m")).agg(F.sum("docs").alias("docs"))
+    return {r.m: -(-1000 * r.docs // n) for r in strata.where(F.col("docs") * 1000 > n).collect()}
+
+
+def hashed_terms(docs: DataFrame, n: int, total: int, dealt: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, m, share and the packed (hash, tf) of every text that holds a term."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
             for i, j in pieces(offsets, 1 << 20):
                 h, tf, at, size = term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = np.flatnonzero(size)
                 tf = tf.astype("<u4")
+                m = [75 + 25 * x * n // total for x in size[rows].tolist()]
+                share = [(r + turn) % dealt.get(x, 1) for r, x in zip(rows.tolist(), m)]
+                turn += j - i
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(rows + i)), pa.array([75 + 25 * x * n // total for x in size[rows].tolist()], pa.int64()),
+                    batch.column(0).take(pa.array(rows + i)), pa.array(m, pa.int64()), pa.array(share, pa.int32()),
                     pa.array([h[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary()),
-                    pa.array([tf[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], names=["doc_id", "m", "terms", "tf"])
+                    pa.array([tf[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], names=["doc_id", "m", "share", "terms", "tf"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col)).mapInArrow(told, "doc_id bigint, m bigint, terms binary, tf binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col)).mapInArrow(told, "doc_id bigint, m bigint, share int, terms binary, tf binary")
 
 
 BLOCK = "m bigint, block bigint, docs array<bigint>, terms binary, term_end binary, tf binary, tf_end binary, posts binary"
@@ -129,13 +147,13 @@ def _block(m: int, ids: pa.Array, terms: list[bytes], tfs: list[bytes]) -> list:
     return [m, number, ids, h[at][first].tobytes(), ends[0].astype("<u4").tobytes(), tf[at].tobytes(), ends[1].astype("<u4").tobytes(), doc.astype("<u2").tobytes()]
 
 
-def build_index(docs: DataFrame, n: int, total: int) -> DataFrame:
-    """The blocks of all documents (doc_id, text) that hold terms, given N and L,
-    written; ``early`` marks those that are searched first."""
+def build_index(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """The blocks of all documents (doc_id, text) that hold terms, given their
+    ``sizes``, written; ``early`` marks those that are searched first."""
+    n, total = totals(counted)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // (8 * BLOCK_DOCS))))  # a stratum of many documents is dealt over many tasks
-    dealt = hashed_terms(docs, n, total).repartition(parts, F.col("m"), share).sortWithinPartitions("m")
+    dealt = hashed_terms(docs, n, total, shares(counted, n, total)).repartition(parts, "m", "share").sortWithinPartitions("m")
     whole = [("m", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), *[(c, pa.binary()) for c in _BLOCK_NAMES[3:]]]
     schema = pa.schema(whole)
 
@@ -339,11 +357,12 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, item_col: str = "i
     each item; ``docs`` has doc_id (whole numbers) and text."""
     spark = docs.sparkSession
     kind = dict(items.dtypes)[item_col]
-    n, total = totals(docs)
+    counted = sizes(docs)
+    n, _ = totals(counted)
     out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")
     if not n:
         return out
-    index = build_index(docs, n, total)
+    index = build_index(docs, counted)
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
     results = []
     for ids, texts in _groups(items.select(F.col(item_col), F.col(item_text)), ITEMS):

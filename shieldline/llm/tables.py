@@ -8,7 +8,19 @@ from pyspark.sql.types import StructType
 
 from shieldline.session import shared_dir, written
 
-__all__ = ["documents", "extended", "numbered", "remainder", "shared_dir", "written"]
+__all__ = ["aside", "documents", "extended", "numbered", "remainder", "restored", "shared_dir", "written"]
+
+_ASIDE = "_aside_"
+
+
+def aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with those of its columns that clash with ``names`` renamed, until
+    ``restored`` gives them their names again."""
+    return df.withColumnsRenamed({c: _ASIDE + c for c in df.columns if c in names})
+
+
+def restored(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: c[len(_ASIDE):] for c in df.columns if c.startswith(_ASIDE)})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ ADDRESS = frozenset(
     "tú ti tus usted ustedes vosotros vuestra vuestro".split())
 _UNDO = str.maketrans("0134579@$!|*", "oleastqasiix")
 _WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._-]+[^\W\d_]+)+")
+_ODD = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!|*._-]+[^\W\d_]+)+")
 _LONG = re.compile(r"([^\W\d_])\1\1+")
 _PUNCT = re.compile(r"[!-/:-@\[-`{-~]")
 _CAPS = re.compile(r"\b[A-ZÄÖÜÉÈÊÇÑÁÍÓÚ]{2,}\b")
@@ -104,14 +104,9 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
     for w in odd:
         w = re.sub(r"[._-]+", "", w.translate(_UNDO))
         undone += lexicon.odds_of(w, label) > 0
-    for m in _LONG.finditer(low) if stretched else ():
-        a, b = m.start(), m.end()
-        while a and low[a - 1].isalpha():
-            a -= 1
-        while b < len(low) and low[b].isalpha():
-            b += 1
-        w = low[a:b]
-        undone += any(lexicon.odds_of(_LONG.sub(r, w), label) > 0 for r in (r"\1", r"\1\1"))
+    for w in words if stretched else ():  # each word once, however many stretches it has
+        if n_stretched := len(_LONG.findall(w)):
+            undone += n_stretched * any(lexicon.odds_of(_LONG.sub(r, w), label) > 0 for r in (r"\1", r"\1\1"))
     return [
         len(hits) / n, math.log1p(len(hits)), best, total / n, stems / n, math.log1p(stems), best_stem,
         len(address) / n, near / n, len(_UPPER.findall(text)) / chars, len(_CAPS.findall(text)) / n,
