@@ -21,7 +21,7 @@ overlap by 80 % or more of their union.
    sizes and sketches of the sets (an exact bound) allow a link.  Pairs within a component are not
    needed, so a group of copies is never expanded into all its pairs, and
    nothing is capped.
-4. Every pair is confirmed on the whole sets (64-bit shingle hashes).  Only
+4. Every pair is confirmed on the whole sets (40 bits of each shingle's hash).  Only
    texts that a fixed-size Bloom filter of the nodes in question lets through
    are tokenised for that; a full filter lets all through, which costs time only.
 
@@ -40,6 +40,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -75,6 +76,8 @@ _FULL = sum(((1 << BITS) - 1) << (BITS + 1) * k for k in range(LANES))
 _HIGH = sum(1 << ((BITS + 1) * k + BITS) for k in range(LANES))
 #: The positions of each chunk.
 _CHUNKS = np.array_split(np.arange(POSITIONS), CHUNKS)
+#: Bits of a shingle's hash that are dropped when sets are sent to be confirmed.
+_DROPPED = U64(24)
 _XOR = splitmix(np.arange(1, POSITIONS + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 _ODD = splitmix(np.arange(1, POSITIONS + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
 
@@ -131,6 +134,16 @@ def _sets(texts):
         yield i, j, *shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
 
 
+def _given_back() -> None:
+    """Memory that this worker has freed goes back to the system, where the C
+    library can do that: executors have little beside their heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -150,6 +163,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(node, pa.int64()), *[pa.array(sig[:, k]) for k in range(LONGS)]],
                     names=["doc_id", "n_shingles", "node", *_SIG])
+            _given_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         told, "doc_id bigint, n_shingles bigint, node bigint, " + ", ".join(f"{s} bigint" for s in _SIG))
@@ -219,10 +233,11 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 own = [(n, tokens[at[k] : at[k + 1]]) for n, k in zip(node[hit].tolist(), some[hit]) if n not in seen and not seen.add(n)]
                 if own:
                     sketch = np.stack([parity(t) for _, t in own])
-                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([pack_keys(t) for _, t in own], pa.binary()),
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([pack_keys(t >> _DROPPED) for _, t in own], pa.binary()),
                                                       *[pa.array(sketch[:, k]) for k in range(len(_SKETCH))]], names=["node", "tokens", *_SKETCH])
             if len(seen) > 1_000_000:
                 seen.clear()
+            _given_back()
 
     return docs.select("text").mapInArrow(pack, "node bigint, tokens binary, " + ", ".join(f"{p} bigint" for p in _SKETCH)).dropDuplicates(["node"])
 
@@ -248,14 +263,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, x = [], None, None
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if ta != last:
-                    last, x = ta, unpack_keys(ta)
-                y = unpack_keys(tb)
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):  # sets one by one, not all of a batch
+                if a != last:
+                    last, x = a, unpack_keys(ta.as_buffer().to_pybytes())
+                y = unpack_keys(tb.as_buffer().to_pybytes())
                 joint = np.sort(np.concatenate([x, y]))
                 shared = int((joint[1:] == joint[:-1]).sum())
                 keep.append(100 * shared >= SIMILAR * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            _given_back()
 
     return written(both.mapInArrow(confirm, "a bigint, b bigint"), "links")
 
