@@ -26,7 +26,9 @@ classes of its neighbours.  It has two parts:
 
 Smoothing.  Class transitions are mixed with class frequencies (a Dirichlet
 prior of weight ``PRIOR``).  Of each word count ``d`` is taken away (absolute
-discounting) and given, per class, to all unseen words together, as one type.
+discounting) and given, per class, to its unseen words: the number of unseen
+types is estimated from the types seen once and twice, and a class has the share
+in them that it has in the types seen.  So a word gains nothing by being unseen.
 
 Null texts count as empty: they are one end mark.  Without training rows all
 classes are equally likely and every word is unseen.
@@ -87,17 +89,23 @@ def spelling(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray):
-    """(word hashes, spelled groups, first): the words of texts, in order."""
+    """(distinct word hashes, their spelled groups, word numbers, first): the
+    words of texts, in order, as numbers of the distinct ones."""
     raw = fold(raw)
     starts, ends, first = words(raw, offsets, BLANK_WORD)
-    return hash_spans(raw, starts, ends), spelling(raw, starts, ends), first
+    place, h = pd.factorize(hash_spans(raw, starts, ends))
+    where = np.zeros(len(h), dtype=np.int64)
+    where[place] = np.arange(len(place))  # any place of a word tells how it is spelled
+    size = (ends - starts)[where]
+    stop = np.cumsum(size)
+    own = raw[np.repeat(starts[where] - (stop - size), size) + np.arange(int(size.sum()))]  # each word once
+    return h, spelling(own, stop - size, stop) if len(h) else np.zeros(0, np.int64), place, first
 
 
 def _block_tokens(texts):
     raw, offsets = buffers(texts)
     for i, j in pieces(offsets):
-        h, g, first = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        yield i, j, h, g, first
+        yield i, j, *_tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def _requests(ranges: int):
@@ -105,12 +113,11 @@ def _requests(ranges: int):
         """Distinct words of a block: their training counts and spelled groups."""
         hs, gs, cs = [], [], []
         train = table.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, h, g, first in _block_tokens(table.column("text")):
+        for i, j, h, g, place, first in _block_tokens(table.column("text")):
             learned = np.repeat(train[i:j], np.diff(first))
-            u, where, place = np.unique(h, return_index=True, return_inverse=True)
-            hs.append(u)
-            gs.append(g[where])
-            cs.append(np.bincount(place, learned, len(u)).astype(np.uint64))
+            hs.append(h)
+            gs.append(g)
+            cs.append(np.bincount(place, learned, len(h)).astype(np.uint64))
         h, g, c = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hs, gs, cs))
         u, where, place = np.unique(h, return_index=True, return_inverse=True)
         c = np.bincount(place, c, len(u)).astype(np.uint64)
@@ -179,8 +186,8 @@ def _bigrams(train: DataFrame, units: _Units) -> DataFrame:
         total = SPELLED + 1 + len(own.heavy)
         keys, counts, held = [], [], 0
         for batch in batches:
-            for _, _, h, g, first in _block_tokens(batch.column(0)):
-                line = _with_ends(own.of(h, g), first)
+            for _, _, h, g, place, first in _block_tokens(batch.column(0)):
+                line = _with_ends(own.of(h, g)[place], first)
                 k, n = np.unique(np.concatenate([[END], line[:-1]]) * total + line, return_counts=True)
                 keys.append(k)
                 counts.append(n)
@@ -349,7 +356,7 @@ class _Block:
     """The words of a block's texts and the units they belong to."""
 
     def __init__(self, texts, known: np.ndarray):
-        self.parts = list(_block_tokens(texts))
+        self.parts = [(i, j, h, g, place.astype(np.int32), first) for i, j, h, g, place, first in _block_tokens(texts)]
         h, g = (np.concatenate([p[x] for p in self.parts] or [np.zeros(0, t)]) for x, t in ((2, np.uint64), (3, np.int64)))
         self.words, where = np.unique(h, return_index=True)
         self.group, self.known = g[where].astype(np.int64), known
@@ -357,8 +364,8 @@ class _Block:
 
     def lines(self):
         """(first text, text behind the last, word numbers, first) of the pieces."""
-        for i, j, h, _, first in self.parts:
-            yield i, j, np.searchsorted(self.words, h), first
+        for i, j, h, _, place, first in self.parts:
+            yield i, j, np.searchsorted(self.words, h)[place], first
 
 
 _LINES = "_block int, line binary, keys binary, start binary"
@@ -408,7 +415,9 @@ def _sums(ranges: int, classes: int):
                 alike = last == here
                 after, ahead = (here != end) & ~alike, (last != end) & ~alike
                 codes = [here[after] * width + of[last[after]], last[ahead] * width + classes + of[here[ahead]], here[alike & (here != end)] * width + 2 * classes]
-                found.append(np.unique(np.concatenate(codes), return_counts=True))
+                place, code = pd.factorize(np.concatenate(codes))
+                order = np.argsort(code)
+                found.append((code[order], np.bincount(place, minlength=len(code))[order]))
             code, n = (np.concatenate([f[x] for f in found] or [np.zeros(0, np.int64)]) for x in (0, 1))
             if len(found) > 1:
                 [code], [n] = _added([code], [n])
@@ -562,6 +571,7 @@ class Model:
         types[of[END]] += ends > 0
         once, twice = sums.once or 0, sums.twice or 0
         self.d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        self.unseen = max(1.0, once * once / (2 * twice) if twice else float(once))  # how many types were not seen, by those seen once and twice
         self.size, self.class_types = table.sum(axis=0), types
         share = (self.size + 1) / (self.size.sum() + classes)
         self.log_next = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
@@ -584,7 +594,9 @@ class Model:
         step = self.log_next[np.concatenate([[END], of[:-1]]), of]
         own = np.insert(count.astype(np.float64), first[1:], -1.0)
         size, types = self.size[of], self.class_types[of]
-        unseen = np.where(size > 0, self.d * np.maximum(types, 1) / np.maximum(size, 1), 1.0)
+        # what discounting leaves for the unseen words of a class, dealt over as many unseen types as it has a share in all types
+        share = np.maximum(types, 1) / max(1.0, self.class_types.sum())
+        unseen = np.where(size > 0, self.d * np.maximum(types, 1) / np.maximum(size, 1), 1.0) / np.maximum(1.0, self.unseen * share)
         emit = np.where(own < 0, 1.0, np.where(own > 0, np.maximum(own - self.d, 0) / np.maximum(size, 1), np.minimum(unseen, 1.0)))
         text = np.repeat(np.arange(n), np.diff(first) + 1)
         seen = np.where(own < 0, self.ends, own)
