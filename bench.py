@@ -34,7 +34,6 @@ def main() -> None:
     from shieldline.sources.threat_log import materialize
 
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="shieldline-bench")
-    C.TASKS = int(cpus) * 3  # the bench's tables are one file each
 
     def run(df) -> None:
         df.write.format("noop").mode("overwrite").save()

@@ -20,7 +20,7 @@ from ..functions.rules import RulePack
 from ..functions.unicode_udf import python_fixups
 from ..operators import screen as S
 from ..session import scratch_path
-from ..sources.prompts import read_prompts, read_table
+from ..sources.prompts import read_prompts, read_table, spread
 from ..sources.rules_source import rules_source
 from . import oracle as O
 
@@ -42,17 +42,8 @@ def pack(spark: SparkSession) -> RulePack:
     return RulePack.from_df(rules_source(spark))
 
 
-#: Tasks that prompts are dealt over; None leaves the splits of the files.  The
-#: bench sets it, because its tables are one file each.
-TASKS: int | None = None
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    return df.repartition(TASKS) if TASKS else df
-
-
 def prompts(spark, sf, source="documents"):
-    return dealt(read_prompts(spark, sf, source))
+    return spread(read_prompts(spark, sf, source))
 
 
 def screened(spark, sf, source="documents", **kw) -> DataFrame:
@@ -128,7 +119,7 @@ PAGES_HTML_SQL = (f"SELECT page_id, {O.strip_tags(O.html_unescape('html'))} AS t
 
 @register("norm_html", PAGES_HTML_SQL)
 def q_norm_html(spark, sf):
-    pages = dealt(read_table(spark, sf, "pages"))
+    pages = spread(read_table(spark, sf, "pages"))
     h = F.col("html")
     return pages.select("page_id", nz.strip_tags(python_fixups(h, h)["text"]).alias("text"))
 

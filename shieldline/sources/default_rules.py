@@ -1,7 +1,8 @@
 """The built-in detection rule pack.
 
 A rule is a frame: slots of words in the order in which an attack says them
-(verb, quantifier, object, ...).  Word families are tables; a frame is compiled
+(verb, quantifier, object, ...).  Word families are tables that the groups
+share, misspellings are made by rule; a frame is compiled
 to one pattern of the portable subset shared by Java and RE2 (no look-arounds,
 no back-references).  Layers and groups are ordered: the first matching rule of
 a layer names the category.
@@ -99,10 +100,25 @@ _BAD = "هاكر|قرصان|مخترق|مجرم|شرير|محتال|نظام غ
 _SHOW = ("افصح|افصحي|اظهر|اظهري|اعرض|اكشف|اكشفي|سرب|افشي|افش|اطبع|اكتب|خرج|طلع|طلعلي|وريني|ورينا|اريني|ارني|اخبرني|قولي|هات|هاتلي|اديني|اعطيني|اعطني|جبلي")
 _SAFETY = "الامان|السلامه|الحمايه|الفلتره|الفلتر|الفلاتر"
 _MACHINE = "نظام|نضام|انظمه|اليه|اليات|اعدادات|فلتر|فلاتر|مرشح|مرشحات|قواعد|تعليمات|اوامر|جميع|كل|اي"
-_OFF = "تجاوز|تخطي|عطل|عطلي|ابطل|الغ|الغي|وقف|اوقف|اطفي|احذف|شيل|اكسر"
+_OFF = "تجاوز|تخطي|عطل|عطلي|ابطل|الغ|الغي|وقف|اوقف|اطفي|اقفل|احذف|ازل|امسح|فك|شيل|اكسر"
 _THAT = "اللي|الي|التي|الذي|ما"
 _WANT = "عايز|عاوز|عايزه|عاوزه|محتاج|اريد|نفسي"
 _GIVE = "اعطني|اعطيني|هات|هاتلي|اديني|ارسل|ارسلي|ابعت|ابعتلي|اعرض|اعرضلي|قولي"
+_TELL = _SHOW + "|كرر|اعد|عيد|ردد"
+_ABOUT = "لي|لنا|عن|كل|جميع|ماهو|ما هو|نظام|ال|علي|ب"
+_ASK = "ما|ماذا|ايه|اي|مين"
+_KNOW = "اعرف|اشوف|اقرا"
+_INNER_AR = "داخليه|سريه|مخفيه|اصليه|اساسيه|اساسي|بتاعتك|بتاعك|اللي|الي|التي"
+_TAUGHT = "علمك|عرفك|دربك|قالك|اخبرك|برمجك|قال|اخبر|برمج"
+_MAKER = "مطور|مبرمج|مصمم"
+_FENCE = "قيود|حدود|قواعد|فلتر|فلاتر|رقابه|حمايه"
+_NOT_AR = "مش|ليس|لست|لستي|مكانتش|ماكانتش"
+_ANSWER = "رد|جاوب|اتكلم|خليك"
+_REPLY = "ترد|تجاوب|تجيب"
+_MUST = "لازم|يجب"
+_SAY_NOT = "ماتقوليش|متقوليش|ماتقولش|متقولش"
+_THING = "شيء|شئ|حاجه"
+_TOPIC = "الموضوع|السؤال|الكلام"
 _AL = "(?:ب|ل|و)?(?:ال)?"
 _OWN = "(?:ك|كم|ه|ها)?"
 
@@ -153,27 +169,28 @@ _AR = {
         [words("دلوقتي|الان|انت"), maybe("انت|دلوقتي"), words("مش|لست"), words("شات|بوت|مساعد|روبوت|نموذج"), words("عادي|محدود|مقيد|عاديه")],
     ],
     "system_access": [
-        [words(_SHOW), any_of("لي|لنا|عن|كل|جميع|ماهو|ما هو|نظام|ال|علي|ب"), _prompt()],
-        [words(_SHOW), GAP, _prompt(), words("اللي|الي|التي|بتاعك|بتاعتك|الاساسي|الاساسيه|الداخليه|السريه|المخفيه")],
-        [words("كرر|اعد|عيد|ردد"), any_of("كل|جميع|لي"), _prompt()],
-        [words("كرر|اعد|عيد|ردد"), words("كل"), words("شيء|شئ|حاجه|اللي فات"), words("من"), words("البدايه|الاول|اولها")],
-        [words("ما|اي|ايه", glued=True), words("هي|هو|هيه"), words("تعليماتك|اوامرك|اعداداتك|قواعدك|برمجتك|توجيهاتك")],
-        [words("ما|ايه|اي", glued=True), words("هي|هو|هيه"), _prompt(), maybe(_THAT), words("خدتها|خدها|عرفتها|اتعلمتها|تلقيتها|اخذتها|بتمشي عليها|ماشي بيها|خدته|عرفته")],
-        [words("ما|ماذا|ايه|مين", glued=True), words("عرفك|علمك|دربك|قال|قالك|اخبر|اخبرك|برمج|برمجك"), maybe("لك|ليك"), words("مطور|مبرمج|مصمم", before="(?:ال)?", after=_OWN)],
-        [words("بتشتغل|ماشي|بتمشي|شغال"), words("ازاي"), GAP, _rules(), GAP, words("بتلتزم|ماشي|بتمشي|ملتزم")],
-        [words("خليك|رد|اتكلم"), GAP, words(_FREE), words("فلتر|فلاتر|حمايه|قيود|رقابه")],
-        [words("شيل|اطفي|اقفل"), GAP, words("حمايه|فلتره|فلتر|امان", before="(?:ال)?")],
-        [words(_WANT), words("اعرف|اشوف|اقرا"), GAP, words("برمجه|قواعد|برومبت|تعليمات|اوامر", before="(?:ال)?", after=_OWN), words("داخليه|سريه|بتاعتك|اصليه|مخفيه", before="(?:ال)?")],
-        [words(_WANT), words("اشوف|اعرف"), GAP, words("بترد|هترد|بتجاوب"), GAP, words(_FREE), words("قيود|حدود|فلتر")],
-        [words("لو"), _rules(), words("مش|مكانتش|ماكانتش"), words("موجوده|موجود")],
+        # who is asked to tell, about what it was told
+        [words(_TELL), any_of(_ABOUT), _prompt()],
+        [words(_TELL), GAP, _prompt(), _the(_INNER_AR)],
+        [words(_TELL), words("كل"), words(_THING), words("من"), words("البدايه|الاول|اولها")],
+        [words(_ASK), words("هي|هو|هيه"), _prompt()],
+        [words(_WANT), words(_KNOW), GAP, _prompt(), _the(_INNER_AR)],
+        [words("لو"), _rules(), words(_NOT_AR), words("موجوده|موجود")],
+        # who made it, and how it works
+        [words(_ASK, glued=True), words(_TAUGHT), maybe("لك|ليك"), words(_MAKER, before="(?:ال)?", after=_OWN)],
+        [words("بتشتغل|شغال|ماشي"), words("ازاي"), GAP, _rules()],
+        # without what protects it
+        [words(_ANSWER), GAP, words(_FREE), _the(_FENCE)],
+        [words(_WANT), GAP, words("بترد|هترد|بتجاوب"), GAP, words(_FREE), _the(_FENCE)],
+        [words("شيل|اطفي|اقفل"), GAP, _the("حمايه|فلتره|فلتر|امان")],
     ],
     "jailbreak": [
-        [words(_YOU), words("لست|مش|لسنت|لستي"), words("مقيد|ملزم|محدود|مجبر|مقيده")],
-        [words(_FREE), any_of("اي|كل|ال"), words("قيود|حدود|قواعد"), words("عليك|علي ردودك|علي اجاباتك|علي كلامك")],
-        [words("احذف|الغي|ازل|شيل|امسح|فك"), words("كل|جميع"), _rules()],
-        [words("الموضوع|السؤال|الكلام"), GAP, words("مش|ليس"), words("خطير|خطر")],
+        [words(_YOU), words(_NOT_AR), words("مقيد|مقيده|ملزم|محدود|مجبر")],
+        [words(_FREE), any_of("اي|كل|ال"), _the(_FENCE), words("عليك|علي ردودك|علي اجاباتك|علي كلامك")],
+        [words(_OFF), words("كل|جميع"), _rules()],
+        [words(_TOPIC), GAP, words(_NOT_AR), words("خطير|خطر")],
         [words("مفيش|مافيش|لا"), words("مشكله|مانع|خطر"), GAP, words("رديت|جاوبت|قلت")],
-        [words("رد|جاوب"), words("عادي"), GAP, words("مش"), words("هيحصل|هيحصلك"), words("حاجه|شيء")],
+        [words(_ANSWER), words("عادي"), GAP, words(_NOT_AR), words("هيحصل|هيحصلك"), words(_THING)],
     ],
     "sensitive_info": [
         [words("بيانات|معلومات|ملفات"), words("سريه|خاصه|داخليه|حساسه")],
@@ -188,115 +205,124 @@ _AR = {
         [words("لا باس|مفيش مشكله|ليس هناك مشكله|عادي"), words("في|من|ب", glued=True), words("تجاوز|كسر|تجاهل"), _rules()],
     ],
     "force_answer": [
-        [words("غصب عنك|حتي لو|بالعافيه"), GAP, words("لازم"), words("ترد|تجاوب|تجيب")],
-        [words("ماتقوليش|متقوليش|ماتقولش|متقولش"), GAP, words("ماقدرش|مقدرش|مش ينفع|مينفعش")],
+        [words("حتي لو|غصب عنك|بالعافيه"), GAP, words(_MUST), words(_REPLY)],
+        [words("لو", glued=True), words("مش", glued=True), words("هترد|هتردي|هتجاوب", glued=True), words(_NOW)],
+        [words("نفذ|اعمل|اتبع"), words(_THAT), GAP, words("بالحرف|زي ما هو|زي ماهو")],
+        [words(_NOT_AR), words(_WANT), words("رد"), GAP, _the("صريح")],
+        [words(_SAY_NOT), GAP, words("ماقدرش|مقدرش|مينفعش|مش ينفع")],
         [words("مش"), words("ينفع")],
-        [words("مش"), words(_WANT), words("رد"), GAP, words("الصريح|صريح")],
-        [words("لو", glued=True), words("مش", glued=True), words("هترد|هتردي|هتجاوب", glued=True), words("دلوقتي|الان|حالا")],
-        [words("نفذ|اتبع|اعمل"), words("اللي|الي"), GAP, words("بالحرف|بالحرف الواحد|زي ما هو|زي ماهو")],
     ],
 }
 
-# --- English word families --------------------------------------------------------
-_E_DROP = "ignore|disregard|forget|skip|cancel|override|drop|discard|neglect"
-_E_FILL = "all|any|of|the|your|my|these|those|this|that|our|every|each|such"
-_E_PRIOR = "previous|prior|above|earlier|initial|preceding|existing|past|foregoing"
-_E_OBJECT = "instruction|instructions|prompt|prompts|rule|rules|directive|directives|command|commands|guideline|guidelines"
-_E_MISSPELT_DROP = "ingore|ignroe|ignor|ignre|inore|ignur|igonre|ignoor|ignorre|ingnore|iqnore|forgit|forgat|bypas|bybas|byebas|skipp"
-_E_MISSPELT = ("previous|prior|previus|previos|preveous|privius|instructions|instruction|intructions|instrucshuns|instuctions|instructons|instruktions|"
-               "rules|ruls|rulez|prompts|promts|all")
-_E_SHIELD = "safety|guardrail|guardrails|filter|filters|restriction|restrictions|rules|instructions|system|security|protection|protections|moderation|censorship"
-_E_SHOW = "show|reveal|display|print|tell|give|expose|output|list"
-_E_TEXT = "prompt|prompts|instruction|instructions|rule|rules|configuration|config|guidelines|directives"
-_E_INNER = "system|hidden|initial|original|exact|internal|secret|full|complete"
-_E_ROLE = "hacker|jailbreaker|unrestricted|evil|malicious|unethical|unfiltered|uncensored|criminal"
-_E_MODE = "developer|admin|administrator|god|root|jailbreak|unrestricted|dan|debug|sudo"
+# --- English word families, shared by the groups ------------------------------------
+_DROP_EN = "ignore|disregard|forget|skip|cancel|override|bypass|discard|neglect|drop|circumvent|evade|disable|deactivate|turn off|switch off|break|violate"
+_TELL_EN = "show|reveal|display|print|tell|give|expose|output|list|repeat|recite|restate|share|write"
+_LEAK = "leak|disclose|divulge|dump|reveal|expose"
+_TAKE = "steal|exfiltrate|extract|collect|export|dump|leak|harvest"
+_WIPE = "clear|wipe|reset|erase|finish|stop|terminate|end of"
+_ORDER = ("instruction|instructions|prompt|prompts|rule|rules|directive|directives|command|commands|guideline|guidelines|"
+          "policy|policies|configuration|config")
+_FENCE_EN = ("safety|security|guardrail|guardrails|filter|filters|restriction|restrictions|limitation|limitations|limits|moderation|censorship|"
+             "protection|protections|system")
+_DATA_EN = "data|information|records|history|database|logs|tables|files|documents|keys|memory"
+_SECRET = "password|passwords|passwd|credential|credentials|secret|token|tokens|auth|api key|api_key|apikey"
+_MINE = "all|any|of|the|your|my|these|those|this|that|our|every|each|such|me|us|a|an"
+_EARLIER = "previous|prior|above|earlier|initial|preceding|existing|past|foregoing"
+_INNER = "system|hidden|initial|original|exact|internal|secret|full|complete|private|confidential"
+_ROLE_EN = "hacker|jailbreaker|unrestricted|evil|malicious|unethical|unfiltered|uncensored|criminal"
+_MODE_EN = "developer|admin|administrator|god|root|jailbreak|unrestricted|dan|debug|sudo|unsafe|unfiltered|uncensored"
+_MAKER_EN = "developer|developers|creator|creators|admin|admins"
+_LATER = "when i say|whenever i say|if i say"
+
+#: Misspellings that are words of their own.
+_NO_MISSPELLING = {"forge"}
+
+
+def misspelt(text: str) -> str:
+    """All words that differ from one of these by a letter left out, doubled, or
+    swapped with the next, but the words themselves."""
+    known, out = text.split("|"), []
+    for w in known:
+        for i in range(1, len(w)):
+            out += [w[:i] + w[i + 1:], w[:i] + w[i] + w[i:], w[:i - 1] + w[i] + w[i - 1] + w[i + 1:]]
+    return "|".join(sorted({w for w in out if len(w) > 3} - {*known} - _NO_MISSPELLING))
 
 
 def spaced(word: str) -> str:
     """The letters of a word with anything but letters and digits between them,
-    each also as a look-alike digit or letter."""
-    twin = {"i": "i1", "g": "gq", "o": "o0", "e": "e3", "y": "yv"}
-    return r"[^\p{L}\p{N}]*".join(f"[{twin[c]}]" if c in twin else c for c in word)
+    each also as a digit that the confusables take for it."""
+    twins = {c: c + "".join(k for k, v in fv.CONFUSABLES.items() if v == c and k.isascii() and k.isdigit()) for c in word}
+    return r"[^\p{L}\p{N}]*".join(f"[{twins[c]}]" if len(twins[c]) > 1 else c for c in word)
 
 
 _EN = {
     "ignore": [
-        [words(_E_DROP), any_of(_E_FILL), words(_E_PRIOR), any_of(_E_FILL), words(_E_OBJECT)],
-        [words("ignore|disregard|forget"), any_of(_E_FILL), words(_E_OBJECT)],
-        [words("skip|cancel|override"), words("all|al|the|your|these|my"), words(_E_OBJECT + "|promts|intructions|ruls")],
-        [words("nevermind|never mind"), any_of("the|my|all"), words(_E_PRIOR)],
-        spaced("ignore"), spaced("bypass"), spaced("override"),
-        [words(_E_MISSPELT_DROP), any_of("e|the|your|my|these"), words(_E_MISSPELT)],
-        [words("do not|dont|don't|never|stop|quit"), words("follow|following|obey|obeying"), any_of(_E_FILL), words(_E_OBJECT)],
-        [words("you"), words("can|may|should|could"), words(_E_DROP), any_of(_E_FILL), words("safety|security")],
-        [words("bypass|override|disable|deactivate|circumvent|turn off|switch off"), any_of(_E_FILL), words(_E_SHIELD)],
-        [words("no longer|not"), words("bound|restricted|limited"), words("by"), any_of(_E_FILL), words(_E_OBJECT + "|restrictions|policies")],
-        [words("from now on"), any_of("you|will|must|should|please"), words(_E_DROP)],
+        [words(_DROP_EN), any_of(_MINE + "|" + _EARLIER), words(_ORDER)],
+        [words(_DROP_EN), any_of(_MINE), words(_FENCE_EN)],
+        [words("nevermind|never mind"), any_of(_MINE), words(_EARLIER)],
+        [words("do not|dont|don't|never|stop|quit"), words("follow|following|obey|obeying"), any_of(_MINE), words(_ORDER)],
+        [words("no longer|not"), words("bound|restricted|limited"), words("by"), any_of(_MINE), words(_ORDER + "|" + _FENCE_EN)],
+        [words("from now on"), any_of("you|will|must|should|please"), words(_DROP_EN)],
+        [words(misspelt("ignore|forget|bypass|disregard|override")), any_of(_MINE), words(_ORDER + "|" + _EARLIER)],
+        [words(_DROP_EN), any_of(_MINE + "|" + _EARLIER), words(misspelt("instructions|instruction|previous|rules|prompts"))],
+        *map(spaced, ("ignore", "bypass", "override")),
     ],
     "role_change": [
-        [words("you are now|act as|roleplay as|role play as|pretend to be|behave as|behave like"), any_of("a|an|the"), words(_E_ROLE)],
-        [words("pretend"), maybe("that"), words("you are|you're"), maybe("not"), words("an ai|bound|restricted|human|unrestricted")],
-        [words("you are now|switch to|switch into|enter|enable|activate|go into"), any_of("in|the|a|an"), words(_E_MODE), words("mode")],
+        [words("you are now|act as|act like|behave as|behave like|pretend to be|roleplay as|role play as"), any_of(_MINE), words(_ROLE_EN)],
+        [words("pretend"), maybe("that"), words("you are|you're"), any_of("not|a|an|by"), words("ai|bound|restricted|human|unrestricted")],
+        [words("you are now|switch to|switch into|enter|enable|activate|go into"), any_of("in|" + _MINE), words(_MODE_EN), words("mode")],
         [words("dan"), words("mode|enabled|activate|activated")],
+        [words("you are|act as"), any_of("if|you|are|not|no|longer"), words("bound|restricted"), words("by"), any_of(_MINE), words(_ORDER + "|" + _FENCE_EN)],
         [words("do anything now")],
-        [words("you are|act as|act as if"), any_of("not|no|longer|if|you|are"), words("bound|restricted"), words("by"), any_of(_E_FILL), words("rule|rules|guideline|guidelines|restrictions")],
     ],
     "system_access": [
-        [words(_E_SHOW), any_of("me|us"), words("your|the"), any_of(_E_INNER), words(_E_TEXT)],
-        [words("print|output|display|dump"), any_of("your|the|me|" + _E_INNER), words(_E_TEXT)],
-        [words("what"), words("are|is|were|was"), words("your"), any_of(_E_INNER), words(_E_TEXT)],
-        [words("repeat|recite|restate"), words("your|the"), any_of(_E_INNER), words(_E_TEXT)],
-        [words("repeat"), words("everything|all"), any_of("from|the|text|above"), words("beginning|start|top|above")],
-        [words("system"), words("prompt|override|bypass|admin|administrator|instruction|instructions|message")],
+        [words(_TELL_EN + "|" + _LEAK), any_of(_MINE + "|" + _INNER), words(_ORDER)],
+        [words("what"), words("are|is|were|was"), words("your"), any_of(_INNER), words(_ORDER)],
+        [words("system"), words(_ORDER + "|override|bypass|admin|administrator|message")],
         [words("what were you"), words("told|instructed|programmed|asked"), words("to")],
+        [words("repeat|recite"), words("everything|all"), any_of("from|the|text|above"), words("beginning|start|top|above")],
     ],
     "prompt_leaking": [
-        [words("reveal|show|print|expose|leak|dump|share"), any_of("me|your|the"), words("system|hidden|internal|original|secret"), words("prompt|rules|guidelines|instructions")],
-        [words("disclose|leak|divulge"), any_of("your|the"), words("guidelines|safety rules|prompt|instructions")],
-        [words("prompt|instructions"), words("you were"), words("given|told|started with")],
-        [words("what did"), any_of("your|the"), words("developer|developers|creator|creators|admin"), words("tell"), words("you")],
+        [words(_LEAK + "|show|print|share"), any_of(_MINE + "|safety"), words(_INNER + "|safety"), words(_ORDER)],
+        [words(_LEAK), any_of(_MINE), words(_ORDER)],
+        [words("what did"), any_of(_MINE), words(_MAKER_EN), words("tell"), words("you")],
+        [words(_ORDER), words("you were"), words("given|told|started with")],
     ],
     "jailbreak": [
         [words("jailbreak|jailbreaking|jailbroken|jail break")],
-        [words("no|without|remove|lift"), any_of("any|all|the"), words("restriction|restrictions|limitation|limitations|filter|filters|limits"), words("on|for"), words("you|your|this ai|this model")],
-        [words("grandmother|grandma"), words("trick|jailbreak|exploit")],
+        [words("no|without|remove|lift"), any_of(_MINE), words(_FENCE_EN), words("on|for"), words("you|your|this ai|this model")],
+        [words("grandmother|grandma"), words("trick|exploit|jailbreak")],
     ],
     "context_manipulation": [
-        [words("end of|finish|stop|terminate"), any_of("the|your"), maybe("system"), words("prompt|instruction|instructions")],
-        [words("clear|wipe|reset|erase"), any_of("your|the"), maybe("system"), words("memory|instruction|instructions|prompt|context")],
+        [words(_WIPE), any_of(_MINE), maybe("system"), words(_ORDER + "|memory|context")],
     ],
     "sensitive_info": [
-        [words("api|secret|private|access|encryption"), words("key|keys")],
-        [words("password|passwords|credentials|passwd")],
-        [words("access|auth|authentication|bearer|session"), words("token|tokens")],
-        [words("show|reveal|display|give|tell"), GAP, words("password|api key|api_key|apikey|token|secret|credential|auth")],
-        [words("private|confidential|internal"), words("data|information|keys|files|documents")],
+        [words("password|passwords|passwd|credentials")],
+        [words("api|secret|private|access|encryption|session|auth|authentication|bearer"), words("key|keys|token|tokens")],
+        [words("private|confidential|internal"), words(_DATA_EN)],
+        [words(_TELL_EN), GAP, words(_SECRET)],
     ],
     "adversarial": [
-        [words("you must"), words("answer|comply|respond|do|reply"), GAP, words("regardless|no matter")],
-        [words("you must"), words("do|give me"), words("this"), words("else|otherwise|or else")],
+        [words("you must"), words("answer|comply|respond|reply|do|give me"), GAP, words("regardless|no matter|or else|otherwise")],
+        [words("you will not be|you won't be|nobody will be"), words("punished|penalized|blamed|judged")],
+        [words("it's|it 's|its|it is|this is"), words("okay|ok|fine|safe|alright"), words("to"), words(_DROP_EN), any_of(_MINE), words(_ORDER + "|" + _FENCE_EN)],
         [words("this is not"), words("dangerous|harmful|illegal")],
         [words("safe to answer")],
-        [words("you will not be|you won't be|nobody will be"), words("punished|penalized|blamed|judged")],
-        [words("it's|it 's|its|it is|this is"), words("okay|ok|fine|safe|alright"), words("to"), words("bypass|ignore|break|violate"), any_of("the|your|any|all"), words("rule|rules|safety|policy")],
     ],
     "stealthy": [
-        [words("rewrite|rephrase|translate"), words("the following|this"), words("as"), words("instruction|instructions|commands")],
-        [words("treat"), words("this|the following|these"), words("as"), any_of("your|the|a"), words("system prompt|instructions|commands")],
-        [words("embed|incorporate|absorb|integrate"), words("these|the following|this"), words("rules|rule|instructions|directives")],
-        [words("adopt|assume"), words("the following|this|a new"), words("persona|identity|personality")],
-        [words("switch to|enter|enable"), words("unsafe|unfiltered|uncensored"), words("mode")],
+        [words("rewrite|rephrase|translate|treat"), words("this|these|the following"), words("as"), any_of(_MINE + "|" + _INNER), words(_ORDER)],
+        [words("embed|incorporate|absorb|integrate"), words("this|these|the following"), words(_ORDER)],
+        [words("adopt|assume"), words("this|a new|the following"), words("persona|identity|personality")],
+        [words("switch to|enter|enable"), words(_MODE_EN), words("mode")],
     ],
     "exfiltration": [
-        [words("leak|exfiltrate|steal"), any_of("the|all|your|any"), words("system|internal|private|user|customer"), words("data|information|records")],
-        [words("dump|export"), any_of("your|the|all"), words("database|system data|memory|logs|tables")],
-        [words("extract|collect"), words("all"), any_of("your|the|user"), words("data|information|history|records")],
+        [words(_TAKE), any_of(_MINE), words(_INNER + "|user|customer"), words(_DATA_EN)],
+        [words(_TAKE), words("all|the|your"), any_of(_MINE), words(_DATA_EN)],
     ],
     "multi_turn": [
-        [words("remember"), words("this|that|it"), words("for later"), GAP, words("ignore|bypass|when i say")],
-        [words("in"), any_of("the|our|my"), words("next|following"), words("conversation|chat|message|turn"), GAP, words("ignore|bypass|remember to")],
-        [words("when i say|whenever i say|if i say"), GAP, words("ignore|bypass|do not")],
+        [words("remember"), words("this|that|it"), words("for later"), GAP, words(_DROP_EN + "|" + _LATER)],
+        [words("in"), any_of(_MINE), words("next|following"), words("conversation|chat|message|turn"), GAP, words(_DROP_EN + "|remember to")],
+        [words(_LATER), GAP, words(_DROP_EN + "|do not")],
     ],
     "encoding": list(fv.ENCODING_PATTERNS),
 }

@@ -57,6 +57,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in three tasks a core, where its files make fewer tasks than the
+    cluster has cores (a table of one small file); otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)
+
+
 SOURCES = ("conversations", "documents")
 
 

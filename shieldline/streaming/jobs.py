@@ -61,9 +61,12 @@ def read_stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: in
 
 def stream_screen(spark: SparkSession, sf_dir: str, pack: RulePack, source: str = "documents",
                   logged_at: str | None = None, max_files: int = 64, tasks: int | None = None, **kw) -> DataFrame:
-    """Each arriving prompt is screened and appended to the log.  ``tasks``
-    deals each micro-batch over so many tasks, where it comes as a few files."""
+    """Each arriving prompt is screened and appended to the log.  A micro-batch
+    is dealt over ``tasks`` (three a core if not given, 0 to leave it in the
+    tasks of its files): it often comes as one file, and screening costs far more
+    than moving its text."""
     prompts = prompt_frame(read_stream_table(spark, sf_dir, source, max_files), source)
+    tasks = 3 * spark.sparkContext.defaultParallelism if tasks is None else tasks
     if tasks:
         prompts = prompts.repartition(tasks)
     return S.screen_prompts(prompts, pack, logged_at=logged_at, **kw)
