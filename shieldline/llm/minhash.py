@@ -78,6 +78,8 @@ _HIGH = sum(1 << ((BITS + 1) * k + BITS) for k in range(LANES))
 _CHUNKS = np.array_split(np.arange(POSITIONS), CHUNKS)
 #: Bits of a shingle's hash that are dropped when sets are sent to be confirmed.
 _DROPPED = U64(24)
+#: The longs that are a chunk each: the first chunks, as long as they have as many positions as a long.
+_ALONE = [s for s, c in zip(_SIG, _CHUNKS) if len(c) == LANES]
 _XOR = splitmix(np.arange(1, POSITIONS + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 _ODD = splitmix(np.arange(1, POSITIONS + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
 
@@ -104,14 +106,15 @@ def positions(packed: np.ndarray) -> np.ndarray:
 
 def chunk_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of every signature, each chunk without each of its positions,
-    and a mark for each key: 31 bits of the whole chunk, and in the lowest bit
-    whether the key is the first of its chunk.  Signatures with equal chunks
-    share all keys of the chunk; by the marks they meet at the first one only."""
+    and a mark for each key: 26 bits of the whole chunk, the chunk's number, and
+    in the lowest bit whether the key is the first of its chunk.  Signatures with
+    equal chunks share all keys of the chunk; by the marks they meet at the first
+    one only."""
     value = splitmix((signature.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + np.arange(POSITIONS, dtype=U64) * U64(0xD1B54A32D192ED03))
     keys, marks = np.empty((len(signature), POSITIONS), dtype=U64), np.empty((len(signature), POSITIONS), dtype=np.int32)
-    for own in _CHUNKS:
+    for c, own in enumerate(_CHUNKS):
         whole = value[:, own].sum(axis=1)
-        mark = (splitmix(whole) >> U64(33)).astype(np.int64) << 1
+        mark = (splitmix(whole) >> U64(38)).astype(np.int64) * 64 + 2 * c
         for p in own:
             keys[:, p] = splitmix(whole - value[:, p] + U64(int(p) + 1))
             marks[:, p] = (mark + (p == own[0])).astype(np.uint32).view(np.int32)
@@ -169,8 +172,9 @@ def describe(docs: DataFrame) -> DataFrame:
         told, "doc_id bigint, n_shingles bigint, node bigint, " + ", ".join(f"{s} bigint" for s in _SIG))
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
-    """(key, node, mark) for every key of every node."""
+def _entries(nodes: DataFrame, keep=None) -> DataFrame:
+    """(key, node, mark) for every key of every node; with ``keep`` (a broadcast
+    filter) of the keys that it lets through."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +182,12 @@ def _entries(nodes: DataFrame) -> DataFrame:
                 continue
             packed = np.stack([batch.column(1 + k).to_numpy() for k in range(LONGS)], axis=1)
             node = np.repeat(batch.column(0).to_numpy(), POSITIONS)
-            own, marks = chunk_keys(positions(packed))
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64).ravel()), pa.array(node), pa.array(marks.ravel())], names=["key", "node", "mark"])
+            own, marks = (x.ravel() for x in chunk_keys(positions(packed)))
+            own = own.view(np.int64)
+            if keep is not None:
+                some = _held(keep.value, own)
+                own, node, marks = own[some], node[some], marks[some]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(node), pa.array(marks)], names=["key", "node", "mark"])
 
     return nodes.select("node", *_SIG).mapInArrow(keys, "key bigint, node bigint, mark int")
 
@@ -199,9 +207,9 @@ def _places(node: np.ndarray, bits: int) -> np.ndarray:
     return (np.concatenate([splitmix(own ^ U64(0x632BE59BD9B4E019)), splitmix(own ^ U64(0xE220A8397B1DCDAF))]) % U64(bits)).astype(np.int64)
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``node``, of a fixed size at most, as 64-bit words."""
-    n = nodes.count()
+def _filter(rows: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column, of a fixed size at most, as 64-bit words."""
+    n = rows.count()
     bits = min(FILTER_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +219,22 @@ def _filter(nodes: DataFrame) -> np.ndarray:
             value = np.bitwise_or.reduceat(U64(1) << (at & 63).astype(U64), first) if len(at) else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["w", "b"])
 
-    table = nodes.select("node").mapInArrow(words, "w bigint, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = rows.select(column).mapInArrow(words, "w bigint, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
     out[table.column("w").to_numpy()] = table.column("b").to_numpy()
     return out
 
 
+def _held(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the filter may hold: all that are there, and few others."""
+    place = _places(values, 64 * len(words))
+    return (words[place >> 6] >> (place & 63) & 1).reshape(2, -1).all(axis=0)
+
+
 def _whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, tokens and the parity sketch, once each, of the nodes asked for and
     of the few others that the filter lets through."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes, "node"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = sent.value, set()
@@ -228,8 +242,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for _, _, tokens, at in _sets(batch.column(0)):
                 some = np.flatnonzero(np.diff(at))
                 node = np.array([_node(tokens[at[k] : at[k + 1]]) for k in some], dtype=np.int64)
-                place = _places(node, 64 * len(words))
-                hit = (words[place >> 6] >> (place & 63) & 1).reshape(2, -1).all(axis=0)
+                hit = _held(words, node)
                 own = [(n, tokens[at[k] : at[k + 1]]) for n, k in zip(node[hit].tolist(), some[hit]) if n not in seen and not seen.add(n)]
                 if own:
                     sketch = np.stack([parity(t) for _, t in own])
@@ -297,6 +310,15 @@ def _meet_here() -> Column:
     return F.expr("(a_mark & 1) = 1 or a_mark <> b_mark")
 
 
+def _not_before() -> Column:
+    """Whether no earlier one of the chunks that are a long each is the same in
+    ``a`` and ``b``: else they meet there."""
+    out, chunk = F.lit(True), F.col("a_mark").bitwiseAND(F.lit(63))  # twice its number, and whether the key is its first
+    for j, s in enumerate(_ALONE):
+        out = out & ((chunk < 2 * j + 2) | (F.col(f"a_{s}") != F.col(f"b_{s}")))
+    return out
+
+
 def _fit() -> Column:
     """Sets of very different sizes cannot link."""
     return (F.col("a_n") * 100 >= F.col("b_n") * SIMILAR) & (F.col("b_n") * 100 >= F.col("a_n") * SIMILAR)
@@ -324,9 +346,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = [F.first(c).alias(c) for c in ("n_shingles", *_SIG)]
     nodes = written(told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *one), "nodes")
 
-    entries = _entries(nodes)
-    lists = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "lists")
-    members = written(entries.join(lists, "key").select("key", "node", "mark", "a"), "members")
+    lists = written(_entries(nodes).groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "lists")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(lists, "key"))  # most keys have one node: they are not shuffled again
+    members = written(_entries(nodes, shared).join(lists, "key").select("key", "node", "mark", "a"), "members")
     least = members.groupBy("node").agg(F.min("a").alias("a"))
     sets = written(_whole_sets(docs, least), "sets")
     signed = nodes.select("node", "n_shingles", *_SIG).join(sets.drop("tokens"), "node")
@@ -348,8 +370,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = written(components(links), "labels")
         pairs = pairs.unionByName(more)
     left = written(_open_lists(members, labels), "open-lists")
-    across = _with(left, signed, _SKETCH, "a").join(_with(left, signed, _SKETCH, "b"), "key").where(
-        (F.col("a_c") < F.col("b_c")) & _meet_here() & _fit() & _open_by_sketch())
+    across = _with(left, signed, _ALONE + _SKETCH, "a").join(_with(left, signed, _ALONE + _SKETCH, "b"), "key").where(
+        (F.col("a_c") < F.col("b_c")) & _meet_here() & _not_before() & _fit() & _open_by_sketch())
     more = written(_ordered(across).join(pairs, ["a", "b"], "left_anti"), "met")
     roots = joined(labels, _linked(more, sets))
 

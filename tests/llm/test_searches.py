@@ -116,6 +116,10 @@ def test_pairs_within_the_distance_share_a_key():
     meet = (ka == kb) & ((ma & 1 == 1) | (ma != mb))  # once for each chunk that has one difference at most
     errors = np.stack([(a[:, c] != b[:, c]).sum(axis=1) for c in minhash._CHUNKS], axis=1)
     assert (meet.sum(axis=1) == (errors <= 1).sum(axis=1)).all()
+    # the chunks that are a long each are the first ones, in order
+    la, lb = minhash.lanes(a), minhash.lanes(b)
+    for j in range(len(minhash._ALONE)):
+        assert ((la[:, j] == lb[:, j]) == (errors[:, j] == 0)).all()
     assert (minhash.positions(minhash.lanes(a)) == a).all()
 
 
