@@ -223,31 +223,43 @@ RX_ROT13 = ci(f"{BOW}(?:" + "|".join(w.translate(str.maketrans(_ASCII, _ROT13))
 _MARK = "\x01"  # stands behind each token while whole texts are rewritten
 
 
+#: Characters that lower-casing or the confusables would change, of which a token
+#: of the gate needs none: in a token without one of the gate they stay.
+_CHANGED = "".join(c for c in dict.fromkeys(CONF_FROM) if not c.isascii() and c != "\u00a7")
+RX_CHANGED = f"[{_CHANGED}\\p{{IsUppercase}}\\p{{Lt}}&&[^\\x{{00}}-\\x{{7F}}]]"
+_PLAIN = f"[{WORD_CHARS}&&[^A-Za-z0-9]]"  # of a word, but not of the gate
+RX_KEPT = f"(?<!{WORD}){_PLAIN}*{RX_CHANGED}{_PLAIN}*(?!{WORD})|[{RX_CHANGED}&&[^{WORD_CHARS}]]"
+
+
 def deobfuscate_tokens(text: Column, use_rot13: bool = True, mode: str = "full", flips: Column | None = None) -> Column:
     """Tokenise, rewrite each token, and re-join with a space after every
     alphanumeric token.  ``mode`` isolates one rewrite for stage queries.
     ``flips`` (array, null for none) holds the tokens that ROT13 turns where
     the lexicon is a table (``operators.user_tables``).
 
-    ASCII texts without a ROT13 form of a lexicon word are rewritten whole:
-    a mark behind each token, letters mapped, then blanks for the marks."""
+    Texts without a ROT13 form of a lexicon word are rewritten whole: a mark
+    behind each token, letters mapped, then blanks for the marks.  Mapping whole
+    texts must not touch a token without a character of the gate, so texts that
+    hold such a token with a letter to be mapped go token by token."""
     rot, conf = TOKEN_MODES[mode]
     rot = rot and use_rot13
-    simple = (F.octet_length(text) == F.length(text)) & ~text.contains(_MARK)
+    simple = ~text.contains(_MARK)
+    if conf:
+        simple = simple & ((F.octet_length(text) == F.length(text)) | ~text.rlike(RX_CHANGED) | ~text.rlike(RX_KEPT))
     if rot:
         simple = simple & (~text.rlike(RX_ROT13) if flips is None else flips.isNull())
     flips = None if flips is None else F.coalesce(flips, F.array().cast("array<string>"))
-    return F.when(simple, _ascii_tokens(text, conf)).otherwise(_each_token(text, rot, conf, flips))
+    return F.when(simple, _whole_tokens(text, conf)).otherwise(_each_token(text, rot, conf, flips))
 
 
-def _ascii_tokens(text: Column, conf: bool) -> Column:
+def _whole_tokens(text: Column, conf: bool) -> Column:
     marked = F.regexp_replace(text, f"^{SPACE}+", "")
-    marked = F.regexp_replace(marked, f"([A-Za-z0-9_]+|[^A-Za-z0-9_{SPACE_CHARS}]){SPACE}*", f"$1{_MARK}")
+    marked = F.regexp_replace(marked, f"({WORD}++|[^{WORD_CHARS}{SPACE_CHARS}]){SPACE}*+", f"$1{_MARK}")
     if conf:  # "|" alone is no token of the gate: it stays as it is
         keep = "|"
         pairs = [(a, b) for a, b in fv.CONFUSABLES.items() if a != keep]
         marked = F.translate(F.lower(marked), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
-    spaced = F.regexp_replace(marked, f"(?<=^|{_MARK})([A-Za-z0-9]+){_MARK}", "$1 ")
+    spaced = F.regexp_replace(marked, f"(?<=^|{_MARK})([\\p{{L}}\\p{{N}}]++){_MARK}", "$1 ")
     return F.rtrim(F.replace(spaced, F.lit(_MARK), F.lit("")))
 
 

@@ -1014,6 +1014,33 @@ def q_stream_timeline(spark, sf):
     return J.timeline_slots(latest, "2024-01-31 00:00:00", 720)
 
 
+@register("stream_timeline_late", events_sql(
+    "SELECT time_bucket(INTERVAL 6 HOUR, timestamp) AS slot_start, count_if(status = 'BLOCKED') AS blocked, count_if(status = 'FLAGGED') AS flagged, "
+    "count_if(status NOT IN ('BLOCKED', 'FLAGGED')) AS safe FROM events_log WHERE timestamp IS NOT NULL GROUP BY 1"))
+def q_stream_timeline_late(spark, sf):
+    """Counts of the slots and the rows that came too late for theirs, together."""
+    path = scratch_path(spark, "slots")
+    log = J.events_log_frame(J.read_stream_table(spark, sf, "events")).select("id", "timestamp", "status")
+    RS.append_slots(log, path, scratch_path(spark, "slots-checkpoint"), "6 hours", "1 day").awaitTermination()
+    st = F.col("status")
+    late = RS.late_rows(spark, path).where("timestamp is not null").groupBy(F.window("timestamp", "6 hours").start.alias("slot_start")).agg(
+        F.count_if(st == "BLOCKED").alias("blocked"), F.count_if(st == "FLAGGED").alias("flagged"), F.count_if(~st.isin("BLOCKED", "FLAGGED")).alias("safe"))
+    return RS.slots(spark, path).unionByName(late).groupBy("slot_start").agg(*[F.sum(c).alias(c) for c in ("blocked", "flagged", "safe")])
+
+
+@register("read_threat_log_quarantine", events_sql(
+    "SELECT id LIKE '%7' AS quarantined, count(*) AS n, count(DISTINCT CASE WHEN id NOT LIKE '%7' THEN status END) AS statuses FROM events_log GROUP BY 1"))
+def q_read_quarantine(spark, sf):
+    """A log with damaged lines (every id that ends in 7 is cut off): what can
+    be read is read, the rest is kept as it is."""
+    path = scratch_path(spark, "damaged-log")
+    line = F.to_json(F.struct("id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "status", "score"))
+    events_log(spark, sf).select(F.when(F.col("id").endswith("7"), F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    log = materialize(read_threat_log(spark, path, quarantine=True).select("id", "status", "_corrupt_record"), "quarantine")
+    bad = F.col("_corrupt_record").isNotNull()
+    return log.groupBy(bad.alias("quarantined")).agg(F.count("*").alias("n"), F.countDistinct(F.when(~bad, F.col("status"))).alias("statuses"))
+
+
 @register("stream_append_log", events_sql(
     "SELECT id, status, score, CAST(timestamp AS DATE) AS dt FROM events_log WHERE CAST(timestamp AS DATE) = DATE '2024-01-11'"))
 def q_stream_append_log(spark, sf):

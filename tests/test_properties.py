@@ -41,3 +41,24 @@ def test_batch_equals_union_of_parts(spark, pack):
     parts = screen_prompts(a, pack, logged_at="2024-01-01 00:00:00").select(*cols).unionByName(
         screen_prompts(b, pack, logged_at="2024-01-01 00:00:00").select(*cols))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_whole_texts_are_rewritten_as_token_by_token(spark):
+    import random
+
+    from shieldline import fixed_values as fv
+    from shieldline.functions import normalize as nz
+
+    rng = random.Random(11)
+    parts = [*fv.CONFUSABLES, *"abzABZ09_-. \t\n|@$§!+~", "É", "é", "Ж", "Σ", "σ", "İ", "Ⅽ", "Ⓐ", "ǅ", "ت", "ه", "١", "日", "\u00a0", "\u2003", "ehyrf", "Vtaber", "rules", "😀", "\u0301", ""]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    out = df.select("t", *[x.alias(f"{m}_{k}") for m, (rot, conf) in nz.TOKEN_MODES.items()
+                           for k, x in (("whole", nz.deobfuscate_tokens(t, mode=m)), ("each", nz._each_token(t, rot, conf)))],
+                    nz._whole_tokens(t, True).alias("w"), t.rlike(nz.RX_KEPT).alias("kept"))
+    rows = out.collect()
+    for r in rows:
+        for m in nz.TOKEN_MODES:
+            assert r[f"{m}_whole"] == r[f"{m}_each"], (m, r.t)
+    assert sum(not r.kept and not r.t.isascii() for r in rows) > 300

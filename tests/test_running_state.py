@@ -53,6 +53,20 @@ def test_the_feed_as_running_state_continues(spark, folder):
     assert f'"id":"{kept.id}"' in kept.entry
 
 
+def test_slots_and_late_rows_make_up_all_rows(spark, folder):
+    at = lambda hours: START + dt.timedelta(hours=hours)
+    batches = [[("a", at(1), "SAFE", 0), ("b", at(30), "BLOCKED", 0)], [("c", at(29), "FLAGGED", 0), ("d", at(2), "SAFE", 0), ("n", None, "SAFE", 0)],
+               [("e", at(26), None, 0), ("f", at(60), "SAFE", 0)], [("g", at(30), "SAFE", 0), ("h", at(59), "SAFE", 0)]]
+    path = f"{folder}/slots"
+    for rows in batches:
+        arrive(spark, f"{folder}/in", rows, LOG)
+        running.append_slots(stream(spark, f"{folder}/in", LOG), path, f"{folder}/checkpoint", "6 hours", "10 hours").awaitTermination()
+    late = {r.id: r.epoch for r in running.late_rows(spark, path).collect()}
+    assert late == {"d": 1, "n": 1, "g": 3}  # 2h, when 30h had been seen; without a time; 30h, when 60h had
+    counted = {r.slot_start: (r.blocked, r.flagged, r.safe) for r in running.slots(spark, path).collect()}
+    assert counted == {at(0): (0, 0, 1), at(24): (0, 1, 1), at(30): (1, 0, 0), at(54): (0, 0, 1), at(60): (0, 0, 1)}
+
+
 def test_counters_in_update_mode_are_upserts(spark, folder):
     at = (f"{folder}/data", f"{folder}/checkpoint")
     for k in range(3):
