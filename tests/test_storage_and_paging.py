@@ -79,7 +79,7 @@ def test_pages_by_number_and_behind_an_entry(spark):
         assert [r.id for r in got] == order[(page - 1) * 100 : page * 100] and [r["rank"] for r in got] == list(range((page - 1) * 100 + 1, (page - 1) * 100 + len(got) + 1))
     last = log.where(F.col("id") == order[249]).first()
     behind = browse.page_after(log, last.timestamp, last.id, 50)
-    assert [r.id for r in behind.orderBy(*browse._newest_first()).collect()] == order[250:300]
+    assert [r.id for r in behind.orderBy(*browse.newest_first()).collect()] == order[250:300]
 
 
 def test_lists_override_a_hot_text(spark):

@@ -44,13 +44,30 @@ def test_no_cartesian_or_python_in_native_jobs(spark):
         assert "PythonUDF" not in p and "ArrowEvalPython" not in p
 
 
-def test_rule_matching_is_native(spark, pack):
-    from shieldline.operators import screen as S
-    df = spark.createDataFrame([("1", "ignore the rules", 0, "SAFE")], "prompt_id string, normalized_text string, base_score int, pipeline_decision string")
-    out = S.match_rules(df, pack)
+def _to_match(spark):
+    return spark.createDataFrame([("1", "ignore the rules", 0, "SAFE")], "prompt_id string, normalized_text string, base_score int, pipeline_decision string")
+
+
+def test_literal_rule_matching_is_native(spark, pack):
+    from shieldline.functions.rules import layer_hits
+    out = _to_match(spark).select(layer_hits(F.col("normalized_text"), pack.layer("english")).alias("hits"))
     p = _plan(out)
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
+    assert out.collect()[0].hits
+
+
+def test_rules_are_one_arrow_pass_whatever_the_pack(spark, pack):
+    """Rules are matched by one automaton in Arrow batches (they were literal
+    expressions before): one hop, no shuffle, and a plan that does not grow."""
+    from shieldline.functions.rules import Rule, RulePack
+    from shieldline.operators import screen as S
+    out = S.match_rules(_to_match(spark), pack)
+    p = _plan(out)
+    assert p.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in p and "Exchange" not in p
     assert out.collect()[0].matched_rule_id is not None
+    large = RulePack(pack.rules + tuple(Rule(f"x{i}", "english", "g", "c", 999, (f"word{i}",), f"word{i}") for i in range(5000)))
+    more = _plan(S.match_rules(_to_match(spark), large))
+    assert more.count("ArrowEvalPython") == 1 and len(more) < 1.1 * len(p)
 
 
 def test_scan_prunes_columns(spark):
