@@ -30,6 +30,8 @@ discounting) and given, per class, to its unseen words: the number of unseen
 types is estimated from the types seen once and twice, and a class has the share
 in them that it has in the types seen.  So a word gains nothing by being unseen.
 
+Repeated rows count and are scored each; other columns are not looked at,
+whatever their names; very long texts are read whole, an empty table gives no rows.
 Null texts count as empty: they are one end mark.  Without training rows all
 classes are equally likely and every word is unseen.
 """

@@ -76,6 +76,8 @@ _FULL = sum(((1 << BITS) - 1) << (BITS + 1) * k for k in range(LANES))
 _HIGH = sum(1 << ((BITS + 1) * k + BITS) for k in range(LANES))
 #: The positions of each chunk.
 _CHUNKS = np.array_split(np.arange(POSITIONS), CHUNKS)
+#: Nodes whose keys are made at once.
+NODES = 1024
 #: Bits of a shingle's hash that are dropped when sets are sent to be confirmed.
 _DROPPED = U64(24)
 #: The longs that are a chunk each: the first chunks, as long as they have as many positions as a long.
@@ -178,16 +180,17 @@ def _entries(nodes: DataFrame, keep=None) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = np.stack([batch.column(1 + k).to_numpy() for k in range(LONGS)], axis=1)
-            node = np.repeat(batch.column(0).to_numpy(), POSITIONS)
-            own, marks = (x.ravel() for x in chunk_keys(positions(packed)))
-            own = own.view(np.int64)
-            if keep is not None:
-                some = _held(keep.value, own)
-                own, node, marks = own[some], node[some], marks[some]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(node), pa.array(marks)], names=["key", "node", "mark"])
+            for i in range(0, batch.num_rows, NODES):
+                part = batch.slice(i, NODES)
+                packed = np.stack([part.column(1 + k).to_numpy() for k in range(LONGS)], axis=1)
+                node = np.repeat(part.column(0).to_numpy(), POSITIONS)
+                own, marks = (x.ravel() for x in chunk_keys(positions(packed)))
+                own = own.view(np.int64)
+                if keep is not None:
+                    some = _held(keep.value, own)
+                    own, node, marks = own[some], node[some], marks[some]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(node), pa.array(marks)], names=["key", "node", "mark"])
+            _given_back()
 
     return nodes.select("node", *_SIG).mapInArrow(keys, "key bigint, node bigint, mark int")
 

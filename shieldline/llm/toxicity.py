@@ -12,6 +12,8 @@ quarter an isotonic regression turns their margins into probabilities.
 A training text's lexicon hits are counted without that text's own share, so
 the trees see them as they will see new texts.  Scores depend on the text only.
 
+Very long texts are read whole, in time in proportion to their length.  Other
+columns are not looked at, whatever their names; repeated rows are scored each.
 Null and empty texts are scored like any other (no words).  Rows without a
 label, and repeated labels of one document beyond the greatest, are not learned
 from.  Where the sample has no or only one kind of label, every score is its
