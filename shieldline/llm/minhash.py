@@ -135,7 +135,7 @@ def distance(a: str, b: str) -> Column:
 def _sets(texts):
     """(i, j, tokens, bounds) of runs of texts."""
     raw, offsets = buffers(texts)
-    for i, j in pieces(offsets, 1 << 20):
+    for i, j in pieces(offsets, 1 << 18):
         yield i, j, *shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
 
 
