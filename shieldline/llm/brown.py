@@ -58,6 +58,9 @@ CLASSES = 96
 ROUNDS = 8
 PRIOR = 50.0
 
+#: Text bytes of a block at most, on average.
+BLOCK_BYTES = 8 << 20
+
 END = 0  # the unit of the end mark; spelled groups follow, then heavy words
 
 #: What stands for a spelled group among the hashes of words: spread over all ranges.
@@ -618,11 +621,18 @@ def _heavy(totals: DataFrame, least: int) -> list[tuple[int, int]]:
     return [(r.h % (1 << 64), r.g) for r in rows]
 
 
+def _blocks(docs: DataFrame) -> int:
+    """Blocks by the size of the texts, four for each core at least.  Every round
+    sends a row from each block to each range and back, so their number must not
+    follow the number of shuffle partitions."""
+    return blocks_for(docs, block_bytes=BLOCK_BYTES, least=4 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def score_texts(docs: DataFrame, train_col: str, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity
     of all texts; the model learns from the rows whose ``train_col`` is true."""
     spark = docs.sparkSession
-    blocks = blocks_for(docs)
+    blocks = _blocks(docs)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train_col, F.lit(True)).alias("train"))
     dealt = docs.withColumn("_block", block_of("doc_id", blocks))
     asked = dealt.groupBy("_block").applyInArrow(_requests(blocks), "_range int, _block int, keys binary, counts binary, groups binary")

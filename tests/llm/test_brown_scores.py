@@ -63,3 +63,15 @@ def test_distinct_words_keep_their_spelling():
     starts, ends, want_first = words(low, offsets)
     assert (h[place] == hash_spans(low, starts, ends)).all() and (first == want_first).all()
     assert (g[place] == brown.spelling(low, starts, ends)).all()
+
+
+def test_more_shuffle_partitions_make_no_more_blocks(spark):
+    docs = spark.createDataFrame([(i, "some text") for i in range(50)], "doc_id bigint, text string")
+    before, told = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (8, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            told.append(brown._blocks(docs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert told == [4 * spark.sparkContext.defaultParallelism] * 2
