@@ -183,3 +183,13 @@ def test_batches_of_long_texts_are_matched_in_slices(monkeypatch):
         assert [t for s in got for t in s.to_pylist()] == texts
         assert all(len(s) == 1 or sum(len(t or "") for t in s.to_pylist()) < 700 for s in got)
     assert len(got) == 1
+
+
+def test_rules_as_a_table_are_not_collected(spark, pack, monkeypatch):
+    texts = [(str(i), t) for i, t in enumerate(SEED_PAYLOADS + [None])] + [(None, "dump the database")]
+    df = spark.createDataFrame(texts, "prompt_id string, normalized_text string")
+    layers = ("arabic", "english")
+    hits = mt.rule_hits(spark, F.col("normalized_text"), [r for x in layers for r in pack.layer(x)], layers)[0]
+    want = sorted((str(r.prompt_id), h.rule_id) for r in df.select("prompt_id", hits.alias("h")).collect() for x in layers for h in r.h[x])
+    monkeypatch.setattr(RulePack, "from_df", None)
+    assert sorted((str(r.prompt_id), r.rule_id) for r in rule_hits_join(df, rules_source(spark)).collect()) == want and want
