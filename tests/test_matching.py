@@ -193,3 +193,25 @@ def test_rules_as_a_table_are_not_collected(spark, pack, monkeypatch):
     want = sorted((str(r.prompt_id), h.rule_id) for r in df.select("prompt_id", hits.alias("h")).collect() for x in layers for h in r.h[x])
     monkeypatch.setattr(RulePack, "from_df", None)
     assert sorted((str(r.prompt_id), r.rule_id) for r in rule_hits_join(df, rules_source(spark)).collect()) == want and want
+
+
+def test_a_table_of_rules_is_matched_like_a_pack(spark, monkeypatch):
+    from shieldline.operators import rule_tables
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 12)))
+    words = [word() for _ in range(300)]
+    rows = [(f"r{i % 250}", rng.choice(["arabic", "english", "other"]), "g", None if i % 9 else "c", rng.choice([None, 1, 2]),
+             rng.choice([None, [], [""], [w], [w.upper(), w[:1]], [w, words[i - 1] + " " + w]]), w + rng.choice(["", r"\s", r"(?!a)"]), i % 11 > 0) for i, w in enumerate(words)]
+    rows += [(None, "english", "g", "c", 3, ["ſ K"], "s k", True), ("blank", "english", "g", "c", 3, [" "], "a b", True), ("none", "english", "g", "c", 3, ["a"], None, True)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", "x"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["S K", "a b", "", None]
+    df = spark.createDataFrame([(None if i % 7 == 0 else i % 20, t, 5, "SAFE") for i, t in enumerate(texts * 2)], "prompt_id int, normalized_text string, base_score int, pipeline_decision string")
+    table = spark.createDataFrame(rows, RULES_SCHEMA).coalesce(1)
+
+    def told(pack, size):
+        monkeypatch.setattr(rule_tables, "LIST_RULES", size)
+        return sorted(map(str, S.match_rules(df, pack).select("*").collect()))
+
+    want = told(RulePack.from_df(table), 256)
+    monkeypatch.setattr(RulePack, "from_df", None)  # nor is the pack collected
+    assert told(table, 256) == told(table, 3) == want and sum("BLOCKED" in r for r in want) > 20
