@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import time
@@ -215,3 +216,34 @@ def test_a_table_of_rules_is_matched_like_a_pack(spark, monkeypatch):
     want = told(RulePack.from_df(table), 256)
     monkeypatch.setattr(RulePack, "from_df", None)  # nor is the pack collected
     assert told(table, 256) == told(table, 3) == want and sum("BLOCKED" in r for r in want) > 20
+
+
+def test_keywords_are_counted_in_parts_that_follow_the_size_of_the_table(spark, monkeypatch):
+    from shieldline.session import written
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(200)) for _ in range(100)]
+    df = written(ut._named(frame(spark, texts + texts[:9]), "text"), "parts")
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    cores = spark.sparkContext.defaultParallelism
+    assert ut._in_parts(df, ["_h", "_len"]).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(ut, "PART_BYTES", size // (3 * cores))
+    assert ut._in_parts(df, ["_h", "_len"]).rdd.getNumPartitions() >= 3 * cores
+    keywords = spark.createDataFrame([("a1",), ("h999",)], "word string")
+    out = {r.prompt_id: r.keyword_score for r in ut.with_keyword_score(frame(spark, texts), "text", keywords, 1).collect()}
+    assert out == {str(i): sum(w in ("a1", "h999") for w in t.split()) for i, t in enumerate(texts)}
+
+
+def test_prompts_are_dealt_in_three_tasks_a_core(spark):
+    from shieldline.sources.prompts import spread
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 1000, 1, cores + 1)
+    assert spread(df).rdd.getNumPartitions() == 3 * cores
+    assert sorted(r.id for r in spread(df).collect()) == list(range(1000))
+    assert spread(spark.range(0, 9, 1, 3 * cores)).rdd.getNumPartitions() == 3 * cores
+
+
+def test_texts_beyond_latin_go_token_by_token(spark):
+    """The only class of all scripts that reads a whole text is the one of tokens."""
+    from shieldline.functions import normalize as nz
+    plan = frame(spark, ["привет, мир"]).select(nz.deobfuscate_tokens(F.col("text"), mode="join"))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"(?<=[\p{L}\p{N}_" not in plan
