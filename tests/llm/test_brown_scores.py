@@ -75,3 +75,77 @@ def test_more_shuffle_partitions_make_no_more_blocks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert told == [4 * spark.sparkContext.defaultParallelism] * 2
+
+
+def test_bigrams_come_from_the_written_lines(spark):
+    """They were counted over the texts, which were cut into words once more."""
+    import pyarrow as pa
+
+    from shieldline.llm.packed import pack_values
+
+    texts = ["the cat the dog the cat", "", "Xylophone the", "the zebra", None]
+    train = [True, True, False, True, True]
+    h, _, place, _ = brown._tokens(*_raw(texts))
+    _, at = np.unique(h, return_index=True)
+    counts = np.bincount(place, np.repeat(train, [6, 0, 2, 2, 0]), len(h)).astype(np.uint64)[at]
+    told = pa.table({"_range": [0], "counts": pa.array([pack_values(counts)], pa.binary())})
+    block = pa.table({"_block": pa.array([0] * 5, pa.int32()), "text": [t or "" for t in texts], "train": train})
+    row = brown._lines(block, told).to_pylist()[0]
+    lines = spark.createDataFrame([tuple(row.values())], brown._LINES)
+    the, group = _hash("the"), {w: int(brown._tokens(*_raw([w]))[1][0]) for w in ("cat", "dog", "zebra")}
+    got = {(r.a, r.b): r.n for r in brown._bigrams(lines, brown._Units(np.array([the], dtype=np.uint64))).collect()}
+    t, end = brown.SPELLED + 1, brown.END
+    want = [(end, t), (t, group["cat"]), (group["cat"], t), (t, group["dog"]), (group["dog"], t), (t, group["cat"]), (group["cat"], end),
+            (end, end), (end, t), (t, group["zebra"]), (group["zebra"], end), (end, end)]
+    assert got == {p: want.count(p) for p in want}
+
+
+def _raw(texts):
+    import pyarrow as pa
+
+    from shieldline.llm.textarrays import buffers
+
+    return buffers(pa.array([t or "" for t in texts]))
+
+
+def _hash(word):
+    return brown._tokens(*_raw([word]))[0][0]
+
+
+def test_only_units_whose_turn_it_is_are_moved():
+    """Types of all units are told, whosever turn it is."""
+    import pyarrow as pa
+
+    from shieldline.llm.packed import pack_keys, pack_values
+
+    rng = np.random.default_rng(3)
+    classes, units = 4, 40
+    width = 2 * classes + 1
+    keys = np.unique(rng.integers(1, 1 << 60, units).astype(np.uint64))
+    of = rng.integers(1, classes, units)
+    code = np.unique(rng.integers(0, units * width, 300))
+    n = rng.integers(1, 9, len(code))
+    table = rng.integers(50, 99, (classes, classes)) * 100.0
+    rows = pa.table({"_range": pa.array([0], pa.int32()), "_block": pa.array([7], pa.int32()), "keys": [pack_keys(keys)], "classes": [pack_values(of)],
+                     "codes": [pack_keys(code.astype(np.uint64))], "counts": [pack_values(n)]})
+    moved = []
+    for turn in (0, 1):
+        shared = type("Sent", (), {"value": (table, 2, turn)})()
+        told = brown._moved(classes, shared)((pa.scalar(0, pa.int32()),), rows).to_pylist()
+        new = brown.unpack_values(told[0]["classes"]).astype(int)
+        mine = brown.splitmix(keys) % np.uint64(2) == np.uint64(turn)
+        sums = np.zeros((units, width))
+        sums[code // width, code % width] = n
+        best, gain = brown.best_classes(of, sums[:, :classes], sums[:, classes:-1], sums[:, -1], table)
+        some = sums.sum(axis=1) > 0
+        assert (new == np.where(mine & some & (gain > 1e-9), best, of)).all()
+        assert told[1]["types"] == np.bincount(new[some], minlength=classes).tolist()
+        moved.append((new != of).sum())
+    assert sum(moved) > 0
+
+
+def test_counted_in_four_bytes_or_eight():
+    for top in (1 << 31, (1 << 31) + 5, 1 << 40):
+        codes = np.array([top - 1, 0, top - 1, 7], dtype=np.int64)
+        u, n = brown._counted(codes, top)
+        assert u.tolist() == [0, 7, top - 1] and n.tolist() == [1, 1, 2] and u.dtype == np.int64
