@@ -7,12 +7,13 @@ import random
 import tempfile
 
 import pytest
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import RegexTokenizer
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import IDF, RegexTokenizer
 from pyspark.sql import functions as F
 
 from shieldline.operators import bloom, browse, model, page_index, review
 from shieldline.operators import screen as S
+from shieldline.plans import catalog
 from shieldline.streaming import jobs, log_sink, reviews, running
 
 LOG = "id string, timestamp timestamp, status string, score int"
@@ -203,3 +204,23 @@ def test_a_model_that_cannot_be_applied_is_not_a_result(spark, pack):
         got = {r.prompt_id: r for r in model.predicted(df, unfit, "text").collect()}
     assert "absent" in got["0"].ai_failure and (got["0"].ai_prediction, got["0"].ai_confidence) == (0, 0.0)
     assert (got["1"].ai_failure, got["1"].ai_prediction, got["1"].ai_confidence) == (None, None, None)
+
+
+def test_texts_are_screened_once_for_the_log_and_the_trained_model(spark, folder, monkeypatch):
+    rng = random.Random(5)
+    words = "steal leak dump exploit secret weather garden music travel recipe ignore previous instructions".split()
+    docs = [(k, None if k == 9 else " ".join(rng.choice(words) for _ in range(15)), k % 2 == 0) for k in [*range(80), 3, 4]]
+    spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 3 > 0), int(k % 4 == 0)) for k, _, some in docs if some], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    load, fitted = model.load_model, []
+    monkeypatch.setattr(model, "load_model", lambda path: fitted.append(load(path)) or fitted[-1])
+    got = catalog.SPARK["model_trained_screening"](spark, folder)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()  # the rules have been matched
+    want = catalog.screened(spark, folder, model=fitted[0], enrich=False).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 82
+    plan = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").selectExpr("text", "cast(doc_id % 4 = 0 as double) label")
+    own = model.fit_text_model(plan, features=1 << 10)
+    parts = Pipeline(stages=[s for s in own.stages[:5]] + [IDF(minDocFreq=2, inputCol="_m_all", outputCol="_m_features")])
+    told = own.transform(plan.withColumnRenamed("text", "_model_text"))
+    again = parts.fit(plan.withColumnRenamed("text", "_model_text")).stages[5].idf.toArray()
+    assert (own.stages[5].idf.toArray() == again).all() and told.where("_m_prediction = label").count() > 40
